@@ -7,14 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, lines, minhash
+from . import ann, bpe, lines, minhash, mixing, pii, secrets
 from .common import table
 
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components_of(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = bpe.code(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, digests=True)
+    return out.select("doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mixing.probabilities(table(spark, sf_dir, "documents"))
+    return drawn.select("doc_id", F.col("__n").cast("long").alias("n_tokens"), F.round("__f", 6).alias("factor"), F.round("__p", 6).alias("probability"), (F.col("__u") < F.col("__p")).alias("sampled"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.replace(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("pii_n").alias("n_entities"), *(F.element_at("pii_counts", F.lit(t)).alias(f"n_{t}") for t in ("mail", "ip", "card", "phone", "name")), "text")
+
+
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.deduplicate(table(spark, sf_dir, "documents"), counts=True).select("doc_id", "n_lines", "n_kept", "text")
 
@@ -24,7 +47,7 @@ def op10_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_minhash": op2_minhash, "op7_lines": op7_lines, "op10_ivfpq": op10_ivfpq}
+    return {"op2_minhash": op2_minhash, "op5_bpe": op5_bpe, "op6_secrets": op6_secrets, "op7_lines": op7_lines, "op8_mixing": op8_mixing, "op9_pii": op9_pii, "op10_ivfpq": op10_ivfpq}
 
 
 OP2_SQL = """
