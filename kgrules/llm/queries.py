@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, lines, media, minhash, mixing, pii, secrets, toxicity
+from . import ann, bpe, lines, lm, media, minhash, mixing, pii, secrets, toxicity
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -21,6 +21,10 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components_of(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op3_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op4_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_minhash": op2_minhash, "op4_jpeg": op4_jpeg, "op5_bpe": op5_bpe, "op6_secrets": op6_secrets, "op7_lines": op7_lines, "op8_mixing": op8_mixing, "op9_pii": op9_pii, "op10_ivfpq": op10_ivfpq}
+    return {"op1_toxicity": op1_toxicity, "op2_minhash": op2_minhash, "op3_maxent": op3_maxent, "op4_jpeg": op4_jpeg, "op5_bpe": op5_bpe, "op6_secrets": op6_secrets, "op7_lines": op7_lines, "op8_mixing": op8_mixing, "op9_pii": op9_pii, "op10_ivfpq": op10_ivfpq}
 
 
 OP2_SQL = """
