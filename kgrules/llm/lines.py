@@ -92,7 +92,7 @@ def cuts(docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     def texts(ids: DataFrame) -> DataFrame:
         at = firsts.join(ids, "id", "left_semi").select("id", "doc_id", "line_no").dropDuplicates(["id"])
         at = at.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "id")).alias("at"))
-        return docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(at, "doc_id").select("text", "at").mapInArrow(_pick, "id long, text string")
+        return docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(at.hint("merge"), "doc_id").select("text", "at").mapInArrow(_pick, "id long, text string")
 
     comp = link(firsts.select("id", "n", "bands"), texts, line_set, percent, scratch)
     grouped = occ.select("doc_id", "line_no", "id").join(comp, "id", "left").select("doc_id", "line_no", F.coalesce("comp", "id").alias("comp"))

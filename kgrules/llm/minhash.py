@@ -52,7 +52,7 @@ def components_of(docs: DataFrame, words: int = 5, percent: int = 80, bands: int
     nodes = scratch.keep(nodes)
 
     def texts(ids: DataFrame) -> DataFrame:
-        return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
+        return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.hint("merge"), "id", "left_semi")
 
     comp = link(nodes, texts, partial(word_shingles, k=words), percent, scratch)
     # a doc_id that owns several sets ties their classes together

@@ -6,12 +6,13 @@ the K coordinates of one shingle are K neighbouring entries of ``pi``: one row g
 
 Links are found in rounds that never list all pairs of a bucket:
 
-1. every bucket member is verified against the bucket's smallest id (a star);
-2. for the pairs left over - no leader, different components so far - exact bounds decide which can still link: set
-   sizes, and the triangle inequality of the Jaccard distance to the common leader. Only those are verified.
-   Buckets whose members all fell into one component, as large groups of copies do, leave no such pair.
+1. every member is verified against the smallest leader of its buckets (a bucket's leader is its smallest id), and then
+   against those other leaders of its buckets from which it is still apart;
+2. for the pairs left over - members of one bucket, no leader, different components so far - members that buckets
+   connect make a family, and families are compared in blocks, as matrices; only links come out. Buckets whose members
+   all fell into one component, as large groups of copies do, leave nobody.
 
-A pair of one bucket is thus verified, already connected, or ruled out by an exact bound.
+A pair of one bucket is thus compared on full sets or already connected.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from .common import Scratch
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 CHUNK = 4096
+#: Members of a block in the comparison of what the stars leave.
+BLOCK = 512
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -115,9 +118,10 @@ Shingler = Callable[[str], np.ndarray]
 
 
 def stars(bands: DataFrame) -> DataFrame:
-    """(id, n, key, lead, lead_n) of every member of a bucket of two or more but its leader, the smallest id."""
+    """(key, id, n, lead) of every member of a bucket of two or more but its leader, the smallest id."""
     lead = bands.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("key", "lead")
-    return bands.join(lead, "key").where("id <> lead")
+    # the leaders grow with the corpus: the join is a merge at every size, not a broadcast at some
+    return bands.join(lead.hint("merge"), "key").where("id <> lead")
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -144,7 +148,7 @@ def verify(pairs: DataFrame, texts: DataFrame, shingler: Shingler) -> DataFrame:
                 uni.append(len(s) + len(t) - n)
             yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), pa.array(inter, pa.int64()), pa.array(uni, pa.int64())], ["a", "b", "inter", "uni"])
 
-    return pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, inter long, uni long")
+    return pairs.join(tb.hint("merge"), "b").join(ta.hint("merge"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, inter long, uni long")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -184,38 +188,91 @@ def link(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], shingler: Sh
 
     ``nodes``: (id long, n long, bands array<long>), one row for each distinct set; ``texts`` gives (id, text) of ids (id).
     """
-    near, apart = percent / 100, 1 - percent / 100
     bands = nodes.where("n > 0").select("id", "n", F.explode("bands").alias("key"))
-    star = scratch.keep(stars(bands))
-    sized = star.join(nodes.select(F.col("id").alias("lead"), F.col("n").alias("lead_n")).distinct(), "lead")
+    star = stars(bands).join(nodes.select(F.col("id").alias("lead"), F.col("n").alias("lead_n")).distinct(), "lead")
+    star = scratch.keep(star.select("key", "id", "n", "lead", "lead_n"))
     fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
-    first = scratch.keep(sized.select(F.col("lead").alias("a"), F.col("id").alias("b"), fits(F.col("n"), F.col("lead_n")).alias("fits")).where("fits").select("a", "b").distinct())
-    wanted = first.select(F.col("a").alias("id")).unionAll(first.select(F.col("b").alias("id"))).distinct()
-    got = scratch.keep(texts(wanted))
-    checked = scratch.keep(verify(first, got, shingler))
     good = lambda x: x.where(100 * F.col("inter") >= percent * F.col("uni")).select("a", "b")
-    found = good(checked)
-    comp = scratch.keep(components(found, scratch))
-
-    # what the stars leave: members of one bucket, no leader, not connected yet, that no exact bound keeps apart
-    far = checked.select(F.col("a").alias("lead"), F.col("b").alias("id"), (1 - F.col("inter") / F.col("uni")).alias("d"))
-    member = (
-        sized.join(far, ["lead", "id"], "left")
-        .join(comp, "id", "left")
-        .select("key", "id", "n", F.coalesce("comp", "id").alias("comp"), F.coalesce("d", 1 - F.least("n", "lead_n") / F.greatest("n", "lead_n")).alias("lo"), F.coalesce("d", F.lit(1.0)).alias("hi"))
-    )
+
+    got = scratch.keep(texts(star.select(F.explode(F.array("id", "lead")).alias("id")).distinct()))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return scratch.keep(verify(pairs, got, shingler))
+
+    def of(comp: DataFrame, c: str) -> DataFrame:
+        return comp.select(F.col("id").alias(c), F.col("comp").alias(f"comp_{c}"))
+
+    def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+        """Pairs that aren't in one component yet."""
+        joined = pairs.join(of(comp, "a"), "a", "left").join(of(comp, "b"), "b", "left")
+        return joined.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
+
+    # every member with the smallest of its leaders, then with the other leaders from which that left it apart
+    led = scratch.keep(star.where(fits(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
+    checked = verified(led.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    comp = scratch.keep(components(good(checked), scratch))
+    more = verified(apart(led.join(checked, ["a", "b"], "left_anti"), comp))
+    checked = checked.unionAll(more)
+    if not good(more).isEmpty():
+        comp = scratch.keep(components(good(checked), scratch))
+
+    # what the stars leave: members of one bucket, no leader, not connected yet
+    member = star.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     mixed = member.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
-    member = scratch.keep(member.join(mixed, "key", "left_semi"))
+    member = scratch.keep(member.join(mixed, "key", "left_semi").select("id", "n", "comp", "lead").distinct())
     if member.isEmpty():
         return comp
-    x, y = (member.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "comp", "lo", "hi"))) for s in "xy")
-    slack = apart + 1e-9
-    rest = x.join(y, "key").where(
-        (F.col("comp_x") < F.col("comp_y")) & fits(F.col("n_x"), F.col("n_y")) & (F.col("lo_y") - F.col("hi_x") <= slack) & (F.col("lo_x") - F.col("hi_y") <= slack)
-    )
-    rest = scratch.keep(rest.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct())
-    if rest.isEmpty():
+    family = scratch.keep(components(member.select(F.col("lead").alias("a"), F.col("id").alias("b")), scratch))
+    member = member.select("id", "comp").distinct().join(family.select("id", F.col("comp").alias("family")), "id")
+    more = scratch.keep(blocked(member, got, shingler, percent, scratch))
+    if more.isEmpty():
         return comp
-    wanted = rest.select(F.col("a").alias("id")).unionAll(rest.select(F.col("b").alias("id"))).distinct()
-    more = scratch.keep(good(verify(rest, scratch.keep(texts(wanted)), shingler)))
-    return scratch.keep(components(found.unionAll(more), scratch))
+    return scratch.keep(components(good(checked).unionAll(more), scratch))
+
+
+def blocked(members: DataFrame, texts: DataFrame, shingler: Shingler, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b): links between members (id, comp, family) of one family and different components.
+
+    A family is dealt into blocks of about BLOCK members, large components into blocks of their own, and pairs of blocks are
+    compared as matrices of members by shared shingles; only links come out. Blocks of one large component meet no
+    other of it. A family within one block, as nearly all are, is one group.
+    """
+    sizes = members.groupBy("family", "comp").agg(F.count("*").alias("k")).withColumn("big", F.when(F.col("k") >= BLOCK, F.col("comp")))
+    parts = sizes.groupBy("family", "big").agg(F.ceil(F.sum("k") / BLOCK).cast("int").alias("parts"))
+    dealt = members.join(sizes.select("family", "comp", "big"), ["family", "comp"]).join(parts.withColumnRenamed("big", "of"), "family").where(F.col("big").eqNullSafe(F.col("of")))
+    dealt = scratch.keep(dealt.select("id", "comp", "family", "big", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")))
+    blocks = dealt.select("family", "big", "part").distinct()
+    x, y = (blocks.select("family", F.col("big").alias(f"big{i}"), F.col("part").alias(f"part{i}")) for i in (0, 1))
+    order = lambda i: F.struct(F.coalesce(f"big{i}", F.lit(-(1 << 63))).alias("b"), F.col(f"part{i}").alias("p"))
+    pairs = x.join(y, "family").where((order(0) <= order(1)) & (F.col("big0").isNull() | ~F.col("big0").eqNullSafe(F.col("big1"))))
+    pairs = scratch.keep(pairs.withColumn("pair", F.monotonically_increasing_id()))
+    sides = []
+    for i in (0, 1):
+        p = pairs if i == 0 else pairs.where(~(F.col("big0").eqNullSafe(F.col("big1")) & (F.col("part0") == F.col("part1"))))
+        p = p.select("family", F.col(f"big{i}").alias("of"), F.col(f"part{i}").alias("part"), "pair")
+        sides.append(dealt.join(p, ["family", "part"]).where(F.col("big").eqNullSafe(F.col("of"))).select("pair", F.lit(i).alias("side"), "id", "comp"))
+    rows = sides[0].unionAll(sides[1]).join(texts.select("id", "text").hint("merge"), "id")
+
+    def links(t: pa.Table) -> pa.Table:
+        ids, comps, side = (t.column(c).to_numpy() for c in ("id", "comp", "side"))
+        sets = [shingler(x) for x in t.column("text").to_pylist()]
+        n = np.array([len(s) for s in sets])
+        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+        token, column, seen = np.unique(flat, return_inverse=True, return_counts=True)
+        shared = seen[column] > 1
+        row, column = row[shared], (np.cumsum(seen > 1) - 1)[column[shared]]
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if side.any() else left
+        inter = np.zeros((len(left), len(right)), np.float32)
+        by = np.argsort(column, kind="stable")
+        row, column = row[by], column[by]
+        for lo in range(0, int((seen > 1).sum()), 8192):
+            at = slice(*np.searchsorted(column, (lo, lo + 8192)))
+            dense = np.zeros((len(sets), 8192), np.float32)
+            dense[row[at], column[at] - lo] = 1
+            inter += dense[left] @ dense[right].T
+        uni = n[left][:, None] + n[right][None, :] - inter
+        i, j = np.nonzero((100 * inter >= percent * uni) & (comps[left][:, None] != comps[right][None, :]))
+        return pa.table({"a": pa.array(ids[left[i]], pa.int64()), "b": pa.array(ids[right[j]], pa.int64())})
+
+    return rows.groupBy("pair").applyInArrow(links, "a long, b long")
