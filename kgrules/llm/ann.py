@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 SAMPLE, MAX_LISTS, SUBSPACES, SHORT, BLOCK = 16_384, 1024, 16, 64, 8192
+#: Share of the lists that a query visits, in percent: vectors without clusters spread their neighbours over many lists.
+PROBED = 60
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> np.ndarray:
@@ -92,7 +94,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, probes: int | None
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = np.array([r.v for r in reps.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect()])
     lists = 1 if total <= 1000 else int(min(MAX_LISTS, len(sample) // 16, 2 * total**0.5))
-    probes = min(lists, probes or max(16, lists // 6))
+    probes = min(lists, probes or max(16, -(-lists * PROBED // 100)))
     shared = spark.sparkContext.broadcast(Index(sample, lists))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
