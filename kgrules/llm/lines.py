@@ -2,7 +2,8 @@
 
 Lines are split at "\\n"; a line's set are the distinct runs of 8 code points of the stripped, lower-cased line (the whole
 line if shorter). Lines with 100 * intersection >= 80 * union are linked; of each component the occurrence with the
-smallest (doc_id, line number) stays, all others are cut from their documents. Line sets are known by a 64-bit hash.
+smallest (doc_id, line number) stays, all others are cut from their documents. Stripped, lower-cased lines are known by a
+64-bit hash; those that differ but have equal sets have equal bands and are linked like any others.
 
 Cases: blank lines are no lines here and always stay. A null text stays null, an empty one empty. Rows with a null doc_id
 come through unchanged. Rows that repeat a doc_id are one document: equal rows keep the same lines. All other columns,
@@ -21,19 +22,41 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch
-from .near import Circulant, char_shingles, link
+from .near import Circulant, char_runs, char_shingles, link
 
 #: 14 bands of 4: a pair at 0.8 meets in no band with a probability of 6e-4, at 0.85 of 3e-5.
 SHINGLE, BANDS, ROWS, PLACES = 8, 14, 4, 1 << 16
 SEEN = 1 << 20
+#: Lines up to LONG code points are shingled together, about PASS code points at a time; longer ones alone.
+LONG, PASS = 1 << 14, 1 << 18
 
 
 def line_set(line: str) -> np.ndarray:
     return char_shingles(line.strip().lower(), SHINGLE)
 
 
-def line_id(s: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+def line_id(line: str) -> int:
+    return xxhash.xxh3_64_intdigest(line.strip().lower().encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def signed(lines: list[str], circulant: Circulant) -> tuple[np.ndarray, np.ndarray]:
+    """Set size and band keys of each line."""
+    n, keys = np.empty(len(lines), np.int64), np.empty((len(lines), circulant.bands), np.int64)
+    plain = [line.strip().lower() for line in lines]
+    together = [i for i, p in enumerate(plain) if SHINGLE <= len(p) <= LONG]
+    while together:
+        size = stop = 0
+        while stop < len(together) and stop < 1 << 16 and size < PASS:
+            size += len(plain[together[stop]])
+            stop += 1
+        part, together = together[:stop], together[stop:]
+        runs, start, n[part] = char_runs([plain[i] for i in part], SHINGLE)
+        keys[part] = circulant.keys(np.split(runs, start[1:]))  # minima don't mind runs that repeat
+    for i, p in enumerate(plain):
+        if not SHINGLE <= len(p) <= LONG:
+            s = char_shingles(p, SHINGLE)
+            n[i], keys[i] = len(s), circulant.keys([s])[0]
+    return n, keys
 
 
 def occurrences(docs: DataFrame, circulant: Circulant) -> DataFrame:
@@ -43,7 +66,7 @@ def occurrences(docs: DataFrame, circulant: Circulant) -> DataFrame:
         ids_of: dict[str, int] = {}
         for x in batches:
             docs_, at, ids, sizes, bands = [], [], [], [], []
-            new: list[tuple[int, np.ndarray]] = []
+            new: list[tuple[int, str]] = []
             if len(ids_of) > SEEN:
                 ids_of.clear()
             for d, t in zip(x.column("doc_id").to_pylist(), x.column("text").to_pylist(), strict=True):
@@ -51,19 +74,17 @@ def occurrences(docs: DataFrame, circulant: Circulant) -> DataFrame:
                     if not line or line.isspace():
                         continue
                     key = line if len(line) < 4096 else xxhash.xxh3_128_hexdigest(line.encode("utf-8", "surrogatepass"))
-                    k, n = ids_of.get(key), 0
+                    k = ids_of.get(key)
                     if k is None:
-                        s = line_set(line)
-                        ids_of[key] = k = line_id(s)
-                        new.append((len(ids), s))
-                        n = len(s)
+                        ids_of[key] = k = line_id(line)
+                        new.append((len(ids), line))
                     docs_.append(d)
                     at.append(i)
                     ids.append(k)
-                    sizes.append(n)
+                    sizes.append(0)
                     bands.append(None)
-            for (i, _), row in zip(new, circulant.keys([s for _, s in new]), strict=True):
-                bands[i] = row
+            for (i, _), n, row in zip(new, *signed([line for _, line in new], circulant), strict=True):
+                sizes[i], bands[i] = n, row
             yield pa.RecordBatch.from_arrays(
                 [pa.array(docs_, pa.int64()), pa.array(at, pa.int32()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
                 ["doc_id", "line_no", "id", "n", "bands"],
@@ -78,7 +99,7 @@ def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in zip(x.column("text").to_pylist(), x.column("at").to_pylist(), strict=True):
             lines = t.split("\n")
             for a in at:
-                if a["line_no"] < len(lines) and line_id(line_set(lines[a["line_no"]])) == a["id"]:
+                if a["line_no"] < len(lines) and line_id(lines[a["line_no"]]) == a["id"]:
                     ids.append(a["id"])
                     texts.append(lines[a["line_no"]])
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["id", "text"])

@@ -42,15 +42,37 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x * np.uint64(0xA0761D6478BD642F)
 
 
-def _rolled(h: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of the runs of k values of h; of the whole of h where it is shorter."""
-    k = min(k, len(h))
+def _runs(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the runs of k values of h, in their order."""
     n = len(h) - k + 1
     acc = np.full(n, k, np.uint64)
     for i in range(k):
-        acc = (acc + h[i : i + n]) * MIX
+        acc += h[i : i + n]
+        acc *= MIX
         acc ^= acc >> np.uint64(31)
-    return np.unique(mix64(acc))
+    return mix64(acc)
+
+
+def _rolled(h: np.ndarray, k: int) -> np.ndarray:
+    """Distinct hashes of the runs of k values of h; of the whole of h where it is shorter."""
+    return np.unique(_runs(h, min(k, len(h))))
+
+
+def char_runs(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts with at least k code points each: the hashes of all their runs, one text after the other; the position of
+    each text's first run; the number of distinct runs of each. One pass over the texts laid end to end.
+
+    Distinct runs are told apart by 48 bits here, as the text's number takes the other 16.
+    """
+    assert len(texts) <= 1 << 16
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, texts), np.int64, len(texts)) - k + 1
+    start = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(texts)), size)
+    runs = _runs(flat, k)[np.arange(len(owner)) + owner * (k - 1)]
+    seen = np.sort((owner.astype(np.uint64) << np.uint64(48)) | (runs >> np.uint64(16)))
+    fresh = np.append(True, seen[1:] != seen[:-1])
+    return runs, start, np.bincount((seen[fresh] >> np.uint64(48)).astype(np.int64), minlength=len(texts))
 
 
 def word_shingles(text: str | None, k: int) -> np.ndarray:
@@ -92,7 +114,7 @@ class Circulant:
             if not len(s):
                 continue
             at = sigma[(s >> np.uint64(7)) & mask]
-            low = windows[at[:CHUNK]].min(axis=0)
+            low = windows.take(at[:CHUNK], axis=0).min(axis=0) if windows.flags.c_contiguous else windows[at[:CHUNK]].min(axis=0)
             for j in range(CHUNK, len(at), CHUNK):
                 np.minimum(low, windows[at[j : j + CHUNK]].min(axis=0), out=low)
             sig[i] = low
@@ -106,6 +128,8 @@ def _tables(places: int, k: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.
     kind = np.uint16 if places <= 1 << 16 else np.uint32
     sigma, pi = rng.permutation(places).astype(np.uint32), rng.permutation(places).astype(kind)
     windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([pi, pi[: k - 1]]), k)
+    if places <= 1 << 16:  # small enough to hold; rows of neighbours are gathered faster from a copy
+        windows = np.ascontiguousarray(windows)
     return sigma, windows, rng.integers(0, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
