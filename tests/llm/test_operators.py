@@ -127,6 +127,33 @@ def test_lines(spark, edge):
     assert lines.deduplicate(edge, counts=True).count() == len(EDGE)
 
 
+def test_lines_signed_together_as_alone():
+    """Sizes and bands of lines that are shingled end to end equal those of each line's own set."""
+    rng = np.random.default_rng(3)
+    some = ["", "short", "8 signs.", "aaaaaaaaaaaaaaaaaaaaaaaaa", "\U0001f600 \u4e2d\u6587 and more of it", "  Padded And Upper  ", "y" * (lines.LONG + 5)]
+    some += ["".join(rng.choice(list("abc de"), int(n))) for n in rng.integers(1, 900, 700)]
+    circulant = near.Circulant(lines.BANDS, lines.ROWS, lines.PLACES)
+    n, keys = lines.signed(some, circulant)
+    alone = [lines.line_set(s) for s in some]
+    assert n.tolist() == [len({*zip(*(p[i:] for i in range(lines.SHINGLE)))}) if len(p) >= lines.SHINGLE else bool(p) for p in (s.strip().lower() for s in some)]
+    assert n.tolist() == [len(s) for s in alone] and (keys == circulant.keys(alone)).all()
+
+
+def test_lines_against_brute_force(spark):
+    """Exact and near copies, lines with equal sets but other texts, short lines, ties in a document."""
+    rng, rows = np.random.default_rng(5), []
+    pool = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega", "sigma"], 18)) for _ in range(12)] + ["tiny", "abababababababab", "ababababababababab"]
+    for i in range(30):
+        picked = [pool[j] for j in rng.integers(0, len(pool), 4)]
+        rows.append(row(i, "\n".join(p.replace("alpha", "alphb", 1) if rng.random() < 0.4 else p.upper() if rng.random() < 0.2 else p for p in picked)))
+    at = {(r[0], k): line for r in rows for k, line in enumerate(r[1].split("\n"))}
+    plain = {k: v.strip().lower() for k, v in at.items()}
+    root = brute_components({k: {p[i : i + 8] for i in range(max(1, len(p) - 7))} for k, p in plain.items()})
+    want = {r[0]: "\n".join(line for k, line in enumerate(r[1].split("\n")) if root[r[0], k] == (r[0], k)) for r in rows}
+    got = {r.doc_id: r.text for r in lines.deduplicate(spark.createDataFrame(rows, SCHEMA), counts=True).collect()}
+    assert got == want
+
+
 def test_lm(edge):
     got = sorted(lm.score(edge).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0))
     tokens = [(r[0], (r[1] or "").encode().lower().split() + ["END"]) for r in sorted(EDGE, key=lambda r: (r[0] is None, r[0] or 0))]
