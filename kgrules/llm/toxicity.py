@@ -23,7 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,11 @@ from pyspark.sql import functions as F
 from .common import remainder, text_or_empty
 
 MOST, TERMS, LEXICONS, PREFIXES = 6000, 2000, 8, (4, 5)
+#: Runs whose terms a scorer remembers.
+KNOWN = 1 << 17
 WORD = re.compile(r"\w+")
+# Words with the look-alike signs in and beside them; no match of WORD or SIGNS goes beyond one.
+RUN, SIGN = re.compile(r"[\w@$!|]+"), re.compile(r"[@$!|\d]")
 SIGNS = re.compile(r"\w*[^\W\d_][\w@$!|]*[@$!|\d][\w@$!|]*[^\W\d_]\w*")
 # Look-alike signs and the letters that they stand for.
 UNDO = str.maketrans("013457@$!|", "oieastasil")
@@ -41,11 +45,13 @@ UNDO = str.maketrans("013457@$!|", "oieastasil")
 
 def terms(text: str) -> set[str]:
     """Distinct words; of longer words the beginnings, marked "^"; and words whose look-alike signs are undone, marked "~"."""
-    low = text.lower()
-    words = set(WORD.findall(low))
-    out = {f"^{w[:n]}" for w in words for n in PREFIXES if len(w) > n}
-    out |= words
-    out.update(f"~{w.translate(UNDO)}" for w in SIGNS.findall(low))
+    out: set[str] = set()
+    for run in set(RUN.findall(text.lower())):
+        words = WORD.findall(run)
+        out.update(words)
+        out.update(f"^{w[:n]}" for w in words for n in PREFIXES if len(w) > n)
+        if SIGN.search(run):
+            out.update(f"~{w.translate(UNDO)}" for w in SIGNS.findall(run))
     return out
 
 
@@ -56,20 +62,30 @@ class Model:
     slot: dict[str, int]
     voter: np.ndarray
     weights: np.ndarray
-
-    def hits(self, text: str) -> list[int]:
-        slot, low = self.slot, text.lower()
-        words = set(WORD.findall(low))
-        found = {slot[w] for w in words & slot.keys()}
-        for n in PREFIXES:
-            found.update(slot[p] for p in {f"^{w[:n]}" for w in words if len(w) > n} & slot.keys())
-        if SIGNS.search(low):
-            for w in SIGNS.findall(low):
-                u = w.translate(UNDO)
-                found.update(slot[x] for x in (u, *(f"^{u[:n]}" for n in PREFIXES if len(u) > n)) if x in slot)
-        return sorted(found)
-
-    def votes(self, text: str, hits: list[int]) -> np.ndarray:
+    known: dict[str, tuple[tuple[int, ...], bool]] = field(default_factory=dict)
+
+    def _of(self, run: str) -> tuple[tuple[int, ...], bool]:
+        """Terms of a run of word characters and signs; whether a sign stands for a letter in it."""
+        if (got := self.known.get(run)) is None:
+            signed = SIGNS.findall(run) if SIGN.search(run) else []
+            words = [*WORD.findall(run), *(w.translate(UNDO) for w in signed)]
+            names = [*words, *(f"^{w[:n]}" for w in words for n in PREFIXES if len(w) > n)]
+            got = tuple({self.slot[x] for x in names if x in self.slot}), bool(signed)
+            if len(run) <= 64:
+                if len(self.known) >= KNOWN:
+                    self.known.clear()
+                self.known[run] = got
+        return got
+
+    def hits(self, text: str) -> tuple[list[int], bool]:
+        """Terms of the text, and whether it has look-alike signs."""
+        found, signed = set(), False
+        for slots, sign in map(self._of, set(RUN.findall(text.lower()))):
+            found.update(slots)
+            signed |= sign
+        return sorted(found), signed
+
+    def votes(self, text: str, hits: list[int], signed: bool) -> np.ndarray:
         """1 toxic, -1 clean, 0 none; lexicons first, then the patterns."""
         v = np.zeros(self.voters, np.int8)
         v[self.voter[hits]] = 1
@@ -79,7 +95,7 @@ class Model:
         else:
             v[-3] = n >= 3
             v[-2] = n * 400 >= len(text)
-            v[-1] = bool(SIGNS.search(text.lower()))
+            v[-1] = signed
         return v
 
     @property
@@ -87,8 +103,8 @@ class Model:
         return 2 * LEXICONS + 4
 
     def score(self, text: str) -> float:
-        hits = self.hits(text)
-        z = self.weights[-1] + self.weights[hits].sum() + self.weights[len(self.slot) : -1] @ self.votes(text, hits)
+        hits, signed = self.hits(text)
+        z = self.weights[-1] + self.weights[hits].sum() + self.weights[len(self.slot) : -1] @ self.votes(text, hits, signed)
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
@@ -172,7 +188,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         for x in batches:
             texts = x.column("text").to_pylist()
             hits = [shared.value.hits(t) for t in texts]
-            votes = [shared.value.votes(t, h).tolist() for t, h in zip(texts, hits, strict=True)]
+            votes = [shared.value.votes(t, *h).tolist() for t, h in zip(texts, hits, strict=True)]
+            hits = [h for h, _ in hits]
             yield pa.RecordBatch.from_arrays([x.column("doc_id"), x.column("toxic"), pa.array(hits, pa.list_(pa.int32())), pa.array(votes, pa.list_(pa.int8()))], ["doc_id", "toxic", "hits", "votes"])
 
     rows = sample.select("doc_id", "toxic", "text").mapInArrow(voted, "doc_id long, toxic int, hits array<int>, votes array<tinyint>").collect()
