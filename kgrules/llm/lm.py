@@ -1,16 +1,19 @@
 """Language-model scores: a hashed maximum-entropy model with class-factored softmax beside add-one unigram scores.
 
 Tokens are the words of a text (A-Z lower-cased, split at ASCII white space) and one end. Counts cover all learning documents.
-The ``VOCAB`` commonest words are modelled: P(w | context) = P(class | context) * P(w | class, context); classes hold ``WIDE``
-words of neighbouring frequency. All other words make up one more class, in which words have their add-one share
-(an unknown word the share of one), so the model sums to one over known words and one unknown. Context features are the word before, the two words before, and the
-word before that (skipping one), each hashed to a bucket; a bucket's weights are a row of the parameter tables, so the logits of
-a batch are a sum of gathered rows.
-
-Training: every partition makes one pass of stochastic updates over all its learning texts, from the broadcast unigram
-model; the partitions' parameters are averaged, weighted by their tokens, in two levels of groups.
-Scoring is one pass over whole texts. Counts of the ``TOP`` commonest words go with it as a bounded broadcast; all rarer words
-of each document are joined with the distributed count table.
+The ``VOCAB`` commonest words, the head, are modelled by P(w | context) = P(class | context) * P(w | class, context); classes
+hold ``WIDE`` words of neighbouring frequency. One more class is the tail, all other words. Tail words are dealt into groups by
+their hash, and P(w | tail, context) = P(group | tail, context) * P(w | group, context), each a tree of softmaxes of at most
+``WIDE`` ways. The number of groups grows with the distinct tail words and the tail's tokens, the depth of the trees with its
+logarithm, so every word of the corpus is modelled. Each group has one unknown word, and the model sums to one over the known
+words and these. Context features are the word before, the two words before, and the word before that (skipping one), at every
+level.
+
+Head and group tree: each feature is hashed to a bucket, whose weights are a row of the parameter tables; the buckets grow with
+the square root of the tokens. Every partition makes one pass of stochastic updates over all its learning texts, from the
+broadcast unigram model; of the rows that a partition touched the changes are averaged, weighted by tokens, in two levels of
+groups. Words within a group: the tokens of a group meet in one task, whose rows are the contexts that occur with it, unhashed;
+they are learned and used there and never leave it. Words are counted for the base score there too.
 
 Cases: a null or empty text has the end as its only token. Rows are told apart by position, so null ids (remainder of '') and
 repeated ids give a row each. Without learning documents all counts are 0. Words are known by a 64-bit hash. Other columns
@@ -32,11 +35,13 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, remainder, text_or_empty
 
-TOP, WIDE, CLASSES = 1 << 18, 32, 32
+WIDE, CLASSES = 32, 32
 VOCAB = WIDE * (CLASSES - 1)
-#: Buckets of each of the three templates for classes, and of the first two for words within a class.
-CLASS_BUCKETS, WORD_BUCKETS, TEMPLATES, WORD_TEMPLATES = 1 << 10, 1 << 6, 3, 2
-BATCH, RATE, FLUSH = 8192, 0.3, 500_000
+TEMPLATES, BATCH, RATE, FLUSH = 3, 8192, 0.3, 500_000
+#: Within a group, where a context is seldom seen.
+SMALL_BATCH, SMALL_RATE = 256, 1.0
+#: Mean distinct words and tokens of a group, about; rows of a block of parameters on the way to their average.
+GROUP_WORDS, GROUP_TOKENS, BLOCK = 512, 1 << 15, 4096
 #: No word holds a space.
 END, START = (xxhash.xxh3_64_intdigest(b) for b in (b" end", b" start"))
 LOG10 = math.log(10)
@@ -79,43 +84,85 @@ class Table:
         return out
 
 
+class Tree:
+    """Leaves below nodes of at most WIDE children; ``bias`` has the log shares of a node's children as a row."""
+
+    def __init__(self, weights: np.ndarray):
+        n = len(weights)
+        self.depth = next(d for d in range(64) if WIDE**d >= n)
+        self.fan = next(b for b in range(1, WIDE + 1) if b**self.depth >= n)
+        full = np.zeros(self.fan**self.depth)
+        full[:n] = weights
+        levels = [full.reshape(self.fan**k, self.fan, -1).sum(axis=2) for k in range(self.depth)]
+        self.first = np.cumsum([0, *map(len, levels)])
+        every = np.concatenate(levels) if levels else np.zeros((0, 1))
+        self.bias = np.where(every > 0, np.log(np.maximum(every, 1e-300)), -1e9).astype(np.float32)
+
+    def at(self, leaf: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """(node, child) on the way to each leaf."""
+        below = self.fan ** (self.depth - level - 1)
+        return self.first[level] + leaf // (below * self.fan), leaf // below % self.fan
+
+
+@dataclass(frozen=True)
+class Shape:
+    """Bits of the buckets of each template: for classes, for words within each class, and for the tree of groups; its fan."""
+
+    cls: int = 10
+    word: int = 6
+    tree: int = 0
+    fan: int = 0
+
+    @staticmethod
+    def of(tokens: int, fan: int) -> Shape:
+        root = math.isqrt(tokens).bit_length()
+        return Shape(max(10, root - 1), max(6, root - 6), max(10, root + 1), fan)
+
+
 @dataclass
 class Params:
-    """Weights of classes (row per bucket, the last the bias) and of words within each class."""
+    """Weights of classes (row per bucket, the last the bias), of words within each class, and of the tree of groups."""
 
     cls: np.ndarray
     word: np.ndarray
+    tree: np.ndarray
+    shape: Shape
 
     @staticmethod
-    def sizes() -> tuple[int, int]:
-        return (TEMPLATES * CLASS_BUCKETS + 1) * CLASSES, (CLASSES - 1) * (WORD_TEMPLATES * WORD_BUCKETS + 1) * WIDE
+    def sizes(shape: Shape = Shape()) -> tuple[int, int, int]:
+        return ((TEMPLATES << shape.cls) + 1) * CLASSES, (CLASSES - 1) * ((TEMPLATES << shape.word) + 1) * WIDE, (TEMPLATES << shape.tree) * shape.fan
 
     @classmethod
-    def of(cls, flat: np.ndarray) -> Params:
-        a, b = cls.sizes()
-        return cls(flat[:a].reshape(-1, CLASSES).copy(), flat[a : a + b].reshape(-1, WIDE).copy())
+    def of(cls, flat: np.ndarray, shape: Shape = Shape()) -> Params:
+        a, b, c = cls.sizes(shape)
+        return cls(flat[:a].reshape(-1, CLASSES).copy(), flat[a : a + b].reshape(-1, WIDE).copy(), flat[a + b : a + b + c].reshape(TEMPLATES << shape.tree, shape.fan).copy(), shape)
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([self.cls.ravel(), self.word.ravel()])
+    def tables(self) -> tuple[np.ndarray, ...]:
+        return self.cls, self.word, self.tree
 
 
-def start(counts: np.ndarray, total: int) -> np.ndarray:
-    """The unigram model as parameters. ``counts``: of the modelled words, commonest first."""
+def start(counts: np.ndarray, total: int, shape: Shape) -> Params:
+    """The unigram model as parameters. ``counts``: of the head, commonest first."""
     c = np.zeros(VOCAB)
     c[: len(counts)] = counts
-    p = Params.of(np.zeros(sum(Params.sizes()), np.float32))
+    p = Params.of(np.zeros(sum(Params.sizes(shape)), np.float32), shape)
     p.cls[-1] = np.log(np.concatenate([[max(total - c.sum(), 0) + 1], c.reshape(-1, WIDE).sum(axis=1) + 1e-3]))
     rows = p.word.reshape(CLASSES - 1, -1, WIDE)
     rows[:, -1] = np.log(c.reshape(-1, WIDE) + 1e-6)
-    return p.flat()
+    return p
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each template (n, 3), from the word before and the one before that."""
+    return np.stack([a, b * np.uint64(0xC2B2AE3D27D4EB4F) + (a >> np.uint64(1)), b], axis=1) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _buckets(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64) + (np.arange(TEMPLATES) << bits)
 
 
-def _features(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the class table (n, 3) and buckets for the word table (n, 2) at the given positions of the token stream."""
-    a, b = h[at - 1], h[at - 2]
-    keys = np.stack([a, b * np.uint64(0xC2B2AE3D27D4EB4F) + (a >> np.uint64(1)), b], axis=1) * np.uint64(0x9E3779B97F4A7C15)
-    rows = (keys >> np.uint64(54)).astype(np.int64) + np.arange(TEMPLATES) * CLASS_BUCKETS
-    return rows, (keys[:, [0, 2]] >> np.uint64(58)).astype(np.int64) + np.arange(WORD_TEMPLATES) * WORD_BUCKETS
+def _of_node(keys: np.ndarray, node: np.ndarray) -> np.ndarray:
+    return ((keys ^ (keys >> np.uint64(29))) + (node.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))[:, None]) * np.uint64(0x94D049BB133111EB)
 
 
 def _log_softmax(z: np.ndarray) -> np.ndarray:
@@ -123,14 +170,14 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
-def _logits(p: Params, rows: np.ndarray) -> np.ndarray:
-    return p.cls[rows[:, 0]] + p.cls[rows[:, 1]] + p.cls[rows[:, 2]] + p.cls[-1]
+def _logits(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    return weights[rows[:, 0]] + weights[rows[:, 1]] + weights[rows[:, 2]] + bias
 
 
-def _word_rows(c: np.ndarray, buckets: np.ndarray) -> np.ndarray:
-    """Rows of the word table for tokens of the classes c (from 1): two buckets and the bias."""
-    base = (c - 1) * (WORD_TEMPLATES * WORD_BUCKETS + 1)
-    return np.concatenate([base[:, None] + buckets, (base + WORD_TEMPLATES * WORD_BUCKETS)[:, None]], axis=1)
+def _word_rows(c: np.ndarray, buckets: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the word table for tokens of the classes c (from 1): their buckets and their bias."""
+    base = (c - 1) * ((TEMPLATES << shape.word) + 1)
+    return base[:, None] + buckets, base + (TEMPLATES << shape.word)
 
 
 def _stream(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,48 +204,80 @@ def _chunks(texts: list[str | None], chars: int = 400_000) -> Iterator[tuple[int
             lo, size = i + 1, 0
 
 
-class Trainer:
-    """Stochastic updates with a rate for each row that falls with the squares it has gathered."""
+def _descend(weights: np.ndarray, gathered: np.ndarray, rows: np.ndarray, bias: np.ndarray, chosen: np.ndarray, rate: float = RATE) -> None:
+    """A stochastic update with a rate for each row that falls with the squares it has gathered."""
+    g = np.exp(_log_softmax(_logits(weights, rows, bias)))
+    g[np.arange(len(chosen)), chosen] -= 1
+    for j in range(TEMPLATES):
+        order = np.argsort(rows[:, j], kind="stable")
+        sorted_ = rows[order, j]
+        first = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
+        at, total = sorted_[first], np.add.reduceat(g[order], first, axis=0)
+        gathered[at] += (total * total).sum(axis=1)
+        weights[at] -= rate * total / np.sqrt(gathered[at])[:, None]
 
-    def __init__(self, flat: np.ndarray):
-        self.p = Params.of(flat)
-        self.cls, self.word, self.seen = np.ones(len(self.p.cls), np.float32), np.ones(len(self.p.word), np.float32), 0
 
-    def _update(self, weights: np.ndarray, gathered: np.ndarray, rows: np.ndarray, g: np.ndarray) -> None:
-        order = np.argsort(rows, kind="stable")
-        at, first = np.unique(rows[order], return_index=True)
-        total = np.add.reduceat(g[order], first, axis=0)
-        gathered[at] += (total * total).sum(axis=1)
-        weights[at] -= RATE * total / np.sqrt(gathered[at])[:, None]
+class Trainer:
+    """Updates of the head and of the tree of groups, which has so many ``leaves``."""
+
+    def __init__(self, p: Params, groups: Tree, leaves: int):
+        self.p, self.groups, self.leaves, self.seen = p, groups, leaves, 0
+        self.gathered = [np.ones(len(t), np.float32) for t in p.tables()]
 
     def step(self, h: np.ndarray, at: np.ndarray, rank: np.ndarray) -> None:
-        """``rank``: of the token at each position, VOCAB or more for the class of all others."""
-        rows, buckets = _features(h, at)
+        """``rank``: of the token at each position, VOCAB or more for the tail."""
+        p, keys = self.p, _mixed(h[at - 1], h[at - 2])
         c = np.where(rank < VOCAB, rank // WIDE + 1, 0)
-        g = np.exp(_log_softmax(_logits(self.p, rows)))
-        g[np.arange(len(c)), c] -= 1
-        for j in range(TEMPLATES):
-            self._update(self.p.cls, self.cls, rows[:, j], g)
-        own = np.flatnonzero(c)
+        _descend(p.cls, self.gathered[0], _buckets(keys, p.shape.cls), p.cls[-1], c)
+        own, tail = np.flatnonzero(c), np.flatnonzero(c == 0)
         if len(own):
-            rows = _word_rows(c[own], buckets[own])
-            g = np.exp(_log_softmax(self.p.word[rows[:, 0]] + self.p.word[rows[:, 1]] + self.p.word[rows[:, 2]]))
-            g[np.arange(len(own)), rank[own] % WIDE] -= 1
-            for j in range(WORD_TEMPLATES):
-                self._update(self.p.word, self.word, rows[:, j], g)
+            rows, bias = _word_rows(c[own], _buckets(keys[own], p.shape.word), p.shape)
+            _descend(p.word, self.gathered[1], rows, p.word[bias], rank[own] % WIDE)
+        if len(tail):
+            for k in range(self.groups.depth):
+                node, child = self.groups.at(group_of(h[at[tail]], self.leaves), k)
+                _descend(p.tree, self.gathered[2], _buckets(_of_node(keys[tail], node), p.shape.tree), self.groups.bias[node], child)
         self.seen += len(at)
 
 
-def log_probs(p: Params, h: np.ndarray, at: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Natural logs of P(class) and, for modelled words, of P(word | class); tail words get the class alone."""
-    rows, buckets = _features(h, at)
+def group_of(h: np.ndarray, groups: int) -> np.ndarray:
+    return np.mod(signed(h), groups)
+
+
+def log_probs(p: Params, h: np.ndarray, at: np.ndarray, rank: np.ndarray, groups: Tree | None = None, leaves: int = 1) -> np.ndarray:
+    """Natural logs of P(class) and, for the head, of P(word | class); tail words get P(class) and, given the tree, P(group | class)."""
+    keys = _mixed(h[at - 1], h[at - 2])
     c = np.where(rank < VOCAB, rank // WIDE + 1, 0)
-    out = _log_softmax(_logits(p, rows))[np.arange(len(c)), c].astype(np.float64)
-    own = np.flatnonzero(c)
+    out = _log_softmax(_logits(p.cls, _buckets(keys, p.shape.cls), p.cls[-1]))[np.arange(len(c)), c].astype(np.float64)
+    own, tail = np.flatnonzero(c), np.flatnonzero(c == 0)
     if len(own):
-        rows = _word_rows(c[own], buckets[own])
-        z = _log_softmax(p.word[rows[:, 0]] + p.word[rows[:, 1]] + p.word[rows[:, 2]])
-        out[own] += z[np.arange(len(own)), rank[own] % WIDE]
+        rows, bias = _word_rows(c[own], _buckets(keys[own], p.shape.word), p.shape)
+        out[own] += _log_softmax(_logits(p.word, rows, p.word[bias]))[np.arange(len(own)), rank[own] % WIDE]
+    if len(tail) and groups:
+        for k in range(groups.depth):
+            node, child = groups.at(group_of(h[at[tail]], leaves), k)
+            z = _logits(p.tree, _buckets(_of_node(keys[tail], node), p.shape.tree), groups.bias[node])
+            out[tail] += _log_softmax(z)[np.arange(len(tail)), child]
+    return out
+
+
+def within(tree: Tree, leaf: np.ndarray, a: np.ndarray, b: np.ndarray, learn: np.ndarray) -> np.ndarray:
+    """Natural logs of P(leaf | context) after one pass over the tokens to learn from; a row for each context of each node."""
+    out, keys, studied = np.zeros(len(leaf)), _mixed(a, b), np.flatnonzero(learn)
+    for k in range(tree.depth):
+        node, child = tree.at(leaf, k)
+        # a template's keys are apart from the others'
+        own = _of_node(keys, node) + np.arange(TEMPLATES, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        distinct, rows = np.unique(own, return_inverse=True)
+        rows = rows.reshape(-1, TEMPLATES)
+        weights, gathered = np.zeros((len(distinct), tree.fan), np.float32), np.ones(len(distinct), np.float32)
+        for lo in range(0, len(studied), SMALL_BATCH):
+            at = studied[lo : lo + SMALL_BATCH]
+            _descend(weights, gathered, rows[at], tree.bias[node[at]], child[at], SMALL_RATE)
+        for lo in range(0, len(leaf), BATCH):
+            at = slice(lo, lo + BATCH)
+            z = _log_softmax(_logits(weights, rows[at], tree.bias[node[at]]))
+            out[at] += z[np.arange(len(z)), child[at]]
     return out
 
 
@@ -229,11 +308,13 @@ def counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Shared:
-    """What goes to the executors: bounded by TOP and the parameter tables."""
+    """What goes to the executors: the head's words and counts, the parameter tables and the tree of groups."""
 
     hashes: np.ndarray
     counts: np.ndarray
-    flat: np.ndarray
+    params: Params
+    groups: Tree
+    leaves: int
     table: Table | None = None
 
     def ranks(self, h: np.ndarray) -> np.ndarray:
@@ -242,33 +323,74 @@ class Shared:
         return self.table.find(h)
 
 
-def _train(docs: DataFrame, shared, scratch: Scratch) -> np.ndarray:
+def _train(docs: DataFrame, shared, scratch: Scratch) -> Params:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = Trainer(shared.value.flat)
+        s = shared.value
+        p = Params(*(t.copy() for t in s.params.tables()), s.params.shape)
+        trainer = Trainer(p, s.groups, s.leaves)
         for x in batches:
             for _, part in _chunks(x.column("text").to_pylist()):
                 h, at, _ = _stream(part)
-                rank = shared.value.ranks(h[at])
+                rank = s.ranks(h[at])
                 rank = np.where(rank < 0, VOCAB, rank)
                 for lo in range(0, len(at), BATCH):
                     trainer.step(h, at[lo : lo + BATCH], rank[lo : lo + BATCH])
-        if trainer.seen:
-            pieces = np.array_split(trainer.p.flat(), 16)
-            yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([trainer.seen] * 16, pa.int64()), pa.array([p.tobytes() for p in pieces], pa.binary())], ["block", "n", "w"])
+        for k, (new, old, gathered) in enumerate(zip(p.tables(), s.params.tables(), trainer.gathered, strict=True)):
+            for lo in range(0, len(new), BLOCK):
+                rows = np.flatnonzero(gathered[lo : lo + BLOCK] > 1)
+                if len(rows):
+                    delta = new[lo + rows] - old[lo + rows]
+                    n = np.full(len(rows), trainer.seen, np.float64)
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([lo // BLOCK], pa.int32()), pa.array([rows.astype(np.uint16).tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary()), pa.array([delta.astype(np.float16).tobytes()], pa.binary())], ["tab", "block", "rows", "n", "w"])
 
     def average(t: pa.Table) -> pa.Table:
-        n = t.column("n").to_pylist()
-        total = sum(n)
-        w = sum(np.frombuffer(b.as_py(), np.float32) * np.float64(k / total) for b, k in zip(t.column("w"), n, strict=True))
-        return pa.table({"block": t.column("block")[:1], "n": pa.array([total], pa.int64()), "w": pa.array([w.astype(np.float32).tobytes()], pa.binary())})
-
-    schema = "block int, n long, w binary"
+        n, w = np.zeros(BLOCK), None
+        for r, k, b in zip(t.column("rows"), t.column("n"), t.column("w"), strict=True):
+            rows, k = np.frombuffer(r.as_py(), np.uint16), np.frombuffer(k.as_py(), np.float64)
+            b = np.frombuffer(b.as_py(), np.float16).reshape(len(rows), -1)
+            w = np.zeros((BLOCK, b.shape[1])) if w is None else w
+            w[rows] += b * k[:, None]
+            n[rows] += k
+        rows = np.flatnonzero(n)
+        w = (w[rows] / n[rows, None]).astype(np.float16)
+        return pa.table({"tab": t.column("tab")[:1], "block": t.column("block")[:1], "rows": pa.array([rows.astype(np.uint16).tobytes()], pa.binary()), "n": pa.array([n[rows].tobytes()], pa.binary()), "w": pa.array([w.tobytes()], pa.binary())})
+
+    schema = "tab int, block int, rows binary, n binary, w binary"
     parts = docs.select("text").mapInArrow(run, schema).withColumn("at", F.spark_partition_id())
     # groups of about the square root of the partitions' number: neither level gathers them all
     groups = max(1, math.isqrt(docs.rdd.getNumPartitions()))
-    level = parts.withColumn("g", F.pmod("at", F.lit(groups))).select("g", "block", "n", "w").groupBy("g", "block").applyInArrow(average, schema)
-    done = scratch.keep(level.groupBy("block").applyInArrow(average, schema)).collect()
-    return np.concatenate([np.frombuffer(r.w, np.float32) for r in sorted(done, key=lambda r: r.block)]) if done else shared.value.flat
+    level = parts.withColumn("g", F.pmod("at", F.lit(groups))).select("g", "tab", "block", "rows", "n", "w").groupBy("g", "tab", "block").applyInArrow(average, schema)
+    done = scratch.keep(level.groupBy("tab", "block").applyInArrow(average, schema)).collect()
+    p = shared.value.params
+    for r in done:
+        rows = np.frombuffer(r.rows, np.uint16)
+        p.tables()[r.tab][r.block * BLOCK + rows.astype(np.int64)] += np.frombuffer(r.w, np.float16).reshape(len(rows), -1)
+    return p
+
+
+def _tail(t: pa.Table) -> pa.Table:
+    """The tokens of one group of tail words: (rid, k, s, m), the known ones, their base score and all log10 P(word | group).
+
+    ``e``: -1 for a word of the table, whose count is ``x``; else twice the row's number, and one more if it is held out; ``x`` then packs the context.
+    """
+    h, x, e = (t.column(c).to_numpy() for c in ("h", "x", "e"))
+    word = e < 0
+    order = np.lexsort((h[word], -x[word]))
+    known, c = h[word][order], x[word][order]
+    tree = Tree(np.append(c + 1.0, 1.0))
+    h, x, e = h[~word], x[~word].view(np.uint64), e[~word]
+    by = np.argsort(known)
+    leaf = np.full(len(h), len(known))
+    if len(known):
+        found = by[np.minimum(np.searchsorted(known, h, sorter=by), len(known) - 1)]
+        leaf = np.where(known[found] == h, found, leaf)
+    # the same order whatever the shuffle's
+    order = np.lexsort((x, h, e))
+    leaf, x, e = leaf[order], x[order], e[order]
+    m = within(tree, leaf, x >> np.uint64(32), x & np.uint64(0xFFFFFFFF), e % 2 == 0) / LOG10
+    rid, first = np.unique(e // 2, return_index=True)
+    sums = lambda v: np.add.reduceat(v, first) if len(first) else v
+    return pa.table({"rid": rid, "k": sums((leaf < len(known)).astype(np.int64)), "s": sums(np.log10(np.append(c, 0) + 1.0)[leaf]), "m": sums(m)})
 
 
 def score(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
@@ -279,56 +401,61 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     learning = docs.where(rest_of != held).select(text_or_empty().alias("text"))
     table = scratch.keep(counts(learning))
     total, distinct = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = table.orderBy(F.desc("c"), "h").limit(TOP).collect()
+    top = table.orderBy(F.desc("c"), "h").limit(VOCAB).collect()
     hashes, c = np.array([r.h for r in top], np.int64).view(np.uint64), np.array([r.c for r in top], np.int64)
-    flat = start(c[:VOCAB], total)
-    tail = float(total - c[:VOCAB].sum() + max(distinct - VOCAB, 0) + 1)
-    shared = spark.sparkContext.broadcast(Shared(hashes, c, flat))
+    leaves = max(1, -(-(distinct - len(c)) // GROUP_WORDS), -(-int(total - c.sum()) // GROUP_TOKENS))
+    tail_words = table.join(F.broadcast(spark.createDataFrame([(r.h,) for r in top], "h long")), "h", "left_anti").select(F.pmod("h", F.lit(leaves).cast("long")).alias("g"), "h", "c")
+    # a count of one more for each word, and one unknown word in each group
+    mass = np.ones(leaves)
+    for r in tail_words.groupBy("g").agg(F.sum(F.col("c") + 1).alias("n")).collect():
+        mass[r.g] += r.n
+    groups = Tree(mass)
+    params = start(c, total, Shape.of(total, groups.fan))
+    shared = spark.sparkContext.broadcast(Shared(hashes, c, params, groups, leaves))
     if total:
-        shared = spark.sparkContext.broadcast(Shared(hashes, c, _train(learning, shared, scratch)))
+        shared = spark.sparkContext.broadcast(Shared(hashes, c, _train(learning, shared, scratch), groups, leaves))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
-        p, log_c = Params.of(s.flat), np.log10(np.append(s.counts, 0) + 1.0)
+        log_c = np.log10(s.counts + 1.0)
         for x in batches:
-            n, known, base, model, rare, tf = [], [], [], [], [], []
+            n, known, base, model, ws, xs = [], [], [], [], [], []
             for _, part in _chunks(x.column("text").to_pylist()):
                 h, at, text = _stream(part)
                 rank = s.ranks(h[at])
                 inside, outside = rank >= 0, rank < 0
-                rank = np.where(outside, len(s.counts), rank)
-                lp = np.concatenate([log_probs(p, h, at[i : i + BATCH], np.where(outside[i : i + BATCH], VOCAB, rank[i : i + BATCH])) for i in range(0, len(at), BATCH)]) / LOG10
-                lp += np.where(rank >= VOCAB, log_c[rank] - math.log10(tail), 0) if len(s.counts) > VOCAB else np.where(outside, -math.log10(tail), 0)
-                add = lambda v: np.bincount(text, v, len(part)).tolist()  # noqa: E731, B023
+                tail = np.where(outside, VOCAB, rank)
+                lp = np.concatenate([log_probs(s.params, h, at[i : i + BATCH], tail[i : i + BATCH], s.groups, s.leaves) for i in range(0, len(at), BATCH)]) / LOG10
+                add = lambda v, on: np.bincount(text[on], v, len(part)).tolist()  # noqa: E731, B023
                 n += np.bincount(text, minlength=len(part)).tolist()
                 known += np.bincount(text[inside], minlength=len(part)).tolist()
-                base += add(log_c[rank])
-                model += add(lp)
-                cut = np.searchsorted(text[outside], np.arange(len(part) + 1))
-                ho = signed(h[at][outside])
-                for i in range(len(part)):
-                    a, b = np.unique(ho[cut[i] : cut[i + 1]], return_counts=True)
-                    rare.append(a)
-                    tf.append(b)
+                base += add(log_c[rank[inside]], inside)
+                model += add(lp, slice(None))
+                cut = pa.array(np.searchsorted(text[outside], np.arange(len(part) + 1)).astype(np.int32))
+                a, b = h[at[outside] - 1], h[at[outside] - 2]
+                ws.append(pa.ListArray.from_arrays(cut, pa.array(signed(h[at[outside]]))))
+                xs.append(pa.ListArray.from_arrays(cut, pa.array(signed((a << np.uint64(32)) | (b & np.uint64(0xFFFFFFFF))))))
+            lists = lambda v: pa.concat_arrays(v) if v else pa.array([], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [x.column("doc_id"), x.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(model, pa.float64()), pa.array(rare, pa.list_(pa.int64())), pa.array(tf, pa.list_(pa.int64()))],
-                ["doc_id", "held_out", "n_tokens", "known", "base", "model", "rare", "tf"],
+                [x.column("doc_id"), x.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(model, pa.float64()), lists(ws), lists(xs)],
+                ["doc_id", "held_out", "n_tokens", "known", "base", "model", "h", "x"],
             )
 
-    schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, model double, rare array<long>, tf array<long>"
+    schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, model double, h array<long>, x array<long>"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (rest_of == held).alias("held_out"), text_or_empty().alias("text")).mapInArrow(run, schema)
     rows = scratch.keep(rows.withColumn("rid", F.monotonically_increasing_id()))
-    each = rows.select("rid", F.explode(F.arrays_zip("rare", "tf")).alias("x")).select("rid", F.col("x.rare").alias("h"), F.col("x.tf").alias("tf"))
-    found = each.join(table, "h")  # words without a count add log10(1) = 0
-    more = found.groupBy("rid").agg(F.sum("tf").alias("k"), F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("s"))
+    each = rows.select((F.col("rid") * 2 + F.col("held_out").cast("long")).alias("e"), F.inline(F.arrays_zip("h", "x")))
+    each = each.select(F.pmod("h", F.lit(leaves).cast("long")).alias("g"), "h", "x", "e").unionByName(tail_words.select("g", "h", F.col("c").alias("x"), F.lit(-1).cast("long").alias("e")))
+    parts = each.groupBy("g").applyInArrow(_tail, "rid long, k long, s double, m double")
+    more = parts.groupBy("rid").agg(F.sum("k").alias("k"), F.sum("s").alias("s"), F.sum("m").alias("m"))
     out = rows.select("rid", "doc_id", "held_out", "n_tokens", "known", "base", "model").join(more, "rid", "left")
-    s = F.coalesce("s", F.lit(0.0))
+    or_0 = lambda c: F.coalesce(c, F.lit(0))
     return out.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"),
+        (F.col("known") + or_0("k")).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + s - F.col("n_tokens") * math.log10(total + distinct + 1)).alias("base_score"),
-        (F.col("model") + s).alias("score"),
+        (F.col("base") + or_0("s") - F.col("n_tokens") * math.log10(total + distinct + 1)).alias("base_score"),
+        (F.col("model") + or_0("m")).alias("score"),
     )

@@ -174,6 +174,35 @@ def test_lm_probabilities_sum_to_one():
     assert total == pytest.approx(1, abs=1e-4)
 
 
+def test_lm_learns_the_contexts_of_rare_words(spark):
+    """Words beyond the commonest, each after one other word alone: a model of all words beats the unigram share by far."""
+    pairs, rng = 1500, np.random.default_rng(0)
+    texts = [" ".join(f"left{k} right{k}" for k in rng.permutation(pairs)) for _ in range(12)]
+    got = lm.score(spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], SCHEMA)).collect()
+    held = [r for r in got if r.held_out]
+    assert held and all(r.n_known == r.n_tokens == 2 * pairs + 1 for r in got)
+    assert all((r.score - r.base_score) / r.n_tokens > 0.3 for r in held)
+
+
+def test_lm_sums_to_one_over_all_words():
+    """Class, group and word: over the head, the known tail words of all groups and one unknown word of each."""
+    rng, leaves = np.random.default_rng(0), 40
+    tail = rng.integers(1, 1 << 62, 3000).astype(np.uint64)
+    groups = lm.Tree(np.ones(leaves))
+    shape = lm.Shape.of(5_000_000, groups.fan)
+    p = lm.Params.of(rng.normal(size=sum(lm.Params.sizes(shape))).astype(np.float32), shape)
+    head = np.exp(lm.log_probs(p, np.array([lm.START, lm.START, 5], np.uint64), np.full(lm.VOCAB, 2), np.arange(lm.VOCAB))).sum()
+    total = head
+    for g in range(leaves):
+        mine = tail[lm.group_of(tail, leaves) == g]
+        h = np.array([lm.START, lm.START, mine[0]], np.uint64)
+        share = np.exp(lm.log_probs(p, h, np.array([2]), np.array([lm.VOCAB]), groups, leaves))[0]
+        n = len(mine) + 1
+        same = np.full(n, 7, np.uint64)
+        total += share * np.exp(lm.within(lm.Tree(np.ones(n)), np.arange(n), same, same, np.zeros(n, bool))).sum()
+    assert total == pytest.approx(1, abs=1e-3)
+
+
 def test_media(edge):
     rows = media.digest(edge).collect()
     assert len(rows) == len(EDGE)
