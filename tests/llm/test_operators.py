@@ -251,6 +251,19 @@ def test_secrets(spark):
     assert not any("random" in r.spans for i, r in got.items() if i != 3)
 
 
+def test_secrets_without_long_words(spark):
+    """Keys of each length are found in a corpus without long words, and long natural strings are not."""
+    rng, signs = np.random.default_rng(4), list(secrets.ALPHABETS["base64"][:62])
+    sizes = (32, 40, 64, 128)
+    keys = ["".join(rng.choice(signs, n)) for n in sizes for _ in range(5)]
+    natural = ["informationAboutTheLanguageOfTheCountry", "environment-and-development-of-the-world-2019", "theQuickBrownFoxJumpsOverTheLazyDogAgainAndAgain"]
+    docs = spark.createDataFrame([row(i, f"see {k} here") for i, k in enumerate(keys + natural)], SCHEMA)
+    got = {r.doc_id: r.spans for r in secrets.digest(docs).collect()}
+    hit = [f"random:4:{4 + len(k)}" == got[i] for i, k in enumerate(keys)]
+    assert all(sum(hit[5 * j : 5 * j + 5]) >= 3 for j in range(len(sizes))), hit
+    assert not any(got[len(keys) + i] for i in range(len(natural)))
+
+
 def test_mixing_reaches_the_marginals(spark):
     rng = np.random.default_rng(5)
     docs = spark.createDataFrame([row(i, "w " * int(rng.integers(1, 60)), "en" if rng.random() < 0.8 else "de", f"s{int(rng.integers(0, 3)) * int(rng.integers(0, 2))}") for i in range(600)], SCHEMA)
