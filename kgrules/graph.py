@@ -10,7 +10,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .measures import SCHEMA, ratio
+from .measures import SCHEMA
+from .operators import index
+from .operators.store import kept
 from .plans import planner
 from .rules import Rule, display, parse_json_rule, parse_line
 
@@ -25,6 +27,7 @@ class KnowledgeGraph:
             self.triples = self.triples.persist(StorageLevel.MEMORY_AND_DISK)
         self.persisted = persist
         self._sizes: dict[str, int] = {}
+        self._stats: dict[str, planner.Stats] = {}
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, persist: bool = True) -> KnowledgeGraph:
@@ -35,6 +38,16 @@ class KnowledgeGraph:
             return cls(spark, tsv.read(spark, path), persist=persist)
         return cls(spark, turtle.read(spark, path), turtle.prefixes(spark, path), persist)
 
+    def stored(self) -> KnowledgeGraph:
+        """The same graph with its distinct triples written once to the shared folder, a folder for each predicate.
+
+        Every atom then reads only its predicates' files, and nothing is made distinct again.
+        """
+        out = KnowledgeGraph(self.spark, self.triples, self.prefixes)
+        out.triples = kept(self.triples, "p")
+        out._sizes, out._stats = dict(self._sizes), dict(self._stats)
+        return out
+
     def __enter__(self) -> KnowledgeGraph:
         return self
 
@@ -48,7 +61,7 @@ class KnowledgeGraph:
 
     def memory(self) -> int:
         """Bytes of the triples by the optimizer's estimate."""
-        return int(self.triples._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(str(self.triples._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
     def sizes(self, predicates: Iterable[str]) -> dict[str, int]:
         """Distinct triples of each given predicate; one job for all that aren't known yet."""
@@ -58,6 +71,16 @@ class KnowledgeGraph:
             self._sizes.update({p: found.get(p, 0) for p in new})
         return self._sizes
 
+    def stats(self, predicates: Iterable[str]) -> dict[str, planner.Stats]:
+        """Triples, distinct ends and greatest fan-outs of each given predicate; one row of each reaches the driver."""
+        new = sorted(set(predicates) - self._stats.keys())
+        if new:
+            rows = index.predicate_stats(self.triples.where(F.col("p").isin(new))).collect()
+            self._stats.update({r.p: planner.Stats(r.n, r.n_subj, r.n_obj, r.max_fan_spo, r.max_fan_pos) for r in rows})
+            self._stats.update({p: planner.Stats() for p in new if p not in self._stats})
+            self._sizes.update({p: self._stats[p].n for p in new})
+        return self._stats
+
     # -- evaluation ----------------------------------------------------------------------------------------------------
 
     def rule(self, text: str | Rule) -> Rule:
@@ -72,20 +95,23 @@ class KnowledgeGraph:
     def evaluate_json(self, text: str, **options) -> dict:
         return self.evaluate(parse_json_rule(text, self.prefixes), **options)
 
-    def measures(self, rules: Iterable[str | Rule], zero_support_body: str = "count", cross_limit: int | None = None, batch: bool = True) -> DataFrame:
-        """A row of measures for each rule, numbered in order.
+    def measures(self, rules: Iterable[str | Rule], zero_support_body: str = "count", cross_limit: int | None = planner.CROSS, batch: bool = True, budget: float = planner.GROUNDINGS) -> DataFrame:
+        """A row of measures for each rule, numbered in order. Rules, and rows of their measures, are few: thousands.
 
         ``zero_support_body``: "skip" reports a body size of 0 where the support is 0. ``cross_limit``: rows that the product of
-        unconnected body parts may have by estimate. ``batch``: rules of one shape share their joins.
+        unconnected body parts may have by estimate (None: any). ``batch``: rules of one shape share their joins, so many
+        at a time that the estimated groundings are within ``budget``.
         """
         listed = dict(enumerate(self.rule(r) for r in rules))
-        sizes = self.sizes(a.p for r in listed.values() for a in (*r.body, r.head))
+        named = {a.p for r in listed.values() for a in (*r.body, r.head)}
+        stats = self.stats(named) if batch and len(listed) > 1 else {}
+        sizes = self.sizes(named)
         together = {i: r for i, r in listed.items() if batch and planner.batchable(r)}
-        counts = [planner.batched(self.triples, together, sizes)] if together else []
+        counts = [planner.batched(self.triples, together, sizes, stats, budget)] if together else []
         for i, r in listed.items():
             if i not in together:
                 counts += self._alone(i, r, sizes, cross_limit)
-        names = self.spark.createDataFrame([(i, display(r), sizes[r.head.p]) for i, r in listed.items()], "rule_id int, rule string, head_size long")
+        names = planner.given(self.spark, [(i, display(r), sizes[r.head.p]) for i, r in listed.items()], "rule_id int, rule string, head_size long")
         heads = self._head_support(listed, sizes)
         if counts:
             found = reduce(DataFrame.unionByName, counts).groupBy("rule_id").agg(F.sum("support").alias("support"), F.sum("body_size").alias("body_size"))
@@ -101,26 +127,25 @@ class KnowledgeGraph:
         return out.select(*(x.split()[0] for x in SCHEMA.split(", ")))
 
     def _alone(self, i: int, r: Rule, sizes: Mapping[str, int], limit: int | None) -> list[DataFrame]:
+        at, zero = F.lit(i).alias("rule_id"), F.lit(0).cast("long")
+        if planner.batchable(r):
+            return [planner.one_pass(self.triples, r, sizes).select(at, "support", "body_size")]
         support, pairs = planner.general(self.triples, r, sizes, limit)
-        zero = F.lit(0).cast("long")
         out = []
         if support is not None:
-            out.append(support.agg(F.count("*").alias("support")).select(F.lit(i).alias("rule_id"), "support", zero.alias("body_size")))
+            out.append(support.agg(F.count("*").alias("support")).select(at, "support", zero.alias("body_size")))
         if pairs is not None:
-            out.append(pairs.agg(F.count("*").alias("body_size")).select(F.lit(i).alias("rule_id"), zero.alias("support"), "body_size"))
+            out.append(pairs.agg(F.count("*").alias("body_size")).select(at, zero.alias("support"), "body_size"))
         return out
 
     def _head_support(self, rules: Mapping[int, Rule], sizes: Mapping[str, int]) -> DataFrame:
         """(rule_id, head_support): by statistics for heads of variables, one job for all others."""
         rows = [(i, r.head.p, None if r.head.s.is_var else r.head.s.value, None if r.head.o.is_var else r.head.o.value) for i, r in rules.items()]
-        free = self.spark.createDataFrame([(i, sizes[p]) for i, p, s, o in rows if s is None and o is None], "rule_id int, head_support long")
+        free = planner.given(self.spark, [(i, sizes[p]) for i, p, s, o in rows if s is None and o is None], "rule_id int, head_support long")
         fixed = [x for x in rows if x[2] is not None or x[3] is not None]
         if not fixed:
             return free
-        asked = self.spark.createDataFrame(fixed, "rule_id int, hp string, hs string, ho string")
+        asked = planner.given(self.spark, fixed, "rule_id int, hp string, hs string, ho string")
         on = (F.col("p") == F.col("hp")) & (F.col("hs").isNull() | (F.col("s") == F.col("hs"))) & (F.col("ho").isNull() | (F.col("o") == F.col("ho")))
-        return free.unionByName(self.triples.join(F.broadcast(asked), on).groupBy("rule_id").agg(F.count("*").alias("head_support")))
-
+        return free.unionByName(self.triples.where(F.col("p").isin(sorted({x[1] for x in fixed}))).join(F.broadcast(asked), on).groupBy("rule_id").agg(F.count("*").alias("head_support")))
 
-def measures_row(i: int, r: Rule, support: int, head_size: int, head_support: int, body_size: int) -> tuple:
-    return (i, display(r), support, head_size, head_support, ratio(support, head_size), body_size, ratio(support, body_size))

@@ -2,15 +2,4 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 SCHEMA = "rule_id int, rule string, support long, head_size long, head_support long, head_coverage double, body_size long, confidence double"
-
-
-def ratio(n: int, d: int) -> float:
-    return n / d if d else 0.0
-
-
-def guarded(n: Column, d: Column) -> Column:
-    return F.when(d > 0, n / d).otherwise(0.0)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import kept
+
 
 def of_predicate(triples: DataFrame, p: str) -> DataFrame:
     return triples.where(F.col("p") == p)
@@ -23,9 +25,10 @@ def predicate_stats(triples: DataFrame) -> DataFrame:
 
 
 def graph_stats(triples: DataFrame) -> DataFrame:
-    """(n_triples, n_terms, n_predicates): terms of any position."""
-    totals = triples.groupBy("p").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n_triples"), F.count("*").alias("n_predicates"))
-    return totals.crossJoin(terms(triples).agg(F.count("*").alias("n_terms"))).select(F.coalesce("n_triples", F.lit(0)).alias("n_triples"), "n_terms", "n_predicates")  # one row each
+    """(n_triples, n_terms, n_predicates): terms of any position, each known by the first position that it is counted in."""
+    each = triples.select(F.explode(F.array(F.struct(F.col("s").alias("t"), F.lit(0).alias("at")), F.struct(F.col("p").alias("t"), F.lit(1).alias("at")), F.struct(F.col("o").alias("t"), F.lit(2).alias("at")))).alias("x"))
+    counted = each.groupBy("x.t").agg(F.sum(F.when(F.col("x.at") == 1, 1).otherwise(0)).alias("as_p"))
+    return counted.agg(F.coalesce(F.sum("as_p"), F.lit(0)).alias("n_triples"), F.count("*").alias("n_terms"), F.count(F.when(F.col("as_p") > 0, 1)).alias("n_predicates"))
 
 
 def terms(triples: DataFrame) -> DataFrame:
@@ -34,8 +37,8 @@ def terms(triples: DataFrame) -> DataFrame:
 
 
 def dictionary(triples: DataFrame) -> DataFrame:
-    """(id, term): an id for each term of any position. Keep the result before using ids twice: they follow the partitions."""
-    return terms(triples).select(F.monotonically_increasing_id().alias("id"), "term")
+    """(id, term): an id for each term of any position. The table is kept, as ids follow the partitions."""
+    return kept(terms(triples).select(F.monotonically_increasing_id().alias("id"), "term"))
 
 
 def encode(triples: DataFrame, names: DataFrame) -> DataFrame:

@@ -5,16 +5,31 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder of spark.checkpoint.dir (a temporary one only where that is unset) and read again."""
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where that is unset, a temporary one on a single machine, and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='kept')}"
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return root.rstrip("/")
+
+
+def kept(df: DataFrame, by: str | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read again; with ``by`` in a folder for each value of that column.
+
+    Rows are brought together by that column first, in parts that are neither tiny nor skewed, so a value has few files.
+    """
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/kept-{uuid.uuid4().hex}"
+    if by:
+        df.hint("rebalance", by).write.partitionBy(by).parquet(path)
+    else:
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    return out.select(*df.columns)

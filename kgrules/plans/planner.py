@@ -10,7 +10,9 @@ two different variables that both occur in the body. ``batched`` does that for a
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +21,12 @@ from pyspark.sql import functions as F
 from ..rules import Atom, Rule, Term
 
 
+#: Rows that the product of a body's unconnected parts may have by estimate, unless the caller says otherwise.
+CROSS = 1_000_000_000
+#: Estimated groundings of the rules that are evaluated together; rules of a batch at most, as their parameters are broadcast.
+GROUNDINGS, BATCH = 1e10, 20_000
+
+
 class CrossProductError(ValueError):
     """A body of unconnected parts whose product is beyond the limit."""
 
@@ -32,15 +40,32 @@ def v(name: str) -> str:
     return f"v_{name}"
 
 
-def order(body: Sequence[Atom], sizes: Mapping[str, int], first: Iterable[str] = ()) -> list[int]:
-    """A greedy join order: the atom with the most bound terms next, the smaller predicate on ties."""
+@dataclass(frozen=True)
+class Stats:
+    """Of a predicate: triples, distinct subjects and objects, the most objects of a subject and subjects of an object."""
+
+    n: int = 0
+    subjects: int = 0
+    objects: int = 0
+    out: int = 0
+    into: int = 0
+
+
+def order(body: Sequence[Atom], sizes: Mapping[str, int], first: Iterable[str] = (), stats: Mapping[str, Stats] | None = None) -> list[int]:
+    """A greedy join order: the atom with the most bound terms next; on ties the one with the smallest greatest fan-out from
+    its bound end, where ``stats`` tells it, then the smaller predicate. ``first``: variables that are bound from the start."""
     bound, left, out = set(first), list(range(len(body))), []
+
+    def fan(a: Atom, known: list[bool]) -> int:
+        s = (stats or {}).get(a.p)
+        return 0 if s is None or known[0] == known[1] else s.out if known[0] else s.into
+
     while left:
         def rank(i: int) -> tuple:
             a = body[i]
-            fixed = sum(not t.is_var or t.value in bound for t in (a.s, a.o))
+            known = [not t.is_var or t.value in bound for t in (a.s, a.o)]
             joined = any(x in bound for x in a.variables)
-            return (-joined if bound else 0, -fixed, sizes.get(a.p, 0), i)
+            return (-joined if bound else 0, -sum(known), fan(a, known), sizes.get(a.p, 0), i)
 
         best = min(left, key=rank)
         left.remove(best)
@@ -49,6 +74,17 @@ def order(body: Sequence[Atom], sizes: Mapping[str, int], first: Iterable[str] =
     return out
 
 
+def groundings(body: Sequence[Atom], stats: Mapping[str, Stats]) -> float:
+    """An estimate of a body's groundings in its order: mean fan-outs from bound ends, one in so many for bound pairs."""
+    bound, rows = set(), 1.0
+    for a in body:
+        s = stats.get(a.p, Stats())
+        known = [not t.is_var or t.value in bound for t in (a.s, a.o)]
+        rows *= s.n / (max(s.subjects, 1) if known[0] else 1) / (max(s.objects, 1) if known[1] else 1)
+        bound |= set(a.variables)
+    return rows
+
+
 def components(body: Sequence[Atom]) -> list[set[str]]:
     """The connected groups of the body's variables."""
     groups: list[set[str]] = []
@@ -217,14 +253,9 @@ def shape(rule: Rule, sizes: Mapping[str, int]) -> tuple[tuple, tuple]:
     return tuple(pattern), tuple(given)
 
 
-#: Rules of a batch at most: their parameters are broadcast.
-BATCH = 20_000
-
-
-def batched(triples: DataFrame, rules: Mapping[int, Rule], sizes: Mapping[str, int]) -> DataFrame:
-    """(rule_id, support, body_size) of batchable rules; one set of joins for each shape, whatever the number of rules.
-
-    Rules that can't have a grounding get no row.
+def batched(triples: DataFrame, rules: Mapping[int, Rule], sizes: Mapping[str, int], stats: Mapping[str, Stats] | None = None, budget: float = GROUNDINGS) -> DataFrame:
+    """(rule_id, support, body_size) of batchable rules; a set of joins for each shape, or for each part of its rules whose
+    estimated groundings are within ``budget``. Rules that can't have a grounding get no row.
     """
     spark = triples.sparkSession
     groups: dict[tuple, list[tuple]] = {}
@@ -232,72 +263,108 @@ def batched(triples: DataFrame, rules: Mapping[int, Rule], sizes: Mapping[str, i
         assert batchable(r)
         if all(sizes.get(a.p, 0) for a in r.body):
             pattern, given = shape(r, sizes)
-            groups.setdefault(pattern, []).append((i, *given))
+            cost = groundings([r.body[k] for k in order(r.body, sizes)], stats) if stats else 0
+            groups.setdefault(pattern, []).append((given, i, cost))
     parts = []
     for pattern, rows in groups.items():
-        for lo in range(0, len(rows), BATCH):
-            parts.append(_shape_batch(spark, triples, pattern, rows[lo : lo + BATCH]))
+        part, cost = [], 0.0
+        for row in sorted(rows):  # rules with the same first atoms are neighbours
+            if part and (cost + row[2] > budget or len(part) >= BATCH):
+                parts.append(_shape_batch(spark, triples, pattern, part))
+                part, cost = [], 0.0
+            part.append((row[1], row[0]))
+            cost += row[2]
+        parts.append(_shape_batch(spark, triples, pattern, part))
     if not parts:
         return spark.createDataFrame([], "rule_id int, support long, body_size long")
     return reduce(DataFrame.unionByName, parts)
 
 
-def _shape_batch(spark, triples: DataFrame, pattern: tuple, rows: list[tuple]) -> DataFrame:
-    names, atoms = ["rule_id"], []
-    for i, (s, o) in enumerate(pattern):
-        p = f"p{i}"
-        names.append(p)
-        ends = []
-        for side, t in (("s", s), ("o", o)):
-            if t is None:
-                names.append(f"c{i}{side}")
-                ends.append(f"c{i}{side}")
-            else:
-                ends.append(f"x{t}")
-        atoms.append((p, *ends))
-    table = spark.createDataFrame(rows, "rule_id int, " + ", ".join(f"{n} string" for n in names[1:]))
-    *body, head = atoms
-
-    def clashing(a: tuple, b: tuple) -> Column:
-        """Two atoms of a rule ground to the same triple."""
-        return (F.col(a[0]) == F.col(b[0])) & (F.col(a[1]) == F.col(b[1])) & (F.col(a[2]) == F.col(b[2]))
-
-    def possible(a: tuple, b: tuple) -> bool:
-        return all(x == y or "c" in x[0] + y[0] for x, y in zip(a[1:], b[1:], strict=True))
-
+def _steps(pattern: tuple, rows: list[tuple]) -> tuple[list[list[tuple]], list[tuple]]:
+    """Rules as a tree of their atoms' parameters: for each body atom the distinct (node before, node, predicate, constants), and
+    (rule, last node, head predicate). Rules that begin alike share their nodes."""
+    widths = [1 + sum(t is None for t in ends) for ends in pattern]
+    levels: list[dict[tuple, int]] = [{} for _ in pattern[:-1]]
+    heads = []
+    for i, given in rows:
+        at, node = 0, 0
+        for level, wide in zip(levels, widths, strict=False):
+            node = level.setdefault((node, *given[at : at + wide]), len(level))
+            at += wide
+        heads.append((i, node, given[at]))
+    return [[(k[0], n, *k[1:]) for k, n in level.items()] for level in levels], heads
+
+
+def given(spark, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of parameters, made by the JVM from one literal."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>")))
+
+
+def _shape_batch(spark, triples: DataFrame, pattern: tuple, rows: list[tuple[int, tuple]]) -> DataFrame:
+    """One enumeration of the bodies of all rules of a shape. Rows carry the node of the tree of parameters that they have
+    come to, so what rules share is joined once, and each atom reads its own predicates only."""
+    levels, heads = _steps(pattern, rows)
+    names = lambda i: [f"p{i}", *(f"c{i}{side}" for side, t in zip("so", pattern[i], strict=True) if t is None)]
+    ends = lambda i: [f"c{i}{side}" if t is None else f"x{t}" for side, t in zip("so", pattern[i], strict=True)]
+    last, (hs, ho) = len(levels), ends(len(pattern) - 1)
+    carried: list[str] = []
     current, bound = None, []
-    for p, s, o in body:
-        if current is None:
-            given = F.broadcast(table)
-            match = [F.col("p") == F.col(p)] + [F.col(side) == F.col(t) for side, t in (("s", s), ("o", o)) if t[0] == "c"]
-            if s[0] == o[0] == "x":
-                match.append(F.col("s") == F.col("o") if s == o else F.col("s") != F.col("o"))
-            current = triples.join(given, _all(match))
-            new = {t: F.col(side).alias(t) for side, t in (("s", s), ("o", o)) if t[0] == "x"}
-            current = current.select(*names, *new.values())
-            bound = list(new)
-            continue
-        # the triples of the batch's predicates, keyed by rule, meet the rows so far on the rule and the shared variables
-        own = triples.join(F.broadcast(table.select(F.col("rule_id").alias("r"), F.col(p).alias("rp"))), F.col("p") == F.col("rp")).select("r", F.col("s").alias("rs"), F.col("o").alias("ro"))
-        match, new = [F.col("rule_id") == F.col("r")], {}
-        for side, t in (("rs", s), ("ro", o)):
+    for i, level in enumerate(levels):
+        s, o = ends(i)
+        table = F.broadcast(given(spark, level, "above int, node int, " + ", ".join(f"{n} string" for n in names(i))))
+        own = triples.where(F.col("p").isin(sorted({r[2] for r in level}))).select("p", F.col("s").alias("ts"), F.col("o").alias("to"))
+        match, new = [F.col("p") == F.col(f"p{i}")], {}
+        for side, t in (("ts", s), ("to", o)):
             if t[0] == "c" or t in bound:
-                match.append(F.col(t) == F.col(side))
-            elif t in new:
-                match.append(F.col("rs") == F.col("ro"))
-            else:
-                match += [F.col(b) != F.col(side) for b in bound]
+                match.append(F.col(side) == F.col(t))
+            elif t not in new:
+                match += [F.col(side) != F.col(b) for b in bound]
                 new[t] = F.col(side).alias(t)
-        if len(new) == 2:
-            match.append(F.col("rs") != F.col("ro"))
-        current = current.join(own, _all(match)).select(*names, *bound, *new.values())
+        if s[0] == o[0] == "x":
+            match.append(F.col("ts") == F.col("to") if s == o else F.col("ts") != F.col("to"))
+        if current is None:
+            current = own.join(table, _all(match))
+        else:
+            grown = current.withColumnRenamed("node", "above").join(table, "above").drop("above")
+            current = grown.join(own, _all(match))
+        carried += names(i)
+        current = current.select("node", *carried, *bound, *new.values())
         bound += list(new)
-    apart = _all(~clashing(a, b) for i, a in enumerate(body) for b in body[:i] if possible(a, b))
-    if apart is not None:
-        current = current.where(apart)
-    off_head = _all(~clashing(a, head) for a in body if possible(a, head))
-    clean = F.lit(1) if off_head is None else F.when(off_head, 1).otherwise(0)
-    pairs = current.select("rule_id", F.col(head[1]).alias("hs"), F.col(head[2]).alias("ho"), clean.alias("clean")).groupBy("rule_id", "hs", "ho").agg(F.max("clean").alias("clean"))
-    heads = triples.join(F.broadcast(table.select(F.col("rule_id").alias("r"), F.col(head[0]).alias("rp"))), F.col("p") == F.col("rp")).where("s <> o").select("r", "s", "o")
-    joined = pairs.join(heads, (F.col("rule_id") == F.col("r")) & (F.col("hs") == F.col("s")) & (F.col("ho") == F.col("o")) & (F.col("clean") == 1), "left")
+    ground = lambda i: tuple(F.col(t) for t in ends(i))
+    possible = lambda a, b: all(x == y or "c" in x[0] + y[0] for x, y in zip(ends(a), ends(b), strict=True))
+    # no two atoms of a rule ground to the same triple
+    apart = [~((F.col(f"p{a}") == F.col(f"p{b}")) & _equal(ground(a), ground(b))) for a in range(last) for b in range(a) if possible(a, b)]
+    if apart:
+        current = current.where(_all(apart))
+    # atoms that ground to the head's triple where they have its predicate
+    close = [i for i in range(last) if possible(i, last)]
+    flags = [_equal(ground(i), (F.col(hs), F.col(ho))).alias(f"f{i}") for i in close]
+    pairs = current.select("node", F.col(hs).alias("hs"), F.col(ho).alias("ho"), *flags).distinct()
+    of = {i: {n: p for _, n, p, *_ in level} for i, level in enumerate(levels)}
+    above = {i: {n: a for a, n, *_ in level} for i, level in enumerate(levels)}
+
+    def along(node: int) -> dict[int, str]:
+        found = {}
+        for i in reversed(range(last)):
+            found[i] = of[i][node]
+            node = above[i][node]
+        return found
+
+    ways = {n: along(n) for n in {node for _, node, _ in heads}} if close else {}
+    listed = [(i, node, p, *(ways[node][k] == p for k in close)) for i, node, p in heads]
+    rules = F.broadcast(given(spark, listed, "rule_id int, node int, hp string" + "".join(f", h{k} boolean" for k in close)))
+    found = pairs.join(rules, "node")
+    if close:
+        clean = F.when(_all(~(F.col(f"f{k}") & F.col(f"h{k}")) for k in close), 1).otherwise(0)
+        found = found.groupBy("rule_id", "hp", "hs", "ho").agg(F.max(clean).alias("clean"))
+    else:
+        found = found.withColumn("clean", F.lit(1))
+    true = triples.where(F.col("p").isin(sorted({h[2] for h in heads}))).where("s <> o")
+    joined = found.join(true, (F.col("hp") == F.col("p")) & (F.col("hs") == F.col("s")) & (F.col("ho") == F.col("o")) & (F.col("clean") == 1), "left")
     return joined.groupBy("rule_id").agg(F.count("s").alias("support"), F.count("*").alias("body_size"))
+
+
+def _equal(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
+    return (a[0] == b[0]) & (a[1] == b[1])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -12,9 +13,13 @@ from pyspark.sql import functions as F
 from . import report, rules
 from .functions import text
 from .graph import KnowledgeGraph
+from .measures import SCHEMA
 from .operators import index
+from .operators.store import shared_root
 from .sources import tables, tsv, turtle
 
+MEASURED = [x.split()[0] for x in SCHEMA.split(", ")]
+
 # ---- the graph -------------------------------------------------------------------------------------------------------
 
 
@@ -147,8 +152,9 @@ def _predicates(name: str) -> list[str]:
 
 
 def measures(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The general plan, a rule at a time."""
-    return graph(spark, sf_dir, *_predicates(name)).measures([RULES[name][0]], batch=False)
+    """A rule alone over the stored triples of its predicates: one enumeration of the body where both ends of the head are in
+    it, else the general plan."""
+    return graph(spark, sf_dir, *_predicates(name)).stored().measures([RULES[name][0]], batch=False)
 
 
 def one(what: str, name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +166,7 @@ BATCH = ("one_atom", "chain_2", "star_2", "triangle", "constant_in_body", "head_
 
 def rules_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     needed = {p for n in BATCH for p in _predicates(n)}
-    return graph(spark, sf_dir, *sorted(needed)).measures([RULES[n][0] for n in BATCH])
+    return graph(spark, sf_dir, *sorted(needed)).stored().measures([RULES[n][0] for n in BATCH])
 
 
 def _batch_sql() -> str:
@@ -221,20 +227,14 @@ def _golden_sql() -> str:
 
 # ---- index, scans, sources, text -------------------------------------------------------------------------------------
 
-SOME = ("placedBy", "inNation", "inRegion", "returnedTo", "bulkFrom")
-IN_SOME = "p IN ('placedBy', 'inNation', 'inRegion', 'returnedTo', 'bulkFrom')"
-
-
 def joined_adjacency(spark: SparkSession, sf_dir: str, by: str) -> DataFrame:
-    rows = index.adjacency(graph(spark, sf_dir, "bulkFrom", "inNation").triples, by)
+    rows = index.adjacency(graph(spark, sf_dir).stored().triples, by)
     return rows.select("p", "key", F.array_join("neighbours", ",").alias("neighbours"))
 
 
 def roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .operators.store import kept
-
-    triples = graph(spark, sf_dir, *SOME).triples
-    names = kept(index.dictionary(triples))
+    triples = graph(spark, sf_dir).stored().triples
+    names = index.dictionary(triples)
     return index.decode(index.encode(triples, names), names)
 
 
@@ -242,13 +242,21 @@ def atom_scan(spark: SparkSession, sf_dir: str, s: str | None = None, o: str | N
     return index.neighbours(graph(spark, sf_dir, "returnedTo").triples, "returnedTo", s, o)
 
 
+def scan_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A triple that exists, with both ends given, and one that doesn't."""
+    kg = graph(spark, sf_dir, "inRegion").triples
+    return index.neighbours(kg, "inRegion", "n:1", "r:1").unionByName(index.neighbours(kg, "inRegion", "n:1", "r:0"))
+
+
 def existence(spark: SparkSession, sf_dir: str) -> DataFrame:
     kg = graph(spark, sf_dir, "bulkFrom", "returnedTo").triples
     return index.existing(index.of_predicate(kg, "bulkFrom").withColumn("p", F.lit("returnedTo")), kg)
 
 
 def self_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.self_loops(golden_graph(spark).triples, "knows")
+    """Orders whose number is their customer's as well, as terms of one type."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return index.self_loops(orders.select(F.col("o_orderkey").cast("string").alias("s"), F.lit("placedBy").alias("p"), F.col("o_custkey").cast("string").alias("o")), "placedBy")
 
 
 def edge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,6 +274,9 @@ TYPED = """CASE WHEN starts_with(subject, 'ttd.drug_') THEN 'ttd_drug:D' || l_pa
   WHEN starts_with(subject, 'a b') THEN '<https://example.org/resource/a%20b%2A~' || l_partkey || '>' ELSE 'res:' || subject END"""
 
 
+FULL_SUBJECT = f"replace(replace(replace(regexp_replace({TYPED}, '^<|>$', '', 'g'), 'ttd_drug:', 'https://identifiers.org/ttd.drug/'), 'uniprot:', 'http://purl.uniprot.org/uniprot/'), 'res:', 'https://example.org/resource/')"
+
+
 def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tsv.turtle_lines(tsv.parse(edge_lines(spark, sf_dir))).distinct()
 
@@ -311,11 +322,99 @@ def quoted(value: str) -> str:
 
 def turtle_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triples written as lines of full terms and read back."""
-    kg = graph(spark, sf_dir, "bulkFrom", "inNation").triples
+    kg = graph(spark, sf_dir).triples
     lines = kg.select(F.format_string("<http://e/%s> <http://e/%s> <http://e/%s> .", "s", "p", "o").alias("value"))
     return turtle.parse_lines(lines)
 
 
+def _place(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def turtle_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All edges written as Turtle files with prefixes, and parsed again."""
+    path = _place(spark, "turtle")
+    tsv.write_turtle(tsv.parse(edge_lines(spark, sf_dir)).distinct(), path)
+    return turtle.read(spark, path).distinct()
+
+
+def turtle_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefixes declared in files, of which the second declares one again; the names come from a table."""
+    path = _place(spark, "prefixes")
+    regions = spark.read.parquet(f"{sf_dir}/region.parquet")
+    for i, base in enumerate(("http://one/", "http://two/")):
+        rows = regions.where(F.col("r_regionkey") >= 2 * i).coalesce(1).sortWithinPartitions("r_regionkey")
+        rows.select(F.format_string(f"@prefix r%s: <{base}%s/> .", "r_regionkey", "r_regionkey")).write.text(f"{path}/{i}")
+    found = turtle.prefixes(spark, f"{path}/*")
+    return spark.createDataFrame(sorted(found.items()), "prefix string, base string")
+
+
+def rule_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules read from a text and a JSON file, their names expanded by the prefixes of the graph's own files."""
+    path = _place(spark, "rules")
+    kg = graph(spark, sf_dir, "inNation", "inRegion", "buysFrom").triples
+    short = lambda c: F.concat(F.lit("k:"), F.regexp_replace(c, ":", "."))
+    statement = kg.select(F.concat_ws(" ", short(F.col("s")), F.concat(F.lit("k:"), "p"), short(F.col("o")), F.lit(".")).alias("value"))
+    prefix = spark.range(1).select(F.lit("@prefix k: <http://k/> .").alias("value"))
+    lines = prefix.select(F.lit(0).alias("at"), "value").unionByName(statement.select(F.lit(1).alias("at"), "value"))
+    lines.coalesce(1).sortWithinPartitions("at").select("value").write.text(f"{path}/graph")
+    text = ["( ?a k:buysFrom ?b ) ^ ( ?b k:inNation ?c ) => ( ?a k:inNation ?c ) | a comment", "", "( ?a <http://k/inNation> ?n ) ^ ( ?n k:inRegion k:r.1 ) => ( ?a k:inNation ?n )"]
+    for name, content in (("rules", "\n".join(text)), ("rules.json", rules.text_to_json(text)[0])):
+        spark.range(1).select(F.lit(content).alias("value")).write.text(f"{path}/{name}")
+    with KnowledgeGraph.load(spark, f"{path}/graph", persist=False) as found:
+        read = [r for name in ("rules", "rules.json") for r in rules.parse_file(name, spark.read.text(f"{path}/{name}", wholetext=True).first().value, found.prefixes)]
+        return found.stored().measures(read).select("rule_id", "rule", "support", "head_size", "body_size")
+
+
+def _rule_files_sql() -> str:
+    one = f"""SELECT count(*) FILTER (WHERE EXISTS (SELECT 1 FROM kg h WHERE h.p = 'inNation' AND h.s = b.s AND h.o = b.o)) AS support, count(*) AS body_size
+  FROM (SELECT DISTINCT x.s, y.o FROM kg x JOIN kg y ON y.s = x.o WHERE x.p = 'buysFrom' AND y.p = 'inNation' AND x.s <> y.o) b"""
+    two = "SELECT 0 AS support, count(*) AS body_size FROM (SELECT DISTINCT x.s, x.o FROM kg x JOIN kg y ON y.s = x.o WHERE x.p = 'inNation' AND y.p = 'inRegion' AND y.o = 'r:1') b"
+    shown = ("( ?0 http://k/buysFrom ?1 ) ^ ( ?1 http://k/inNation ?2 ) => ( ?0 http://k/inNation ?2 )", "( ?0 http://k/inNation ?1 ) ^ ( ?1 http://k/inRegion http://k/r.1 ) => ( ?0 http://k/inNation ?1 )")
+    size = "(SELECT count(*) FROM kg WHERE p = 'inNation')::BIGINT AS head_size"
+    return f"WITH {KG} " + " UNION ALL ".join(f"SELECT {i + 2 * k}::INT AS rule_id, '{shown[i]}' AS rule, support::BIGINT AS support, {size}, body_size::BIGINT AS body_size FROM ({q})" for k in (0, 1) for i, q in enumerate((one, two)))
+
+
+def single_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One rule given as JSON."""
+    given = rules.to_json([rules.parse_line(RULES["constant_head"][0])])[1:-1]
+    found = graph(spark, sf_dir, *_predicates("constant_head")).evaluate_json(given)
+    return spark.createDataFrame([tuple(found[c] for c in MEASURED)], SCHEMA)
+
+
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text report of two rules, a row for each line."""
+    rows = graph(spark, sf_dir, "inNation", "inRegion", "buysFrom").measures([RULES[n][0] for n in ("constant_head", "unsafe_head")]).orderBy("rule_id").collect()
+    return spark.createDataFrame(list(enumerate(report.as_text(rows).split("\n"))), "line int, value string")
+
+
+def first_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 1,000 edges of one file, which is written in the order of its keys. The limit is the operator."""
+    path = _place(spark, "edges")
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").coalesce(1).sortWithinPartitions("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    li.select(F.concat_ws("\t", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey")))).write.text(path)
+    return tsv.first(spark, path, 1000)
+
+
+PREDICATES = ("bulkFrom", "buysFrom", "fromSupplier", "hasPart", "inNation", "inRegion", "placedBy", "returnedTo", "suppliedBy")
+
+
+def all_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule of two chained atoms over the graph's predicates, 729 in all, evaluated together."""
+    listed = [f"( ?a {p} ?c ) ^ ( ?c {q} ?b ) => ( ?a {r} ?b )" for p in PREDICATES for q in PREDICATES for r in PREDICATES]
+    return graph(spark, sf_dir).stored().measures(listed).select("rule_id", "support", "head_size", "body_size", F.round("confidence", 9).alias("confidence"))
+
+
+CHAINS = f"""WITH {KG}, n AS (SELECT p, row_number() OVER (ORDER BY p) - 1 AS i, count(*) AS k FROM kg GROUP BY p),
+b AS (SELECT DISTINCT x.p AS p, y.p AS q, x.s, y.o FROM kg x JOIN kg y ON y.s = x.o WHERE x.s <> y.o AND x.s <> x.o AND y.s <> y.o),
+size AS (SELECT p, q, count(*) AS k FROM b GROUP BY p, q),
+hit AS (SELECT b.p, b.q, h.p AS r, count(*) AS k FROM b JOIN kg h ON h.s = b.s AND h.o = b.o GROUP BY 1, 2, 3)
+SELECT (x.i * 81 + y.i * 9 + z.i)::INT AS rule_id, coalesce(hit.k, 0)::BIGINT AS support, z.k::BIGINT AS head_size, coalesce(size.k, 0)::BIGINT AS body_size,
+       round(CASE WHEN size.k > 0 THEN coalesce(hit.k, 0) / size.k ELSE 0 END, 9)::DOUBLE AS confidence
+FROM n x, n y, n z LEFT JOIN size ON size.p = x.p AND size.q = y.p LEFT JOIN hit ON hit.p = x.p AND hit.q = y.p AND hit.r = z.p"""
+
+
 TEXTS = [x for x, _ in RULES.values()]
 
 
@@ -352,17 +451,17 @@ def measures_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-        "kg_triples": lambda spark, d: graph(spark, d, *SOME).triples,
-        "kg_stats": lambda spark, d: index.graph_stats(graph(spark, d).triples),
-        "pair_counts": lambda spark, d: index.pair_counts(graph(spark, d).triples),
-        "predicate_stats": lambda spark, d: index.predicate_stats(graph(spark, d).triples),
+        "kg_triples": lambda spark, d: graph(spark, d).triples,
+        "kg_stats": lambda spark, d: index.graph_stats(graph(spark, d).stored().triples),
+        "pair_counts": lambda spark, d: index.pair_counts(graph(spark, d).stored().triples),
+        "predicate_stats": lambda spark, d: index.predicate_stats(graph(spark, d).stored().triples),
         "dictionary_roundtrip": roundtrip,
         "adjacency_spo": partial(joined_adjacency, by="s"),
         "adjacency_pos": partial(joined_adjacency, by="o"),
         "atom_scan_free": atom_scan,
         "atom_scan_subj_const": partial(atom_scan, s="p:11"),
         "atom_scan_obj_const": partial(atom_scan, o="s:7"),
-        "atom_scan_both_const": partial(atom_scan, s="p:11", o="s:7"),
+        "atom_scan_both_const": scan_both,
         "atom_scan_self_loop": self_loops,
         "triple_existence": existence,
         "golden_rules": golden,
@@ -379,6 +478,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "body_length_histogram": histogram,
         "log_parse_speedup": log_speedup,
         "measures_json": measures_json,
+        "turtle_files": turtle_files,
+        "turtle_prefixes": turtle_prefixes,
+        "rule_files": rule_files,
+        "rule_single_json": single_json,
+        "report_text": report_lines,
+        "tsv_first": first_edges,
+        "rules_all_chains": all_chains,
     }
     out |= {f"measures_{n}": partial(measures, n) for n in RULES}
     out |= {f"{w}_{n}": partial(one, w, n) for w in ("support", "body_size", "head_support") for n in ("chain_2", "star_2", "path_3", "constant_head")}
@@ -387,31 +493,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     out = {
-        "kg_triples": f"WITH {KG} SELECT s, p, o FROM kg WHERE {IN_SOME}",
+        "kg_triples": f"WITH {KG} SELECT s, p, o FROM kg",
         "kg_stats": f"WITH {KG} SELECT (SELECT count(*) FROM kg)::BIGINT AS n_triples, (SELECT count(*) FROM (SELECT s FROM kg UNION SELECT p FROM kg UNION SELECT o FROM kg))::BIGINT AS n_terms, (SELECT count(DISTINCT p) FROM kg)::BIGINT AS n_predicates",
         "pair_counts": f"WITH {KG} SELECT p, count(*)::BIGINT AS n FROM kg GROUP BY p",
         "predicate_stats": f"""WITH {KG}, a AS (SELECT p, s, count(*) AS k FROM kg GROUP BY p, s), b AS (SELECT p, o, count(*) AS k FROM kg GROUP BY p, o)
 SELECT a.p, sum(a.k)::BIGINT AS n, count(*)::BIGINT AS n_subj, any_value(x.n_obj)::BIGINT AS n_obj, max(a.k)::BIGINT AS max_fan_spo, any_value(x.f)::BIGINT AS max_fan_pos
 FROM a JOIN (SELECT p, count(*) AS n_obj, max(k) AS f FROM b GROUP BY p) x ON x.p = a.p GROUP BY a.p""",
-        "dictionary_roundtrip": f"WITH {KG} SELECT s, p, o FROM kg WHERE {IN_SOME}",
-        "adjacency_spo": f"WITH {KG} SELECT p, s AS key, string_agg(o, ',' ORDER BY o) AS neighbours FROM kg WHERE p IN ('bulkFrom', 'inNation') GROUP BY p, s",
-        "adjacency_pos": f"WITH {KG} SELECT p, o AS key, string_agg(s, ',' ORDER BY s) AS neighbours FROM kg WHERE p IN ('bulkFrom', 'inNation') GROUP BY p, o",
+        "dictionary_roundtrip": f"WITH {KG} SELECT s, p, o FROM kg",
+        "adjacency_spo": f"WITH {KG} SELECT p, s AS key, string_agg(o, ',' ORDER BY o) AS neighbours FROM kg GROUP BY p, s",
+        "adjacency_pos": f"WITH {KG} SELECT p, o AS key, string_agg(s, ',' ORDER BY s) AS neighbours FROM kg GROUP BY p, o",
         "atom_scan_free": f"WITH {KG} SELECT s, o FROM kg WHERE p = 'returnedTo'",
         "atom_scan_subj_const": f"WITH {KG} SELECT s, o FROM kg WHERE p = 'returnedTo' AND s = 'p:11'",
         "atom_scan_obj_const": f"WITH {KG} SELECT s, o FROM kg WHERE p = 'returnedTo' AND o = 's:7'",
-        "atom_scan_both_const": f"WITH {KG} SELECT s, o FROM kg WHERE p = 'returnedTo' AND s = 'p:11' AND o = 's:7'",
-        "atom_scan_self_loop": "SELECT 'dan' AS s, 'dan' AS o",
+        "atom_scan_both_const": f"WITH {KG} SELECT s, o FROM kg WHERE p = 'inRegion' AND s = 'n:1' AND o IN ('r:0', 'r:1')",
+        "atom_scan_self_loop": "SELECT o_orderkey::VARCHAR AS s, o_custkey::VARCHAR AS o FROM orders WHERE o_orderkey = o_custkey",
         "triple_existence": f"WITH {KG} SELECT s, 'returnedTo' AS p, o FROM kg WHERE p = 'bulkFrom' AND EXISTS (SELECT 1 FROM kg x WHERE x.p = 'returnedTo' AND x.s = kg.s AND x.o = kg.o)",
         "golden_rules": _golden_sql(),
         "golden_rules_general": _golden_sql(),
         "rules_batch_measures": _batch_sql(),
         "rules_batch_by_body_length": BY_LENGTH,
         "tsv_entity_typing": f"WITH {EDGES} SELECT DISTINCT {TYPED} || ' rel:interacts_with res:' || object || ' .' AS value FROM e",
-        "tsv_triples": f"""WITH {EDGES}, f AS (SELECT replace(replace(replace(regexp_replace({TYPED}, '^<|>$', '', 'g'), 'ttd_drug:', 'https://identifiers.org/ttd.drug/'), 'uniprot:', 'http://purl.uniprot.org/uniprot/'), 'res:', 'https://example.org/resource/') AS s FROM e)
+        "tsv_triples": f"""WITH {EDGES}, f AS (SELECT {FULL_SUBJECT} AS s FROM e)
 SELECT 'https://example.org/relation/interacts_with' AS p, count(*)::BIGINT AS n, count(DISTINCT s)::BIGINT AS subjects, min(s) AS least FROM f""",
         "percent_encode": "SELECT p_partkey, 'a%20%2B~%2A%2F' || replace(p_name, ' ', '%20') AS encoded FROM part",
         "turtle_terms": "SELECT * FROM (VALUES " + ", ".join(f"({', '.join(map(quoted, r))})" for r in TURTLE_ROWS) + ") t(s, p, o)",
-        "turtle_lines": f"WITH {KG} SELECT 'http://e/' || s AS s, 'http://e/' || p AS p, 'http://e/' || o AS o FROM kg WHERE p IN ('bulkFrom', 'inNation')",
+        "turtle_lines": f"WITH {KG} SELECT 'http://e/' || s AS s, 'http://e/' || p AS p, 'http://e/' || o AS o FROM kg",
         "rule_text_roundtrip": "SELECT rule_id::INT AS rule_id, rule FROM (VALUES " + ", ".join(f"({i}, {quoted(s)})" for i, s in enumerate(_shown())) + ") t(rule_id, rule)",
         "rule_json_roundtrip": "SELECT rule_id::INT AS rule_id, rule, n::INT AS body_length FROM (VALUES " + ", ".join(f"({i}, {quoted(s)}, {s.split('=>')[0].count('( ')})" for i, s in enumerate(_shown())) + ") t(rule_id, rule, n)",
         "body_length_histogram": "SELECT n::INT AS body_length, count(*)::BIGINT AS n FROM (VALUES " + ", ".join(f"({s.split('=>')[0].count('( ')})" for s in _shown()) + ") t(n) GROUP BY t.n",
@@ -420,11 +526,32 @@ SELECT 'https://example.org/relation/interacts_with' AS p, count(*)::BIGINT AS n
 SELECT a.rule_id, a.ms AS base_ms, b.ms AS other_ms, round(a.ms / b.ms, 6) AS ratio FROM l a JOIN l b ON a.rule_id = b.rule_id AND a.impl = 'base' AND b.impl = 'spark'""",
         "measures_json": "SELECT rule_id::INT AS rule_id, support::BIGINT AS support FROM (VALUES " + ", ".join(f"({i}, {x[0]})" for i, x in enumerate(list(GOLDEN_RULES.values())[:8])) + ") t(rule_id, support)",
     }
+    out |= {
+        "turtle_files": f"WITH {EDGES}, f AS (SELECT DISTINCT {FULL_SUBJECT} AS s, object FROM e) SELECT s, 'https://example.org/relation/interacts_with' AS p, 'https://example.org/resource/' || object AS o FROM f",
+        "turtle_prefixes": "SELECT 'r' || r_regionkey AS prefix, CASE WHEN r_regionkey >= 2 THEN 'http://two/' ELSE 'http://one/' END || r_regionkey || '/' AS base FROM region",
+        "rule_files": _rule_files_sql(),
+        "rule_single_json": RULES["constant_head"][1],
+        "report_text": _report_sql(),
+        "tsv_first": "SELECT l_orderkey::VARCHAR AS subject, l_linenumber::VARCHAR AS predicate, l_partkey::VARCHAR AS object FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 1000",
+        "rules_all_chains": CHAINS,
+    }
     out |= {f"measures_{n}": sql for n, (_, sql) in RULES.items()}
     out |= {f"{w}_{n}": f"SELECT {w} FROM ({RULES[n][1]})" for w in ("support", "body_size", "head_support") for n in ("chain_2", "star_2", "path_3", "constant_head")}
     return out
 
 
+def _report_sql() -> str:
+    """The lines of the report; figures are printed with at most six significant digits."""
+    share = "CASE WHEN {0} = 0 THEN '0' ELSE format('{{:.6g}}', {0}) END"
+    rules_ = " UNION ALL ".join(f"SELECT {i}::INT AS rule_id, * EXCLUDE (rule_id) FROM ({RULES[n][1]})" for i, n in enumerate(("constant_head", "unsafe_head")))
+    lines = (
+        "'Rule ' || rule_id || ': ' || rule",
+        f"'  support ' || support || ', head size ' || head_size || ', head support ' || head_support || ', head coverage ' || {share.format('head_coverage')}",
+        f"'  body size ' || body_size || ', confidence ' || {share.format('confidence')}",
+    )
+    return " UNION ALL ".join(f"SELECT (3 * rule_id + {k})::INT AS line, {x} AS value FROM ({rules_})" for k, x in enumerate(lines))
+
+
 def _shown() -> list[str]:
     """The displayed forms, as written in the SQL of each rule."""
     return [sql.split("0::INT AS rule_id, '")[1].split("' AS rule")[0] for _, sql in RULES.values()]

@@ -164,7 +164,8 @@ def parse(text: str, tag: str = "") -> list[tuple[str, str, str]]:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(s, p, o) of a file or of all files of a folder."""
+    """(s, p, o) of a file or of all files of a folder. A file is parsed by one task and must fit in its memory (below 2 GB, a
+    string's limit); larger graphs come as many files, dealt to tasks one by one, or as lines for ``read_lines``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -187,8 +188,16 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("value").rlike(pattern)).select(bare(part(1)).alias("s"), part(2).alias("p"), bare(part(3)).alias("o"))
 
 
+#: Names of prefixes that the driver holds at most.
+MOST_PREFIXES = 100_000
+
+
 def prefixes(spark: SparkSession, path: str) -> dict[str, str]:
-    """The prefixes that the files declare, the last of a name; a handful of lines, whatever the size of the graph."""
+    """The prefixes that the files declare; of a name that is declared again the last one, by file name and place in the file."""
     pattern = r"(?i)^\s*@?prefix\s+([^\s:]*)\s*:\s*<([^>]*)>"
-    found = spark.read.text(path).where(F.col("value").rlike(pattern)).select(F.regexp_extract("value", pattern, 1).alias("k"), F.regexp_extract("value", pattern, 2).alias("v")).distinct().limit(10_000)
-    return {r.k: r.v for r in found.collect()}
+    lines = spark.read.text(path).select("value", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line")).alias("at"))
+    found = lines.where(F.col("value").rlike(pattern)).groupBy(F.regexp_extract("value", pattern, 1).alias("k")).agg(F.max_by(F.regexp_extract("value", pattern, 2), "at").alias("v"))
+    rows = found.limit(MOST_PREFIXES + 1).collect()
+    if len(rows) > MOST_PREFIXES:
+        raise ValueError(f"more than {MOST_PREFIXES} prefixes")
+    return {r.k: r.v for r in rows}

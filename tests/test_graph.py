@@ -7,9 +7,11 @@ import pytest
 import __spark_entry__
 from kgrules import cli, queries
 from kgrules.graph import KnowledgeGraph
-from kgrules.plans.planner import CrossProductError
-from kgrules.rules import Atom, Rule, const, var
-from kgrules.sources import tsv
+from kgrules.operators.store import shared_root
+from kgrules.plans.planner import CrossProductError, Stats, groundings, order
+from kgrules.report import as_text
+from kgrules.rules import Atom, Rule, const, parse_line, to_json, var
+from kgrules.sources import tsv, turtle
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem".split()
@@ -62,6 +64,65 @@ def test_random_rules_against_brute_force(spark):
             assert (row.support, row.head_size, row.head_support, row.body_size) == brute(triples, r), (r, batch)
 
 
+def test_budget_and_storage_change_nothing(spark):
+    """Rules in parts of any size, over stored triples or not, give the same measures."""
+    rng = random.Random(4)
+    triples = sorted({(rng.choice("uvwxyz"), rng.choice("pqr"), rng.choice("uvwxyz")) for _ in range(40)})
+    listed = [random_rule(rng) for _ in range(60)]
+    kg = KnowledgeGraph(spark, spark.createDataFrame(triples, "s string, p string, o string").coalesce(1))
+    want = sorted(kg.measures(listed, batch=False).collect())
+    assert sorted(kg.measures(listed, budget=0).collect()) == want
+    stored = kg.stored()
+    assert sorted(stored.measures(listed).collect()) == want
+    assert sorted(stored.triples.select("s", "p", "o").collect()) == triples
+
+
+def test_scans_of_a_stored_graph(spark):
+    """Rules that share atoms read each predicate's files a few times, whatever their number."""
+    kg = queries.graph(spark, SMALL, "hasPart", "fromSupplier", "suppliedBy", "returnedTo").stored()
+    listed = [f"( ?o hasPart ?a ) ^ ( ?o fromSupplier ?b ) => ( ?a {p} ?b )" for p in ("suppliedBy", "returnedTo")] * 40
+    plan = kg.measures(listed)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Relation [") <= 4
+    scan = kg.triples.where("p = 'hasPart'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(p" in scan and "= hasPart)]" in scan
+
+
+def test_join_order_by_fan_out():
+    a, b, c = (Atom(var("x"), "big", var("y")), Atom(var("y"), "wide", var("z")), Atom(var("y"), "narrow", var("w")))
+    sizes = {"big": 5, "wide": 10, "narrow": 100}
+    stats = {"big": Stats(5, 5, 5, 1, 1), "wide": Stats(10, 1, 10, 10, 1), "narrow": Stats(100, 100, 100, 1, 1)}
+    assert order([a, b, c], sizes) == [0, 1, 2] and order([a, b, c], sizes, stats=stats) == [0, 2, 1]
+    assert order([a, b, c], sizes, first=["z"]) == [1, 0, 2]
+    assert groundings([a, b], stats) == 50 and groundings([a, c], stats) == 5
+
+
+def test_reports_and_single_rules(spark):
+    kg = queries.golden_graph(spark)
+    rule = "( ?a bornIn ?b ) => ( ?a livesIn ?b )"
+    rows = kg.measures([rule]).collect()
+    assert as_text(rows) == "Rule 0: ( ?0 bornIn ?1 ) => ( ?0 livesIn ?1 )\n  support 2, head size 4, head support 4, head coverage 0.5\n  body size 4, confidence 0.5"
+    found = kg.evaluate_json(to_json([parse_line(rule)])[1:-1])
+    assert found["support"] == 2 and found["ms"] > 0 and kg.memory() > 0
+
+
+def test_prefixes_last_wins(spark, tmp_path):
+    (tmp_path / "a.ttl").write_text("@prefix e: <http://1/> .\nPREFIX f: <http://f/>\n@prefix e: <http://2/> .\n")
+    (tmp_path / "b.ttl").write_text("@prefix : <http://d/> .\n")
+    assert turtle.prefixes(spark, str(tmp_path)) == {"e": "http://2/", "f": "http://f/", "": "http://d/"}
+
+
+def test_no_shared_folder_on_a_cluster(spark, monkeypatch):
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_root(Session())
+
+
 def test_golden_options(spark):
     kg = queries.golden_graph(spark)
     rows = kg.measures(list(queries.GOLDEN_RULES), zero_support_body="skip").orderBy("rule_id").collect()
@@ -71,7 +132,7 @@ def test_golden_options(spark):
         kg.measures(["( ?a bornIn ?c ) ^ ( ?e livesIn ?b ) => ( ?a livesIn ?b )"], cross_limit=3)
 
 
-@pytest.mark.parametrize("name", ["golden_rules", "dictionary_roundtrip", "rules_batch_measures", "tsv_entity_typing", "turtle_lines", "log_parse_speedup", "predicate_stats"])
+@pytest.mark.parametrize("name", ["golden_rules", "dictionary_roundtrip", "rules_batch_measures", "tsv_entity_typing", "turtle_lines", "log_parse_speedup", "predicate_stats", "kg_stats", "adjacency_pos", "atom_scan_both_const", "atom_scan_self_loop", "turtle_files", "turtle_prefixes", "rule_files", "rule_single_json", "report_text", "tsv_first", "rules_all_chains"])
 def test_oracle(spark, name):
     con = duckdb.connect()
     for t in TABLES:
