@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.store import shared_root
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named input table, by whatever file system ``sf_dir`` names."""
@@ -24,13 +27,23 @@ def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='scratch')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+def slices(batches: Iterator[pa.RecordBatch], size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about so many bytes, as Python's objects take several times the room of Arrow's."""
+    for x in batches:
+        rows = max(1, x.num_rows * size // max(x.get_total_buffer_size(), 1))
+        for lo in range(0, x.num_rows, rows):
+            yield x.slice(lo, rows)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores after them as it takes to differ from all columns of ``df``, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 class Scratch:
@@ -40,7 +53,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.spark, self.root = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -53,6 +66,12 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
         return out
 
+    def counted(self, df: DataFrame, condition: str = "true") -> tuple[DataFrame, int]:
+        """``keep``, and how many rows meet the condition, counted as they are written."""
+        seen = Observation()
+        out = self.keep(df.observe(seen, F.count(F.when(F.expr(condition), 1)).alias("n")))
+        return out, seen.get["n"]
+
     def drop(self, *dfs: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         for df in dfs:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, slices
 from .near import Circulant, link, set_key, word_shingles
 
 #: 40 bands of 6 coordinates: a pair at the threshold of 0.8 meets in no band with a probability of 5e-6, one of 0.3 in
@@ -27,15 +27,15 @@ def features(docs: DataFrame, words: int, circulant: Circulant) -> DataFrame:
     """(doc_id, n, set_key, bands) for each row; set_key identifies equal sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
+        for x in slices(batches):
             sets = [word_shingles(t, words) for t in x.column("text").to_pylist()]
-            keys = circulant.keys(sets)
+            raw, wide = circulant.keys(sets).tobytes(), 8 * circulant.bands
             yield pa.RecordBatch.from_arrays(
-                [x.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))],
+                [x.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([raw[i * wide : i * wide + wide] for i in range(len(sets))], pa.binary())],
                 ["doc_id", "n", "set_key", "bands"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, set_key binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, set_key binary, bands binary")
 
 
 def components_of(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -54,7 +54,7 @@ def components_of(docs: DataFrame, words: int = 5, percent: int = 80, bands: int
     def texts(ids: DataFrame) -> DataFrame:
         return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.hint("merge"), "id", "left_semi")
 
-    comp = link(nodes, texts, partial(word_shingles, k=words), percent, scratch)
+    comp = link(nodes, bands, texts, partial(word_shingles, k=words), percent, scratch)
     # a doc_id that owns several sets ties their classes together
     ties = rows_.where("doc_id is not null and n > 0").join(same, "set_key").select(F.col("doc_id").alias("id"), "rep").where("id <> rep")
     tied = ties.join(nodes.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("a"), F.col("rep").alias("b"))
@@ -62,7 +62,7 @@ def components_of(docs: DataFrame, words: int = 5, percent: int = 80, bands: int
     if not tied.isEmpty():
         from .near import components
 
-        comp = scratch.keep(components(tied.unionAll(comp.select(F.col("id").alias("a"), F.col("comp").alias("b"))), scratch))
+        comp = components(tied.unionAll(comp.select(F.col("id").alias("a"), F.col("comp").alias("b"))), scratch)
     classes = same.join(comp, same.rep == comp.id, "left").select("set_key", F.coalesce("comp", "rep").alias("class_id"))
     out = rows_.select("doc_id", "n", "set_key").join(classes, "set_key", "left")
     component = F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.col("class_id"))

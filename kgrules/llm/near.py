@@ -22,16 +22,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, slices
 
-MIX = np.uint64(0x9E3779B97F4A7C15)
-CHUNK = 4096
+MIX, ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Bytes of signature rows that are gathered at a time; keys that a partition holds before it passes them on; keys of a range.
+CHUNK, HELD, RANGE = 1 << 19, 1 << 20, 1 << 18
 #: Members of a block in the comparison of what the stars leave.
 BLOCK = 512
+#: Edges that one task joins.
+FEW = 1 << 17
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -43,36 +47,41 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def _runs(h: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of the runs of k values of h, in their order."""
-    n = len(h) - k + 1
-    acc = np.full(n, k, np.uint64)
-    for i in range(k):
-        acc += h[i : i + n]
-        acc *= MIX
+    """Hashes of the runs of k values of h, in their order: of runs of 2, 4, 8, ..., and of two that overlap at the end."""
+    acc, width = h, 1
+    while width < k:
+        step = min(width, k - width)
+        acc = acc[:-step] * MIX + acc[step:]
         acc ^= acc >> np.uint64(31)
-    return mix64(acc)
+        acc *= ODD
+        width += step
+    return acc ^ (acc >> np.uint64(32)) if k > 1 else mix64(h)
 
 
 def _rolled(h: np.ndarray, k: int) -> np.ndarray:
-    """Distinct hashes of the runs of k values of h; of the whole of h where it is shorter."""
-    return np.unique(_runs(h, min(k, len(h))))
+    """Distinct hashes of the runs of k values of h, sorted; of the whole of h where it is shorter."""
+    runs = np.sort(_runs(h, min(k, len(h))))
+    return runs[np.append(True, runs[1:] != runs[:-1])]
 
 
-def char_runs(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts with at least k code points each: the hashes of all their runs, one text after the other; the position of
-    each text's first run; the number of distinct runs of each. One pass over the texts laid end to end.
+def char_runs(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts with at least k code points each: the hashes of all runs of the texts laid end to end, the position of
+    each text's first run, how many it has, and how many distinct ones.
 
     Distinct runs are told apart by 48 bits here, as the text's number takes the other 16.
     """
     assert len(texts) <= 1 << 16
     flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    size = np.fromiter(map(len, texts), np.int64, len(texts)) - k + 1
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
     start = np.cumsum(size) - size
-    owner = np.repeat(np.arange(len(texts)), size)
-    runs = _runs(flat, k)[np.arange(len(owner)) + owner * (k - 1)]
-    seen = np.sort((owner.astype(np.uint64) << np.uint64(48)) | (runs >> np.uint64(16)))
+    runs = _runs(flat, k)
+    seen = runs >> np.uint64(16)
+    seen |= np.repeat(np.arange(len(texts), dtype=np.uint64) << np.uint64(48), size)[: len(runs)]
+    inside = np.ones(len(runs), bool)  # runs across the end of a text don't count
+    inside[(start[1:, None] - np.arange(1, k)).ravel()] = False
+    seen = np.sort(seen[inside])
     fresh = np.append(True, seen[1:] != seen[:-1])
-    return runs, start, np.bincount((seen[fresh] >> np.uint64(48)).astype(np.int64), minlength=len(texts))
+    return runs, start, size - k + 1, np.bincount((seen[fresh] >> np.uint64(48)).astype(np.int64), minlength=len(texts))
 
 
 def word_shingles(text: str | None, k: int) -> np.ndarray:
@@ -105,20 +114,38 @@ class Circulant:
         return _tables(self.places, self.bands * self.rows, self.seed)
 
     def keys(self, sets: list[np.ndarray]) -> np.ndarray:
-        """int64 array of shape (len(sets), bands); rows of empty sets are zero."""
+        """int64 array of shape (len(sets), bands); rows of empty sets mean nothing."""
+        size = np.fromiter(map(len, sets), np.int64, len(sets))
+        return self.keys_of(np.concatenate([*sets, np.empty(0, np.uint64)]), np.cumsum(size) - size, size)
+
+    def keys_of(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The same of the sets ``flat[start : start + size]``; members may repeat.
+
+        Sets of about one size are taken together, so that a minimum is that of whole blocks.
+        """
         sigma, windows, odd = self.tables
         k = self.bands * self.rows
-        sig = np.zeros((len(sets), k), windows.dtype)
-        mask = np.uint64(self.places - 1)
-        for i, s in enumerate(sets):
-            if not len(s):
-                continue
-            at = sigma[(s >> np.uint64(7)) & mask]
-            low = windows.take(at[:CHUNK], axis=0).min(axis=0) if windows.flags.c_contiguous else windows[at[:CHUNK]].min(axis=0)
-            for j in range(CHUNK, len(at), CHUNK):
-                np.minimum(low, windows[at[j : j + CHUNK]].min(axis=0), out=low)
-            sig[i] = low
-        h = (sig.reshape(len(sets), self.bands, self.rows).astype(np.uint64) * odd[: self.rows]).sum(axis=2, dtype=np.uint64)
+        sig = np.zeros((len(size), k), windows.dtype)
+        at = sigma.take(((flat >> np.uint64(7)) & np.uint64(self.places - 1)).view(np.int64))
+        short, begin = size.astype(np.int32) - 1, start.astype(np.int32)
+        order = np.argsort(size, kind="stable")
+        order = order[np.searchsorted(size[order], 1) :]
+        most, lo = max(1, CHUNK // (k * windows.itemsize)), 0
+        while lo < len(order):
+            hi = lo + 1
+            while hi < len(order) and (hi + 1 - lo) * size[order[hi]] <= most:
+                hi += 1
+            own, longest = order[lo:hi], int(size[order[hi - 1]])
+            low = None
+            for first in range(0, longest, most):
+                place = np.minimum(np.arange(first, min(first + most, longest), dtype=np.int32)[:, None], short[own]) + begin[own]
+                rows = at.take(place.ravel())
+                block = windows.take(rows, axis=0) if windows.flags.c_contiguous else windows[rows]
+                block = np.minimum.reduce(block.reshape(len(place), -1), axis=0).reshape(len(own), k)
+                low = block if low is None else np.minimum(low, block)
+            sig[own] = low
+            lo = hi
+        h = (sig.reshape(len(size), self.bands, self.rows).astype(np.uint64) * odd[: self.rows]).sum(axis=2, dtype=np.uint64)
         return mix64(h + np.arange(1, self.bands + 1, dtype=np.uint64) * MIX).view(np.int64)
 
 
@@ -126,7 +153,7 @@ class Circulant:
 def _tables(places: int, k: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
     kind = np.uint16 if places <= 1 << 16 else np.uint32
-    sigma, pi = rng.permutation(places).astype(np.uint32), rng.permutation(places).astype(kind)
+    sigma, pi = rng.permutation(places), rng.permutation(places).astype(kind)
     windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([pi, pi[: k - 1]]), k)
     if places <= 1 << 16:  # small enough to hold; rows of neighbours are gathered faster from a copy
         windows = np.ascontiguousarray(windows)
@@ -141,19 +168,97 @@ def set_key(s: np.ndarray) -> bytes:
 Shingler = Callable[[str], np.ndarray]
 
 
-def stars(bands: DataFrame) -> DataFrame:
-    """(key, id, n, lead) of every member of a bucket of two or more but its leader, the smallest id."""
-    lead = bands.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("key", "lead")
+STAR = "key long, id long, n int, lead long, lead_n int, near boolean"
+
+
+def _ranges(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each key, 0 to ranges - 1; rises with the key."""
+    return (((keys >> 32) + (1 << 31)) * ranges) >> 32
+
+
+def _led(keys: np.ndarray, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Members by key and then id, each once; which are a bucket's first, and the position of each one's first."""
+    order = np.argsort(keys)
+    keys, ids, n = keys[order], ids[order], n[order]
+    same = keys[1:] == keys[:-1]
+    many = np.flatnonzero(np.append(False, same)[: len(keys)] | np.append(same, False)[: len(keys)])  # few: most are alone
+    by = np.lexsort((ids[many], keys[many]))
+    ids[many], n[many] = ids[many[by]], n[many[by]]
+    once = np.append(True, ~same | (ids[1:] != ids[:-1]))[: len(keys)]
+    keys, ids, n = keys[once], ids[once], n[once]
+    first = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+    return keys, ids, n, first, np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))
+
+
+def _packed(ranges: int, bands: int):
+    """Partitions' members as sorted arrays by ranges of keys: a bucket's smallest id of each, and its other members with that one."""
+
+    def flush(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        ids, n, keys = (np.concatenate(x) for x in zip(*held, strict=True))
+        keys, ids, n, first, lead = _led(keys, np.repeat(ids, bands), np.repeat(n, bands))
+        rest = np.flatnonzero(~first)
+        rows = []
+        if len(rest):
+            rows.append((int(_ranges(mix64(ids[rest[:1]].view(np.uint64)).view(np.int64), ranges)[0]), keys[rest], ids[rest], n[rest], ids[lead[rest]], n[lead[rest]]))
+        keys, ids, n = keys[first], ids[first], n[first]
+        of = _ranges(keys, ranges)
+        cut = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+        rows += [(int(of[i]), keys[i:j], ids[i:j], n[i:j], None, None) for i, j in zip(cut, cut[1:], strict=False)]
+        for r in rows:
+            yield pa.RecordBatch.from_arrays([pa.array(r[:1], pa.int32()), *(pa.array([None if a is None else a.tobytes()], pa.binary()) for a in r[1:])], ["range", "keys", "ids", "ns", "leads", "lead_ns"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for x in batches:
+            if not len(x):
+                continue
+            held.append((x.column("id").to_numpy(), x.column("n").to_numpy().astype(np.int32), np.frombuffer(b"".join(x.column("bands").to_pylist()), np.int64)))
+            size += len(held[-1][2])
+            if size >= HELD:
+                yield from flush(held)
+                held, size = [], 0
+        if held:
+            yield from flush(held)
+
+    return run
+
+
+def _stars(t: pa.Table) -> pa.Table:
+    """The members of one range of keys, each with its bucket's smallest id; members met in their partition keep that one's."""
+    out = []
+    own, passed = t.filter(pa.compute.is_null(t.column("leads"))), t.filter(pa.compute.is_valid(t.column("leads")))
+    arrays = lambda part, c, kind: np.frombuffer(b"".join(part.column(c).to_pylist()), kind)
+    keys, ids, n, first, lead = _led(arrays(own, "keys", np.int64), arrays(own, "ids", np.int64), arrays(own, "ns", np.int32))
+    rest = np.flatnonzero(~first)
+    out.append((keys[rest], ids[rest], n[rest], ids[lead[rest]], n[lead[rest]], np.zeros(len(rest), bool)))
+    if len(passed):
+        some = [arrays(passed, c, k) for c, k in (("keys", np.int64), ("ids", np.int64), ("ns", np.int32), ("leads", np.int64), ("lead_ns", np.int32))]
+        out.append((*some, np.ones(len(some[0]), bool)))
+    return pa.table({c: np.concatenate(x) for c, x in zip(("key", "id", "n", "lead", "lead_n", "near"), zip(*out, strict=True), strict=True)})
+
+
+def stars(nodes: DataFrame, bands: int, scratch: Scratch) -> DataFrame:
+    """(key, id, n, lead, lead_n) of every member of a bucket of two or more but its leader, the smallest id.
+
+    ``nodes``: (id, n, bands binary), rows may repeat. Keys travel as arrays by ranges, whose number grows with the keys.
+    A partition sends only its smallest id of a bucket to the bucket's range; its other members stay apart, and learn
+    their leader by a join, so a bucket that all share is in no single task.
+    """
+    ranges = max(1, -(-nodes.count() * bands // RANGE))
+    packed = nodes.select("id", "n", "bands").mapInArrow(_packed(ranges, bands), "range int, keys binary, ids binary, ns binary, leads binary, lead_ns binary")
+    found = scratch.keep(packed.groupBy("range").applyInArrow(_stars, STAR))
+    far = found.where("not near").drop("near")
     # the leaders grow with the corpus: the join is a merge at every size, not a broadcast at some
-    return bands.join(lead.hint("merge"), "key").where("id <> lead")
+    lead = scratch.keep(far.groupBy("key").agg(F.min("lead").alias("l"), F.min_by("lead_n", "lead").alias("ln")))
+    near = found.where("near").join(lead.hint("merge"), "key", "left")
+    return far.unionByName(near.select("key", "id", "n", F.coalesce("l", "lead").alias("lead"), F.coalesce("ln", "lead_n").alias("lead_n")))
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
-    if len(a) > len(b):
-        a, b = b, a
-    i = np.searchsorted(b, a)
-    i[i == len(b)] = 0
-    return int((b[i] == a).sum())
+    """How many values two sets without repeats share."""
+    both = np.concatenate([a, b])
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, shingler: Shingler) -> DataFrame:
@@ -163,7 +268,7 @@ def verify(pairs: DataFrame, texts: DataFrame, shingler: Shingler) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cached = lru_cache(64)(shingler)
-        for x in batches:
+        for x in slices(batches):
             inter, uni = [], []
             for s, t in zip(x.column("ta").to_pylist(), x.column("tb").to_pylist(), strict=True):
                 s, t = cached(s), cached(t)
@@ -175,46 +280,69 @@ def verify(pairs: DataFrame, texts: DataFrame, shingler: Shingler) -> DataFrame:
     return pairs.join(tb.hint("merge"), "b").join(ta.hint("merge"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, inter long, uni long")
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The smallest id that each id of a few edges reaches: union by the smaller root."""
+    pairs = [(x.column("a").to_numpy(), x.column("b").to_numpy()) for x in batches if len(x)]
+    if not pairs:
+        return
+    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    ids, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = flat[: len(a)].tolist(), flat[len(a) :].tolist()
+    root = list(range(len(ids)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for i, j in zip(a, b, strict=True):
+        i, j = find(i), find(j)
+        root[max(i, j)] = min(i, j)
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[[find(i) for i in range(len(ids))]])], ["id", "root"])
+
+
+def components(edges: DataFrame, scratch: Scratch, few: int = FEW) -> DataFrame:
     """(id, comp): the smallest id that can be reached from each id with a link. ``edges``: (a, b) longs.
 
     Each round hooks every vertex to its smallest neighbour, doubles the pointers until they are roots, and contracts
     the edges to the roots; at least every second vertex with an edge goes, so rounds grow with the logarithm of the ids.
+    Once at most ``few`` edges are left, one task joins them.
     """
-    left = scratch.keep(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    done = None
-    while not left.isEmpty():
-        both = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooked = scratch.keep(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("root")))
-        while True:
-            up = hooked.select(F.col("id").alias("root"), F.col("root").alias("above"))
-            further = scratch.keep(hooked.join(up, "root").select("id", F.col("above").alias("root"), (F.col("root") != F.col("above")).alias("moved")))
-            moved = not further.where("moved").isEmpty()
-            scratch.drop(hooked)
-            hooked = further
-            if not moved:
-                break
-        at = hooked.select("id", "root")
+    left, n = scratch.counted(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    done, empty = None, left
+    while n:
+        if n <= few:
+            hooked = left.coalesce(1).mapInArrow(_rooted, "id long, root long")
+        else:
+            both = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            hooked = scratch.keep(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("root")))
+            moved = 1
+            while moved:
+                up = hooked.select(F.col("id").alias("root"), F.col("root").alias("above"))
+                further, moved = scratch.counted(hooked.join(up, "root").select("id", F.col("above").alias("root"), (F.col("root") != F.col("above")).alias("moved")), "moved")
+                scratch.drop(hooked)
+                hooked = further.select("id", "root")
+                hooked._scratch_path = further._scratch_path
         if done is None:
-            done = at
+            done = scratch.keep(hooked) if n <= few else hooked
         else:
-            nxt = at.select(F.col("id").alias("root"), F.col("root").alias("above"))
+            nxt = hooked.select(F.col("id").alias("root"), F.col("root").alias("above"))
             done = scratch.keep(done.join(nxt, "root", "left").select("id", F.coalesce("above", "root").alias("root")))
-        ra, rb = at.select(F.col("id").alias("a"), F.col("root").alias("ra")), at.select(F.col("id").alias("b"), F.col("root").alias("rb"))
-        left = scratch.keep(left.join(ra, "a").join(rb, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        if n <= few:
+            break
+        ra, rb = hooked.select(F.col("id").alias("a"), F.col("root").alias("ra")), hooked.select(F.col("id").alias("b"), F.col("root").alias("rb"))
+        left, n = scratch.counted(left.join(ra, "a").join(rb, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
     if done is None:
-        return left.select(F.col("a").alias("id"), F.col("b").alias("comp"))
+        return empty.select(F.col("a").alias("id"), F.col("b").alias("comp"))
     return done.select("id", F.col("root").alias("comp"))
 
 
-def link(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], shingler: Shingler, percent: int, scratch: Scratch) -> DataFrame:
+def link(nodes: DataFrame, bands: int, texts: Callable[[DataFrame], DataFrame], shingler: Shingler, percent: int, scratch: Scratch) -> DataFrame:
     """(id, comp) of the ids that are linked with another: 100 * intersection >= percent * union of their shingle sets.
 
-    ``nodes``: (id long, n long, bands array<long>), one row for each distinct set; ``texts`` gives (id, text) of ids (id).
+    ``nodes``: (id long, n long, bands binary: so many keys as int64), rows may repeat; ``texts`` gives (id, text) of ids (id).
     """
-    bands = nodes.where("n > 0").select("id", "n", F.explode("bands").alias("key"))
-    star = stars(bands).join(nodes.select(F.col("id").alias("lead"), F.col("n").alias("lead_n")).distinct(), "lead")
-    star = scratch.keep(star.select("key", "id", "n", "lead", "lead_n"))
+    star = scratch.keep(stars(nodes.where("n > 0"), bands, scratch))
     fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     good = lambda x: x.where(100 * F.col("inter") >= percent * F.col("uni")).select("a", "b")
 
@@ -234,24 +362,22 @@ def link(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], shingler: Sh
     # every member with the smallest of its leaders, then with the other leaders from which that left it apart
     led = scratch.keep(star.where(fits(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
     checked = verified(led.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    comp = scratch.keep(components(good(checked), scratch))
+    comp = components(good(checked), scratch)
     more = verified(apart(led.join(checked, ["a", "b"], "left_anti"), comp))
     checked = checked.unionAll(more)
     if not good(more).isEmpty():
-        comp = scratch.keep(components(good(checked), scratch))
+        comp = components(good(checked), scratch)
 
     # what the stars leave: members of one bucket, no leader, not connected yet
     member = star.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     mixed = member.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
-    member = scratch.keep(member.join(mixed, "key", "left_semi").select("id", "n", "comp", "lead").distinct())
-    if member.isEmpty():
+    member, n = scratch.counted(member.join(mixed, "key", "left_semi").select("id", "n", "comp", "lead").distinct())
+    if not n:
         return comp
-    family = scratch.keep(components(member.select(F.col("lead").alias("a"), F.col("id").alias("b")), scratch))
+    family = components(member.select(F.col("lead").alias("a"), F.col("id").alias("b")), scratch)
     member = member.select("id", "comp").distinct().join(family.select("id", F.col("comp").alias("family")), "id")
-    more = scratch.keep(blocked(member, got, shingler, percent, scratch))
-    if more.isEmpty():
-        return comp
-    return scratch.keep(components(good(checked).unionAll(more), scratch))
+    more, n = scratch.counted(blocked(member, got, shingler, percent, scratch))
+    return components(good(checked).unionAll(more), scratch) if n else comp
 
 
 def blocked(members: DataFrame, texts: DataFrame, shingler: Shingler, percent: int, scratch: Scratch) -> DataFrame:
