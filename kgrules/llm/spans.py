@@ -6,22 +6,31 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def gaps(text: Column, pattern: str) -> Column:
+def gaps(text: Column, pattern: str | Column) -> Column:
     """What lies between the leftmost non-overlapping matches: one piece more than there are matches."""
     return F.split(text, pattern, -1)
 
 
-def matches(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+def matches(text: Column, pattern: str | Column, group: int = 0) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern) if isinstance(pattern, str) else pattern, F.lit(group))
 
 
-def starts(gap: Column, match: Column) -> Column:
-    """Start of each match in code points, from the lengths of the gaps and matches before it."""
-    pairs = F.arrays_zip(F.slice(gap, F.lit(1), F.size(match)).alias("g"), match.alias("m"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("s"))
+#: Matches whose positions are summed at a time.
+RUN = 64
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["g"])
-        return F.struct((start + F.length(x["m"])).alias("at"), F.concat(acc["s"], F.array(start)).alias("s"))
 
-    return F.aggregate(pairs, zero, step, lambda acc: acc["s"])
+def starts(gap: Column, match: Column) -> Column:
+    """Start of each match in code points, from the lengths of the gaps and matches before it.
+
+    Lengths are summed within runs of RUN matches and the runs' sums before them, so a text's cost grows with the square of a
+    run's length, and of the runs' number, instead of with that of its matches.
+    """
+    own = F.zip_with(F.slice(gap, F.lit(1), F.size(match)), match, lambda g, m: F.struct(F.length(g).alias("g"), (F.length(g) + F.length(m)).alias("both")))
+    size = F.size(match)
+    runs = F.transform(F.sequence(F.lit(0), F.floor((size - 1) / RUN).cast("int")), lambda i: F.slice(own, i * RUN + 1, F.lit(RUN)))
+    summed = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x["both"])
+    grow = lambda acc, v: F.struct((acc["at"] + v).alias("at"), F.concat(acc["s"], F.array(acc["at"])).alias("s"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("s"))
+    before = F.aggregate(F.transform(runs, summed), zero, grow, lambda acc: acc["s"])
+    place = lambda base, xs: F.zip_with(F.aggregate(F.transform(xs, lambda x: x["both"]), F.struct(base.alias("at"), F.array().cast("array<int>").alias("s")), grow, lambda acc: acc["s"]), xs, lambda at, x: at + x["g"])
+    return F.when(size > 0, F.flatten(F.zip_with(before, runs, place))).otherwise(F.array().cast("array<int>"))
