@@ -7,8 +7,10 @@ their factors, scaled so that the expected tokens are ``keep`` of all (where a p
 Languages and topics are few (their values are checked against ``MOST``); sources may be many. So a row per source holds its
 tokens by language and topic, each sweep reads those rows once, and only sums by language and topic go to the driver.
 
-The default targets: sources in proportion to the square root of their tokens, languages likewise, topics as they are.
-The topic is the form of the text: prose, list, code, markup or empty; any expression may take its place.
+Targets are weights by value, in any unit: ``source``, ``lang`` and ``topic`` take mappings (``source`` a DataFrame of source and
+weight, too, as sources may be many); values without a weight get none and are not drawn, weights of absent values are left
+out. Without a mapping sources and languages are in proportion to the square root of their tokens, topics as they
+are. A topic is any expression; by default the form of the text: prose, list, code, markup or empty.
 
 Cases: null sources, languages or topics are a value of their own. A null or empty text has no tokens and is drawn with
 the scale itself. Equal rows are drawn alike, as the draw hashes the doc_id; a null doc_id hashes as such. Other columns
@@ -18,11 +20,12 @@ are carried along, whatever their names. An empty table gives an empty one.
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_or_empty
+from .common import Scratch, text_or_empty, unused
 
 MOST, SWEEPS, TOLERANCE = 256, 30, 1e-6
 NONE = "\x00null"
@@ -50,24 +53,49 @@ def _shares(sums: dict[str, float], power: float) -> dict[str, float]:
     return {k: v / total for k, v in raised.items()}
 
 
-def weights(docs: DataFrame, scratch: Scratch, topic: Column | None = None, source_power: float = 0.5, lang_power: float = 0.5, topic_power: float = 1.0) -> tuple[DataFrame, DataFrame, dict, dict, float]:
-    """The keyed documents, (s, cells, a) of each source, the factors of languages and topics, and all tokens."""
+def _wanted(sums: dict[str, float], power: float, target: Mapping[str | None, float] | None) -> dict[str, float]:
+    """The shares that the values with tokens are to have."""
+    if target is None:
+        return _shares(sums, power)
+    given = {NONE if k is None else str(k): float(w) for k, w in target.items()}
+    return _shares({k: given.get(k, 0.0) for k, v in sums.items() if v > 0}, 1.0)
+
+
+def weights(
+    docs: DataFrame,
+    scratch: Scratch,
+    by: Column | None = None,
+    source: Mapping[str | None, float] | DataFrame | None = None,
+    lang: Mapping[str | None, float] | None = None,
+    topic: Mapping[str | None, float] | None = None,
+    source_power: float = 0.5,
+    lang_power: float = 0.5,
+    topic_power: float = 1.0,
+) -> tuple[DataFrame, list[str], DataFrame, dict, dict, float]:
+    """The keyed documents and the names of their keys (source, language, topic, tokens), (s, cells, a) of each source, the
+    factors of languages and topics, and all tokens. ``by``: the expression of topics."""
     text = text_or_empty()
+    s_, l_, t_, n_ = keys = unused(docs, "mix_s", "mix_l", "mix_t", "mix_n")
     named = lambda c: F.coalesce(c.cast("string"), F.lit(NONE))
-    keyed = docs.select("*", named(F.col("source")).alias("__s"), named(F.col("lang")).alias("__l"), named(topic if topic is not None else form(text)).alias("__t"), tokens(text).alias("__n"))
-    cells = keyed.groupBy("__s", "__l", "__t").agg(F.sum("__n").alias("n")).where("n > 0")
+    keyed = docs.select("*", named(F.col("source")).alias(s_), named(F.col("lang")).alias(l_), named(by if by is not None else form(text)).alias(t_), tokens(text).alias(n_))
+    cells = keyed.groupBy(F.col(s_).alias("s"), F.col(l_).alias("l"), F.col(t_).alias("t")).agg(F.sum(n_).alias("n")).where("n > 0")
     cells = scratch.keep(cells)
-    langs, topics = ({r[0]: r[1] for r in cells.groupBy(c).agg(F.sum("n")).limit(MOST + 1).collect()} for c in ("__l", "__t"))
+    langs, topics = ({r[0]: r[1] for r in cells.groupBy(c).agg(F.sum("n")).limit(MOST + 1).collect()} for c in ("l", "t"))
     if max(len(langs), len(topics)) > MOST:
         raise ValueError(f"more than {MOST} languages or topics")
-    per = scratch.keep(cells.groupBy(F.col("__s").alias("s")).agg(F.collect_list(F.struct(F.col("__l").alias("l"), F.col("__t").alias("t"), "n")).alias("cells"), F.pow(F.sum("n"), F.lit(source_power)).alias("w")))
+    per = cells.groupBy("s").agg(F.collect_list(F.struct("l", "t", "n")).alias("cells"), F.pow(F.sum("n"), F.lit(source_power)).alias("w"))
+    if source is not None:
+        given = source if isinstance(source, DataFrame) else docs.sparkSession.createDataFrame([(k, float(w)) for k, w in source.items()] or [(None, 0.0)], "source string, weight double")
+        given = given.select(named(F.col("source")).alias("s"), F.col("weight").cast("double").alias("given")).groupBy("s").agg(F.max("given").alias("given"))
+        per = per.join(given, "s", "left").select("s", "cells", F.coalesce("given", F.lit(0.0)).alias("w"))
+    per = scratch.keep(per)
     total, norm = math.fsum(langs.values()), per.agg(F.sum("w")).first()[0] or 1.0
-    want = {"l": _shares(langs, lang_power), "t": _shares(topics, topic_power)}
+    want = {"l": _wanted(langs, lang_power, lang), "t": _wanted(topics, topic_power, topic)}
     factor = {"l": dict.fromkeys(langs, 1.0), "t": dict.fromkeys(topics, 1.0)}
 
     def source_factor() -> Column:
         inner = F.aggregate("cells", F.lit(0.0), lambda acc, x: acc + x["n"] * _at(factor["l"], x["l"]) * _at(factor["t"], x["t"]))
-        return F.col("w") / norm * total / inner
+        return F.when(inner > 0, F.col("w") / norm * total / inner).otherwise(F.lit(0.0))
 
     for _ in range(SWEEPS):
         off = 0.0
@@ -77,12 +105,12 @@ def weights(docs: DataFrame, scratch: Scratch, topic: Column | None = None, sour
             flat = per.select(source_factor().alias("a"), F.explode("cells").alias("x"))
             share = flat.groupBy(F.col(f"x.{side}").alias("k")).agg(F.sum(F.col("a") * F.col("x.n") * _at(factor["l"], F.col("x.l")) * _at(factor["t"], F.col("x.t"))).alias("n"))
             for k, n in share.collect():  # a row for each language or topic
-                ratio = want[side][k] * total / n
+                ratio = want[side].get(k, 0.0) * total / n if n else 0.0
                 factor[side][k] *= ratio
                 off = max(off, abs(ratio - 1))
         if off < TOLERANCE:
             break
-    return keyed, per.select("s", "cells", source_factor().alias("a")), factor["l"], factor["t"], total
+    return keyed, keys, per.select("s", "cells", source_factor().alias("a")), factor["l"], factor["t"], total
 
 
 def _at(values: dict[str, float], key: Column) -> Column:
@@ -92,10 +120,10 @@ def _at(values: dict[str, float], key: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in sorted(values.items()) for x in kv)), key), F.lit(1.0))
 
 
-def probabilities(docs: DataFrame, keep: float = 0.9, **targets) -> DataFrame:
-    """``docs`` with __n (tokens), __f (the raked factor), __p (the probability of its draw) and __u (the draw)."""
+def probabilities(docs: DataFrame, keep: float = 0.9, **targets) -> tuple[DataFrame, list[str]]:
+    """``docs`` with four more columns, and their names: the tokens, the raked factor, the probability of the draw, the draw."""
     scratch = Scratch(docs.sparkSession, "mixing")
-    keyed, sources, langs, topics, total = weights(docs, scratch, **targets)
+    keyed, (s_, l_, t_, n_), sources, langs, topics, total = weights(docs, scratch, **targets)
     sources = scratch.keep(sources)
     cells = sources.select(F.col("a"), F.explode("cells").alias("x")).select((F.col("a") * _at(langs, F.col("x.l")) * _at(topics, F.col("x.t"))).alias("f"), F.col("x.n").alias("n"))
     scale = keep
@@ -107,14 +135,15 @@ def probabilities(docs: DataFrame, keep: float = 0.9, **targets) -> DataFrame:
         if new <= scale * (1 + 1e-9):
             break
         scale = new
-    a = sources.select(F.col("s").alias("__s"), F.col("a").alias("__a"))
-    f = F.coalesce("__a", F.lit(1.0)) * _at(langs, F.col("__l")) * _at(topics, F.col("__t"))
-    f = F.when(F.col("__n") > 0, f).otherwise(F.lit(1.0))
+    a_, f_, u_, p_ = unused(keyed, "mix_a", "mix_f", "mix_u", "mix_p")
+    f = F.coalesce(a_, F.lit(1.0)) * _at(langs, F.col(l_)) * _at(topics, F.col(t_))
+    f = F.when(F.col(n_) > 0, f).otherwise(F.lit(1.0))
     u = F.conv(F.substring(F.sha2(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    joined = keyed.join(a, "__s", "left").select(*docs.columns, "__n", f.alias("__f"), u.alias("__u"))
-    return joined.withColumn("__p", F.least(F.lit(1.0), F.col("__f") * scale))
+    joined = keyed.join(sources.select(F.col("s").alias(s_), F.col("a").alias(a_)), s_, "left").select(*docs.columns, n_, f.alias(f_), u.alias(u_))
+    return joined.withColumn(p_, F.least(F.lit(1.0), F.col(f_) * scale)), [n_, f_, p_, u_]
 
 
 def sample(docs: DataFrame, keep: float = 0.9, **targets) -> DataFrame:
     """The rows drawn, with the columns of ``docs``."""
-    return probabilities(docs, keep, **targets).where("__u < __p").select(*docs.columns)
+    drawn, (_, _, p_, u_) = probabilities(docs, keep, **targets)
+    return drawn.where(F.col(u_) < F.col(p_)).select(*docs.columns)

@@ -41,8 +41,8 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drawn = mixing.probabilities(table(spark, sf_dir, "documents"))
-    return drawn.select("doc_id", F.col("__n").cast("long").alias("n_tokens"), F.round("__f", 6).alias("factor"), F.round("__p", 6).alias("probability"), (F.col("__u") < F.col("__p")).alias("sampled"))
+    drawn, (n, f, p, u) = mixing.probabilities(table(spark, sf_dir, "documents"))
+    return drawn.select("doc_id", F.col(n).cast("long").alias("n_tokens"), F.round(f, 6).alias("factor"), F.round(p, 6).alias("probability"), (F.col(u) < F.col(p)).alias("sampled"))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
