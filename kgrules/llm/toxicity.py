@@ -2,14 +2,16 @@
 
 Fitting uses a bounded sample of labelled rows of the learning folds (``MOST`` of each label, those of the smallest hash).
 1. Terms - words, words with look-alike signs undone, and word beginnings - whose share among the toxic documents
-   of the sample stands out make the lexicons (``TERMS`` at most).
+   of the sample stands out make the lexicons (``TERMS`` at most). Documents are in two halves: a half is voted on by the
+   lexicons of the other, so no vote on a document comes from its own label.
 2. Voters: the lexicons' terms are dealt into ``LEXICONS`` small lexicons of words and as many of beginnings; each votes toxic if one
    of its terms occurs. Patterns vote too: several hits, dense hits, look-alike signs, no hit at all (clean).
-   The annotator's label is one more voter, whose accuracy is fixed.
-3. The label model has a latent label and, given it, each voter's rate of each vote. Expectation maximisation estimates the
-   rates; from the posterior the correlations that remain between voters given the label are estimated, and each
-   voter's evidence is divided by the sum of its correlations, so voters that repeat each other count once.
-4. A logistic regression on the terms and votes is fitted to the posterior labels.
+   The annotator's label is one more voter.
+3. The label model has a latent label and, given it, each voter's rate of each vote, the annotator's too. Expectation
+   maximisation estimates the rates, starting from the annotator's labels at a trust of 0.9; from the posterior the
+   correlations that remain between voters given the label are estimated, and each voter's evidence is divided by the
+   sum of its correlations, so voters that repeat each other count once.
+4. A logistic regression on the terms and votes of the lexicons of the whole sample is fitted to the posterior labels.
 Scoring is one pass over whole texts. Labels, lang, source and doc_id are no input of a score.
 
 Cases: a null text counts as empty; an empty text gets the score of a text without any term. Rows are independent of their
@@ -27,12 +29,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, text_or_empty
+from .common import Scratch, remainder, text_or_empty
 
 MOST, TERMS, LEXICONS, PREFIXES = 6000, 2000, 8, (4, 5)
+COUNTS = ("a0", "b0", "a1", "b1")
 #: Runs whose terms a scorer remembers.
 KNOWN = 1 << 17
 WORD = re.compile(r"\w+")
@@ -108,12 +111,15 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def label_model(votes: np.ndarray, gold: np.ndarray, trust: float = 0.98, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior of the label 1 for each row, accuracy of each voter where it votes, correlations given the label)."""
+def label_model(votes: np.ndarray, gold: np.ndarray, trust: float = 0.9, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior of the label 1 for each row, accuracy of each voter where it votes, correlations given the label).
+
+    The annotator, whose labels are ``gold``, is the last voter; ``trust`` is what its accuracy starts from.
+    """
+    votes = np.column_stack([votes, np.where(gold == 1, 1, -1)])
     n, m = votes.shape
     kinds = np.stack([votes == k for k in (-1, 0, 1)]).astype(float)
-    said = np.where(gold == 1, trust, 1 - trust)
-    post, share = said.copy(), np.ones(m)
+    post = np.where(gold == 1, trust, 1 - trust)
     rates = np.empty((2, 3, m))
     for _ in range(rounds):
         for y, w in enumerate((1 - post, post)):
@@ -126,8 +132,7 @@ def label_model(votes: np.ndarray, gold: np.ndarray, trust: float = 0.98, rounds
         cov = rest.T @ rest / n + 1e-9 * np.eye(m)
         d = np.sqrt(np.diag(cov))
         corr = cov / np.outer(d, d)
-        share = 1 / np.clip(np.abs(corr), 0, 1).sum(axis=1)
-        z = np.log(prior / (1 - prior)) + evidence @ share + np.log(said / (1 - said))
+        z = np.log(prior / (1 - prior)) + evidence @ (1 / np.clip(np.abs(corr), 0, 1).sum(axis=1))
         post = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     right = (kinds[2] * post[:, None] + kinds[0] * (1 - post[:, None])).sum(0) / np.maximum(kinds[2].sum(0) + kinds[0].sum(0), 1)
     return post, right, corr
@@ -150,13 +155,32 @@ def logistic(rows: list[np.ndarray], width: int, y: np.ndarray, l2: float = 1e-4
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, toxic and clean documents of each half)."""
     for x in batches:
-        toxic, clean = Counter(), Counter()
-        for t, y in zip(x.column("text").to_pylist(), x.column("toxic").to_pylist(), strict=True):
-            (toxic if y else clean).update(terms(t))
-        names = list(toxic)  # a term of clean documents alone is never chosen
-        names += [w for w in clean if w not in toxic and clean[w] > 2]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([toxic[w] for w in names], pa.int64()), pa.array([clean[w] for w in names], pa.int64())], ["term", "a", "b"])
+        seen = [Counter() for _ in range(4)]
+        for t, y, half in zip(x.column("text").to_pylist(), x.column("toxic").to_pylist(), x.column("half").to_pylist(), strict=True):
+            seen[2 * half + (not y)].update(terms(t))
+        names = list(dict.fromkeys(w for c in seen for w in c))
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[w] for w in names], pa.int64()) for c in seen)], ["term", *COUNTS])
+
+
+def lexicon(names: list[str]) -> Model:
+    """A model without weights whose terms are dealt into the lexicons in their order."""
+    slot = {w: i for i, w in enumerate(dict.fromkeys(w.removeprefix("~") for w in names))}
+    voter, dealt = np.empty(len(slot), np.int64), [0, 0]
+    for w, i in slot.items():
+        side = w[0] == "^"
+        voter[i] = side * LEXICONS + dealt[side] % LEXICONS
+        dealt[side] += 1
+    return Model(slot, voter, np.zeros(len(slot) + 2 * LEXICONS + 5))
+
+
+def chosen(counts: DataFrame, a: Column, b: Column, n1: int, n0: int) -> list[str]:
+    """The terms that stand out, the most significant first. ``a``, ``b``: toxic and clean documents with the term."""
+    ratio = F.log((a + 0.5) / (n1 + 1)) - F.log((b + 0.5) / (n0 + 1))
+    z = ratio / F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+    best = counts.where(a >= 3).select("term", z.alias("z"), ratio.alias("ratio")).where("z >= 3 and ratio >= 2.3")
+    return [r.term for r in best.orderBy(F.desc("z"), "term").limit(TERMS).collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
@@ -164,45 +188,47 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     known = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit(11))
     picked = known.where("toxic = 1").orderBy(order, "doc_id").limit(MOST).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(2 * MOST))
+    picked = picked.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(2)).cast("int"))
+    scratch = Scratch(docs.sparkSession, "toxicity")
     # bounded: 3 * MOST rows
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(picked), "doc_id")
-    counts = sample.select("text", "toxic").mapInArrow(_counted, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    sizes = {r.toxic: r["count"] for r in picked.groupBy("toxic").count().collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+    sample = scratch.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(picked), "doc_id"))
+    size = {(r.toxic, r.half): r["count"] for r in picked.groupBy("toxic", "half").count().collect()}
+    n1, n0 = (sum(size.get((y, h), 0) for h in (0, 1)) for y in (1, 0))
     if not n1 or not n0:
         return None
-    ratio = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))
-    z = ratio / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    best = counts.where("a >= 3").select("term", z.alias("z"), ratio.alias("ratio")).where("z >= 3 and ratio >= 2.3").orderBy(F.desc("z"), "term").limit(TERMS).collect()
-    names = [r.term.removeprefix("~") for r in best]
-    slot = {w: i for i, w in enumerate(dict.fromkeys(names))}
-    voter, dealt = np.empty(len(slot), np.int64), [0, 0]
-    for w, i in slot.items():
-        side = w[0] == "^"
-        voter[i] = side * LEXICONS + dealt[side] % LEXICONS
-        dealt[side] += 1
-    model = Model(slot, voter, np.zeros(len(slot) + 2 * LEXICONS + 5))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    counts = sample.select("text", "toxic", "half").mapInArrow(_counted, "term string, a0 long, b0 long, a1 long, b1 long")
+    counts = scratch.keep(counts.groupBy("term").agg(*(F.sum(c).alias(c) for c in COUNTS)).where("a0 + a1 >= 3"))
+    model = lexicon(chosen(counts, F.col("a0") + F.col("a1"), F.col("b0") + F.col("b1"), n1, n0))
+    # a half's voters: the lexicons of the other half
+    other = [lexicon(chosen(counts, F.col(f"a{1 - h}"), F.col(f"b{1 - h}"), size.get((1, 1 - h), 0), size.get((0, 1 - h), 0))) for h in (0, 1)]
+    shared = docs.sparkSession.sparkContext.broadcast((model, *other))
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full, *halves = shared.value
         for x in batches:
-            texts = x.column("text").to_pylist()
-            hits = [shared.value.hits(t) for t in texts]
-            votes = [shared.value.votes(t, *h).tolist() for t, h in zip(texts, hits, strict=True)]
-            hits = [h for h, _ in hits]
-            yield pa.RecordBatch.from_arrays([x.column("doc_id"), x.column("toxic"), pa.array(hits, pa.list_(pa.int32())), pa.array(votes, pa.list_(pa.int8()))], ["doc_id", "toxic", "hits", "votes"])
-
-    rows = sample.select("doc_id", "toxic", "text").mapInArrow(voted, "doc_id long, toxic int, hits array<int>, votes array<tinyint>").collect()
+            rows: list[tuple] = []
+            for t, half in zip(x.column("text").to_pylist(), x.column("half").to_pylist(), strict=True):
+                hits, signed = full.hits(t)
+                rows.append((hits, full.votes(t, hits, signed).tolist(), halves[half].votes(t, *halves[half].hits(t)).tolist()))
+            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            kinds = (pa.list_(pa.int32()), pa.list_(pa.int8()), pa.list_(pa.int8()))
+            yield pa.RecordBatch.from_arrays([x.column("doc_id"), x.column("toxic"), x.column("half"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "toxic", "half", "hits", "votes", "crossed"])
+
+    rows = sample.select("doc_id", "toxic", "half", "text").mapInArrow(voted, "doc_id long, toxic int, half int, hits array<int>, votes array<tinyint>, crossed array<tinyint>").collect()
     if not rows:
         return None
-    rows.sort(key=lambda r: (r.doc_id, r.toxic))
-    votes, gold = np.array([r.votes for r in rows], np.int8), np.array([r.toxic for r in rows])
-    post, _, _ = label_model(votes, gold)
+    rows.sort(key=lambda r: (r.doc_id, r.toxic, r.hits))
+    votes, gold, half = np.array([r.votes for r in rows], np.int8), np.array([r.toxic for r in rows]), np.array([r.half for r in rows])
+    post = gold.astype(float)
+    for h in (0, 1):
+        own = np.flatnonzero(half == h)
+        if len(own):
+            post[own] = label_model(np.array([rows[i].crossed for i in own], np.int8), gold[own])[0]
     sparse = []
     for r, v in zip(rows, votes, strict=True):
         on = np.flatnonzero(v)
-        sparse.append(np.array([[*r.hits, *(len(slot) + on)], [*[1.0] * len(r.hits), *v[on]]]))
-    model.weights = logistic(sparse, len(slot) + model.voters, post)
+        sparse.append(np.array([[*r.hits, *(len(model.slot) + on)], [*[1.0] * len(r.hits), *v[on]]]))
+    model.weights = logistic(sparse, len(model.slot) + model.voters, post)
     return model
 
 
