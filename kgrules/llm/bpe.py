@@ -26,14 +26,60 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK, WORDS, MOST_RANKS = 3_000_000, 400_000, 1_000_000
+#: Bytes of words that are contracted together, and rows that a query keeps at a time of words beyond the longest token.
+LETTERS, ROWS = 500_000, 4_000_000
 
+# Words longer than the longest token. They are cut into stretches of {span} bytes, no less than the longest token. A step takes
+# the least rank of each stretch; neighbours of equal rank are one run. Where the stretches beside a run have higher ranks
+# only, nothing that happens elsewhere can reach into the run before its own pairs are contracted, as a token would have to
+# grow over a whole stretch. Its pairs of that rank are then contracted from the left, every second one where they overlap,
+# up to one whose new token makes a pair of lower rank with a neighbour. So the result is that of one contraction at a time.
 ENCODE = """
+CREATE OR REPLACE TABLE state AS
 WITH RECURSIVE step(w, pos, tok, nt, np, it) AS (
-  SELECT w, pos, tok, lead(tok) OVER o, lead(pos) OVER o, 0 FROM letters WINDOW o AS (PARTITION BY w ORDER BY pos)
+  SELECT w, pos, tok, nt, np, 0 FROM state
+  UNION ALL
+  (WITH pairs AS (
+    SELECT p.w, p.pos, p.np, p.pos // {span} AS part, m.made, m.calm, m.twin FROM step p JOIN merges m ON m.l = p.tok AND m.r = p.nt WHERE p.it < {steps}
+  ), best AS (
+    SELECT w, part, min(made) AS made FROM pairs GROUP BY w, part
+  ), beside AS (
+    SELECT *, CASE WHEN lag(part) OVER o = part - 1 THEN lag(made) OVER o END AS before, CASE WHEN lead(part) OVER o = part + 1 THEN lead(made) OVER o END AS after
+    FROM best WINDOW o AS (PARTITION BY w ORDER BY part)
+  ), run AS (
+    SELECT *, count(*) FILTER (before IS DISTINCT FROM made) OVER (PARTITION BY w ORDER BY part) AS run FROM beside
+  ), free AS (
+    SELECT w, run FROM run GROUP BY w, run HAVING bool_and(coalesce(before, made) >= made AND coalesce(after, made) >= made)
+  ), due AS (
+    SELECT p.w, p.pos, p.np, p.made, p.calm, p.twin, r.run, CASE WHEN lag(p.np) OVER (PARTITION BY p.w, r.run ORDER BY p.pos) = p.pos THEN 0 ELSE 1 END AS apart
+    FROM pairs p JOIN run r ON r.w = p.w AND r.part = p.part AND r.made = p.made SEMI JOIN free f ON f.w = r.w AND f.run = r.run
+  ), chain AS (
+    SELECT *, sum(apart) OVER (PARTITION BY w, run ORDER BY pos) AS chain FROM due
+  ), made AS (
+    SELECT c.w, c.run, c.pos AS spot, c.made, c.np AS eaten, n.nt, n.np, c.calm OR coalesce(least(c.twin, x.made, y.made), c.made) >= c.made AS calm
+    FROM (SELECT *, row_number() OVER (PARTITION BY w, run, chain ORDER BY pos) AS k FROM chain) c JOIN step n ON n.w = c.w AND n.pos = c.np
+    LEFT JOIN step v ON v.w = c.w AND v.np = c.pos LEFT JOIN merges x ON x.l = c.made AND x.r = n.nt LEFT JOIN merges y ON y.l = v.tok AND y.r = c.made
+    WHERE c.k % 2 = 1
+  ), done AS (
+    SELECT * FROM (SELECT *, count(*) FILTER (NOT calm) OVER (PARTITION BY w, run ORDER BY spot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wild FROM made) WHERE wild = 0
+  )
+  SELECT j.w, j.pos, coalesce(a.made, j.tok), CASE WHEN z.made IS NOT NULL THEN z.made WHEN a.made IS NULL THEN j.nt ELSE coalesce(y.made, a.nt) END,
+         CASE WHEN a.made IS NULL THEN j.np ELSE a.np END, j.it + 1
+  FROM step j LEFT JOIN done a ON a.w = j.w AND a.spot = j.pos LEFT JOIN done z ON z.w = j.w AND z.spot = j.np LEFT JOIN done y ON y.w = j.w AND y.spot = a.np
+  WHERE j.w IN (SELECT w FROM done) AND NOT EXISTS (SELECT 1 FROM done e WHERE e.w = j.w AND e.eaten = j.pos))
+)
+SELECT w, pos, tok, nt, np, it FROM step SEMI JOIN (SELECT w, max(it) AS it FROM step GROUP BY w) USING (w, it)
+"""
+# Words of one stretch, where each has one pair to contract.
+SHORT = """
+CREATE OR REPLACE TABLE state AS
+WITH RECURSIVE step(w, pos, tok, nt, np, it) AS (
+  SELECT w, pos, tok, nt, np, 0 FROM state
   UNION ALL
   SELECT j.w, j.pos,
          CASE WHEN j.pos = b.spot THEN b.made ELSE j.tok END,
@@ -48,15 +94,17 @@ WITH RECURSIVE step(w, pos, tok, nt, np, it) AS (
   ) b ON b.w = j.w
   WHERE j.pos <> b.eaten
 )
+SELECT w, pos, tok, nt, np, it FROM step SEMI JOIN (SELECT w, max(it) AS it FROM step GROUP BY w) USING (w, it)
+"""
+# Ids of words, and the bytes that these ids stand for: of words that are one token, and of those in the table ``state``.
+ONE = "INSERT INTO words SELECT w, 1, tok::VARCHAR, decode(unhex(h)) FROM single JOIN vocab ON vocab.id = tok"
+DECODE = """
 INSERT INTO words
-SELECT w, count(*), string_agg(tok, ','), decode(unhex(string_agg(h, '')))
-FROM (SELECT w, tok, h FROM (SELECT w, pos, tok FROM step SEMI JOIN (SELECT w, max(it) AS it FROM step GROUP BY w) USING (w, it))
-      JOIN vocab ON vocab.id = tok ORDER BY w, pos)
-GROUP BY w
+SELECT w, len(l), array_to_string(list_transform(l, lambda x: x.tok), ','), decode(unhex(array_to_string(list_transform(l, lambda x: x.h), '')))
+FROM (SELECT w, list({{'tok': tok, 'h': h}} ORDER BY pos) AS l FROM state JOIN vocab ON vocab.id = tok WHERE {done} GROUP BY w)
 """
-
-# One sort serves both aggregates, which take their rows in its order as the database has one thread. The result is
-# compared with the text, so that another order could not pass.
+# One sort serves both aggregates, which take their rows in its order as the database has one thread (an order inside each
+# costs a quarter more time). The result is compared with the text, so that another order could not pass.
 AGGREGATE = """
 SELECT d, sum(n)::BIGINT AS n, string_agg(ids, ',') AS ids, string_agg(piece, '') AS piece
 FROM (SELECT d, n, ids, piece FROM pieces JOIN words ON words.w = pieces.w ORDER BY place) GROUP BY d
@@ -72,11 +120,16 @@ def ranks_of(data: bytes) -> dict[bytes, int]:
 
 @lru_cache(1)
 def merge_table(data: bytes) -> tuple[pa.Table, pa.Table, np.ndarray]:
-    """(l, r, made): every split of a token into two; (id, h): hex bytes of each; ids of the 256 single bytes."""
+    """(l, r, made, calm, twin): every split of a token into two, whether the token is in none of lower rank, and the token of it twice; (id, h): hex bytes of each; ids of the 256 single bytes."""
     ranks = ranks_of(data)
     rows = [(ranks[b[:k]], ranks[b[k:]], i) for b, i in ranks.items() for k in range(1, len(b)) if b[:k] in ranks and b[k:] in ranks]
     l, r, made = zip(*rows, strict=True) if rows else ((), (), ())
-    merges = pa.table({"l": pa.array(l, pa.int32()), "r": pa.array(r, pa.int32()), "made": pa.array(made, pa.int64())})
+    part_of: dict[int, int] = {}
+    twice = {a: i for a, b, i in rows if a == b}
+    for a, b, i in rows:
+        for x in (a, b):
+            part_of[x] = min(i, part_of.get(x, i))
+    merges = pa.table({"l": pa.array(l, pa.int32()), "r": pa.array(r, pa.int32()), "made": pa.array(made, pa.int64()), "calm": pa.array([part_of.get(i, i + 1) > i for i in made], pa.bool_()), "twin": pa.array([twice.get(i) for i in made], pa.int64())})
     vocab = pa.table({"id": pa.array(ranks.values(), pa.int32()), "h": pa.array([b.hex() for b in ranks], pa.string())})
     return merges, vocab, np.array([ranks[bytes([i])] for i in range(256)], np.int32)
 
@@ -88,6 +141,7 @@ class Encoder:
         import duckdb
 
         self.ranks, (merges, vocab, self.single) = ranks_of(data), merge_table(data)
+        self.span = max(map(len, self.ranks))
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": folder})
         for name, rows in (("merges", merges), ("vocab", vocab)):
             self.con.register("given", rows)
@@ -99,24 +153,51 @@ class Encoder:
 
     def learn(self, new: list[str]) -> None:
         """Encodes pieces that ``known`` has numbered but ``words`` lacks."""
-        flat, whole = [], []
+        whole, short, long = [], [], []
         for w in new:
             b = w.encode()
             i = self.ranks.get(b)
-            (flat.append((self.known[w], b)) if i is None else whole.append((self.known[w], 1, str(i), w)))
+            if i is not None:
+                whole.append((self.known[w], i))
+            else:
+                (short if len(b) <= self.span else long).append((self.known[w], b))
         if whole:
-            w, n, ids, pieces = zip(*whole, strict=True)
-            self.con.register("whole", pa.table({"w": pa.array(w, pa.int32()), "n": pa.array(n, pa.int64()), "ids": pa.array(ids), "piece": pa.array(pieces)}))
-            self.con.execute("INSERT INTO words SELECT * FROM whole")
-            self.con.unregister("whole")
-        for lo in range(0, len(flat), 50_000):
-            part = flat[lo : lo + 50_000]
-            sizes = np.array([len(b) for _, b in part], np.int64)
-            signs = np.frombuffer(b"".join(b for _, b in part), np.uint8)
-            pos = np.arange(len(signs)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            self.con.register("letters", pa.table({"w": np.repeat(np.array([i for i, _ in part], np.int32), sizes), "pos": pos, "tok": self.single[signs]}))
-            self.con.execute(ENCODE)
-            self.con.unregister("letters")
+            w, ids = zip(*whole, strict=True)
+            self.con.register("single", pa.table({"w": pa.array(w, pa.int32()), "tok": pa.array(ids, pa.int32())}))
+            self.con.execute(ONE)
+            self.con.unregister("single")
+        for words, query in ((short, SHORT), (long, ENCODE)):
+            lo = 0
+            while lo < len(words):
+                hi, size = lo, 0
+                while hi < len(words) and (hi == lo or size + len(words[hi][1]) <= LETTERS):
+                    size += len(words[hi][1])
+                    hi += 1
+                self._contract(words[lo:hi], query, max(1, ROWS // size))
+                lo = hi
+
+    def _contract(self, words: list[tuple[int, bytes]], query: str, steps: int) -> None:
+        """Encodes (number, bytes). A query of long words keeps the rows of so many steps, and is run until none is left."""
+        sizes = np.array([len(b) for _, b in words], np.int64)
+        signs = np.frombuffer(b"".join(b for _, b in words), np.uint8)
+        pos = np.arange(len(signs)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        last = pos == np.repeat(sizes - 1, sizes)
+        tok, mask = self.single[signs], pa.array(last)
+        after = pa.compute.if_else(mask, None, pa.array(np.roll(tok, -1)))
+        letters = pa.table({"w": np.repeat(np.array([i for i, _ in words], np.int32), sizes), "pos": pos, "tok": tok, "nt": after, "np": pa.compute.if_else(mask, None, pa.array(pos + 1))})
+        self.con.register("letters", letters)
+        self.con.execute("CREATE OR REPLACE TABLE state AS SELECT * FROM letters")
+        self.con.unregister("letters")
+        if query is SHORT:
+            self.con.execute(SHORT)
+            self.con.execute(DECODE.format(done="true"))
+            return
+        while True:
+            self.con.execute(query.format(span=self.span, steps=steps))
+            self.con.execute(DECODE.format(done=f"it < {steps}"))
+            self.con.execute(f"CREATE OR REPLACE TABLE state AS SELECT * FROM state WHERE it >= {steps}")
+            if not self.con.execute("SELECT count(*) FROM state").fetchall()[0][0]:
+                return
 
     def documents(self, texts: list[str], split, query: str) -> dict[int, tuple]:
         """By position, (n, ids, bytes) of each text with pieces."""
