@@ -1,19 +1,20 @@
 """Language-model scores: a hashed maximum-entropy model with class-factored softmax beside add-one unigram scores.
 
 Tokens are the words of a text (A-Z lower-cased, split at ASCII white space) and one end. Counts cover all learning documents.
-The ``VOCAB`` commonest words, the head, are modelled by P(w | context) = P(class | context) * P(w | class, context); classes
-hold ``WIDE`` words of neighbouring frequency. One more class is the tail, all other words. Tail words are dealt into groups by
-their hash, and P(w | tail, context) = P(group | tail, context) * P(w | group, context), each a tree of softmaxes of at most
-``WIDE`` ways. The number of groups grows with the distinct tail words and the tail's tokens, the depth of the trees with its
-logarithm, so every word of the corpus is modelled. Each group has one unknown word, and the model sums to one over the known
-words and these. Context features are the word before, the two words before, and the word before that (skipping one), at every
-level.
-
-Head and group tree: each feature is hashed to a bucket, whose weights are a row of the parameter tables; the buckets grow with
-the square root of the tokens. Every partition makes one pass of stochastic updates over all its learning texts, from the
-broadcast unigram model; of the rows that a partition touched the changes are averaged, weighted by tokens, in two levels of
-groups. Words within a group: the tokens of a group meet in one task, whose rows are the contexts that occur with it, unhashed;
-they are learned and used there and never leave it. Words are counted for the base score there too.
+The commonest words, the head, are leaves of a tree; all other words are dealt into groups by their hash, which are leaves too.
+The tree is the factored softmax: classes at the root, classes of classes below, ``WIDE`` ways each, as shallow as a leaf is
+common. P(leaf | context) is the product along its path, and a word of a group has its add-one share of the group, in which
+one more share is left to unknown words; so the model sums to one over the known words and one unknown word of each group.
+Context features are the word before, the two words before, and the word before that (skipping one). Each is hashed to a bucket
+of the node, a row of ``WIDE`` weights; a node has buckets in proportion to its tokens. Head and groups grow with the cube root
+of the tokens, buckets with the fourth root, so that what is broadcast is far smaller than the input.
+
+Training are synchronous gradient rounds: the gradient of a row is what was observed less what the model expects, both summed
+over all partitions, and the update moves each weight by the logarithm of their smoothed ratio, after a row's gradient is shrunk
+by the part of it that chance explains. The first round takes the
+gradient of the unigram model, whose expectations are known from the counts, over the folds of ``ROUNDS[0]``; the next one
+that of the weights so far over the remaining folds. So every learning document is used once, and the result doesn't
+depend on how rows are dealt to partitions (but for the rounding of sums).
 
 Cases: a null or empty text has the end as its only token. Rows are told apart by position, so null ids (remainder of '') and
 repeated ids give a row each. Without learning documents all counts are 0. Words are known by a 64-bit hash. Other columns
@@ -22,10 +23,11 @@ are ignored. An empty table gives an empty one.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +35,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, remainder, text_or_empty
-
-WIDE, CLASSES = 32, 32
-VOCAB = WIDE * (CLASSES - 1)
-TEMPLATES, BATCH, RATE, FLUSH = 3, 8192, 0.3, 500_000
-#: Within a group, where a context is seldom seen.
-SMALL_BATCH, SMALL_RATE = 256, 1.0
-#: Mean distinct words and tokens of a group, about; rows of a block of parameters on the way to their average.
-GROUP_WORDS, GROUP_TOKENS, BLOCK = 512, 1 << 15, 4096
+from .common import Scratch, remainder, slices, text_or_empty
+
+WIDE, TEMPLATES, FLUSH = 32, 3, 500_000
+#: Words of the head and groups, as multiples of the cube root of the tokens; buckets, of their fourth root.
+HEAD, GROUPS, BUCKETS = 64, 2, 512
+#: Strength of the prior in counts, size of the steps, and the largest one.
+PRIOR, RATES, CLIP = 20.0, (0.8, 0.5), 4.0
+#: Places of the learning folds, in order of their remainders, that each round takes.
+ROUNDS = ((0, 1, 2, 3), (4, 5))
+#: Tokens of a batch, tokens of a task between two reports, rows of a block of them.
+BATCH, REPORT, BLOCK = 1 << 16, 1 << 23, 4096
 #: No word holds a space.
 END, START = (xxhash.xxh3_64_intdigest(b) for b in (b" end", b" start"))
 LOG10 = math.log(10)
@@ -85,71 +89,91 @@ class Table:
 
 
 class Tree:
-    """Leaves below nodes of at most WIDE children; ``bias`` has the log shares of a node's children as a row."""
-
-    def __init__(self, weights: np.ndarray):
-        n = len(weights)
-        self.depth = next(d for d in range(64) if WIDE**d >= n)
-        self.fan = next(b for b in range(1, WIDE + 1) if b**self.depth >= n)
-        full = np.zeros(self.fan**self.depth)
-        full[:n] = weights
-        levels = [full.reshape(self.fan**k, self.fan, -1).sum(axis=2) for k in range(self.depth)]
-        self.first = np.cumsum([0, *map(len, levels)])
-        every = np.concatenate(levels) if levels else np.zeros((0, 1))
-        self.bias = np.where(every > 0, np.log(np.maximum(every, 1e-300)), -1e9).astype(np.float32)
-
-    def at(self, leaf: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """(node, child) on the way to each leaf."""
-        below = self.fan ** (self.depth - level - 1)
-        return self.first[level] + leaf // (below * self.fan), leaf // below % self.fan
-
-
-@dataclass(frozen=True)
-class Shape:
-    """Bits of the buckets of each template: for classes, for words within each class, and for the tree of groups; its fan."""
+    """Leaves below nodes of at most WIDE children, such that the mean depth is least.
 
-    cls: int = 10
-    word: int = 6
-    tree: int = 0
-    fan: int = 0
+    ``path``, ``turn``: node and child of each leaf at each level from the root, child -1 below its depth; ``bias``: log shares
+    of each node's children; ``first``, ``size``: a node's buckets, of ``rows`` in all.
+    """
 
-    @staticmethod
-    def of(tokens: int, fan: int) -> Shape:
-        root = math.isqrt(tokens).bit_length()
-        return Shape(max(10, root - 1), max(6, root - 6), max(10, root + 1), fan)
+    def __init__(self, weights: np.ndarray, buckets: int):
+        n = len(weights)
+        heap = [(0.0, i - WIDE, -1) for i in range(-(n - 1) % (WIDE - 1))] + [(w, i, i) for i, w in enumerate(weights.tolist())]
+        heapq.heapify(heap)
+        nodes = -(-(n - 1) // (WIDE - 1))
+        above, place, mass = np.full(n + nodes, -1), np.zeros(n + nodes, np.int64), np.zeros(nodes)
+        share = np.zeros((nodes, WIDE))
+        for k in range(nodes):
+            children = [heapq.heappop(heap) for _ in range(WIDE)][::-1]
+            for j, (w, _, i) in enumerate(children):
+                share[k, j] = w
+                if i >= 0:
+                    above[i], place[i] = k, j
+            mass[k] = sum(w for w, _, _ in children)
+            heapq.heappush(heap, (mass[k], n + k, n + k))
+        up, at = [], np.arange(n)
+        while (alive := at >= 0).any() and nodes:
+            here = np.where(alive, at, 0)
+            parent = np.where(alive, above[here], -1)
+            if (parent < 0).all():
+                break
+            up.append((parent, np.where(parent >= 0, place[here], -1)))
+            at = np.where(parent >= 0, n + parent, -1)
+        depth = sum(((p >= 0).astype(np.int64) for p, _ in up), np.zeros(n, np.int64))
+        self.path, self.turn = np.zeros((n, len(up)), np.int32), np.full((n, len(up)), -1, np.int8)
+        for k, (parent, j) in enumerate(up):
+            on = np.flatnonzero(parent >= 0)
+            self.path[on, depth[on] - 1 - k], self.turn[on, depth[on] - 1 - k] = parent[on], j[on]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.bias = np.maximum(np.log(share / share.sum(axis=1, keepdims=True)), -60).astype(np.float32)
+        self.size = np.maximum(1, buckets * mass / max(mass.sum(), 1)).astype(np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.rows = int(self.size.sum())
+
+    def node_of_rows(self) -> np.ndarray:
+        return np.tile(np.repeat(np.arange(len(self.size)), self.size), TEMPLATES)
 
 
 @dataclass
-class Params:
-    """Weights of classes (row per bucket, the last the bias), of words within each class, and of the tree of groups."""
-
-    cls: np.ndarray
-    word: np.ndarray
-    tree: np.ndarray
-    shape: Shape
-
-    @staticmethod
-    def sizes(shape: Shape = Shape()) -> tuple[int, int, int]:
-        return ((TEMPLATES << shape.cls) + 1) * CLASSES, (CLASSES - 1) * ((TEMPLATES << shape.word) + 1) * WIDE, (TEMPLATES << shape.tree) * shape.fan
+class Shared:
+    """What goes to the executors: the head's words and counts, the groups' masses, the tree and the weights."""
 
-    @classmethod
-    def of(cls, flat: np.ndarray, shape: Shape = Shape()) -> Params:
-        a, b, c = cls.sizes(shape)
-        return cls(flat[:a].reshape(-1, CLASSES).copy(), flat[a : a + b].reshape(-1, WIDE).copy(), flat[a + b : a + b + c].reshape(TEMPLATES << shape.tree, shape.fan).copy(), shape)
+    hashes: np.ndarray
+    counts: np.ndarray
+    mass: np.ndarray
+    tree: Tree
+    weights: np.ndarray
+    table: Table | None = field(default=None, compare=False)
 
-    def tables(self) -> tuple[np.ndarray, ...]:
-        return self.cls, self.word, self.tree
+    def leaves(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The leaf of each token, and whether that is a group."""
+        if self.table is None:
+            self.table = Table(self.hashes)
+        rank = self.table.find(h)
+        tail = rank < 0
+        return np.where(tail, len(self.hashes) + group_of(h, len(self.mass)), rank), tail
+
+    def levels(self, h: np.ndarray, at: np.ndarray, leaf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each level of the tree: the tokens that reach it, the rows of their features, their nodes and their children."""
+        tree = self.tree
+        keys = (_mixed(h[at - 1], h[at - 2]) >> np.uint64(32)).astype(np.int64)
+        base = np.arange(TEMPLATES) * tree.rows
+        for k in range(tree.path.shape[1]):
+            on = np.flatnonzero(tree.turn[leaf, k] >= 0)
+            if not len(on):
+                return
+            own = leaf[on]
+            node = tree.path[own, k]
+            yield on, ((keys[on] * tree.size[node][:, None]) >> 32) + (tree.first[node][:, None] + base), node, tree.turn[own, k].astype(np.int64)
+
+    def logits(self, rows: np.ndarray, node: np.ndarray) -> np.ndarray:
+        z = self.tree.bias.take(node, axis=0)
+        for j in range(TEMPLATES):
+            z += self.weights.take(rows[:, j], axis=0)
+        return z
 
 
-def start(counts: np.ndarray, total: int, shape: Shape) -> Params:
-    """The unigram model as parameters. ``counts``: of the head, commonest first."""
-    c = np.zeros(VOCAB)
-    c[: len(counts)] = counts
-    p = Params.of(np.zeros(sum(Params.sizes(shape)), np.float32), shape)
-    p.cls[-1] = np.log(np.concatenate([[max(total - c.sum(), 0) + 1], c.reshape(-1, WIDE).sum(axis=1) + 1e-3]))
-    rows = p.word.reshape(CLASSES - 1, -1, WIDE)
-    rows[:, -1] = np.log(c.reshape(-1, WIDE) + 1e-6)
-    return p
+def group_of(h: np.ndarray, groups: int) -> np.ndarray:
+    return np.mod(signed(h), groups)
 
 
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -157,27 +181,13 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([a, b * np.uint64(0xC2B2AE3D27D4EB4F) + (a >> np.uint64(1)), b], axis=1) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def _buckets(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (keys >> np.uint64(64 - bits)).astype(np.int64) + (np.arange(TEMPLATES) << bits)
-
-
-def _of_node(keys: np.ndarray, node: np.ndarray) -> np.ndarray:
-    return ((keys ^ (keys >> np.uint64(29))) + (node.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))[:, None]) * np.uint64(0x94D049BB133111EB)
-
-
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-
-def _logits(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    return weights[rows[:, 0]] + weights[rows[:, 1]] + weights[rows[:, 2]] + bias
-
-
-def _word_rows(c: np.ndarray, buckets: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the word table for tokens of the classes c (from 1): their buckets and their bias."""
-    base = (c - 1) * ((TEMPLATES << shape.word) + 1)
-    return base[:, None] + buckets, base + (TEMPLATES << shape.word)
+def log_probs(s: Shared, h: np.ndarray, at: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+    """Natural logs of P(leaf | context)."""
+    out = np.zeros(len(at))
+    for on, rows, node, child in s.levels(h, at, leaf):
+        z = s.logits(rows, node)
+        out[on] += z[np.arange(len(on)), child] - np.log(np.exp(z).sum(axis=1))
+    return out
 
 
 def _stream(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -204,83 +214,6 @@ def _chunks(texts: list[str | None], chars: int = 400_000) -> Iterator[tuple[int
             lo, size = i + 1, 0
 
 
-def _descend(weights: np.ndarray, gathered: np.ndarray, rows: np.ndarray, bias: np.ndarray, chosen: np.ndarray, rate: float = RATE) -> None:
-    """A stochastic update with a rate for each row that falls with the squares it has gathered."""
-    g = np.exp(_log_softmax(_logits(weights, rows, bias)))
-    g[np.arange(len(chosen)), chosen] -= 1
-    for j in range(TEMPLATES):
-        order = np.argsort(rows[:, j], kind="stable")
-        sorted_ = rows[order, j]
-        first = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
-        at, total = sorted_[first], np.add.reduceat(g[order], first, axis=0)
-        gathered[at] += (total * total).sum(axis=1)
-        weights[at] -= rate * total / np.sqrt(gathered[at])[:, None]
-
-
-class Trainer:
-    """Updates of the head and of the tree of groups, which has so many ``leaves``."""
-
-    def __init__(self, p: Params, groups: Tree, leaves: int):
-        self.p, self.groups, self.leaves, self.seen = p, groups, leaves, 0
-        self.gathered = [np.ones(len(t), np.float32) for t in p.tables()]
-
-    def step(self, h: np.ndarray, at: np.ndarray, rank: np.ndarray) -> None:
-        """``rank``: of the token at each position, VOCAB or more for the tail."""
-        p, keys = self.p, _mixed(h[at - 1], h[at - 2])
-        c = np.where(rank < VOCAB, rank // WIDE + 1, 0)
-        _descend(p.cls, self.gathered[0], _buckets(keys, p.shape.cls), p.cls[-1], c)
-        own, tail = np.flatnonzero(c), np.flatnonzero(c == 0)
-        if len(own):
-            rows, bias = _word_rows(c[own], _buckets(keys[own], p.shape.word), p.shape)
-            _descend(p.word, self.gathered[1], rows, p.word[bias], rank[own] % WIDE)
-        if len(tail):
-            for k in range(self.groups.depth):
-                node, child = self.groups.at(group_of(h[at[tail]], self.leaves), k)
-                _descend(p.tree, self.gathered[2], _buckets(_of_node(keys[tail], node), p.shape.tree), self.groups.bias[node], child)
-        self.seen += len(at)
-
-
-def group_of(h: np.ndarray, groups: int) -> np.ndarray:
-    return np.mod(signed(h), groups)
-
-
-def log_probs(p: Params, h: np.ndarray, at: np.ndarray, rank: np.ndarray, groups: Tree | None = None, leaves: int = 1) -> np.ndarray:
-    """Natural logs of P(class) and, for the head, of P(word | class); tail words get P(class) and, given the tree, P(group | class)."""
-    keys = _mixed(h[at - 1], h[at - 2])
-    c = np.where(rank < VOCAB, rank // WIDE + 1, 0)
-    out = _log_softmax(_logits(p.cls, _buckets(keys, p.shape.cls), p.cls[-1]))[np.arange(len(c)), c].astype(np.float64)
-    own, tail = np.flatnonzero(c), np.flatnonzero(c == 0)
-    if len(own):
-        rows, bias = _word_rows(c[own], _buckets(keys[own], p.shape.word), p.shape)
-        out[own] += _log_softmax(_logits(p.word, rows, p.word[bias]))[np.arange(len(own)), rank[own] % WIDE]
-    if len(tail) and groups:
-        for k in range(groups.depth):
-            node, child = groups.at(group_of(h[at[tail]], leaves), k)
-            z = _logits(p.tree, _buckets(_of_node(keys[tail], node), p.shape.tree), groups.bias[node])
-            out[tail] += _log_softmax(z)[np.arange(len(tail)), child]
-    return out
-
-
-def within(tree: Tree, leaf: np.ndarray, a: np.ndarray, b: np.ndarray, learn: np.ndarray) -> np.ndarray:
-    """Natural logs of P(leaf | context) after one pass over the tokens to learn from; a row for each context of each node."""
-    out, keys, studied = np.zeros(len(leaf)), _mixed(a, b), np.flatnonzero(learn)
-    for k in range(tree.depth):
-        node, child = tree.at(leaf, k)
-        # a template's keys are apart from the others'
-        own = _of_node(keys, node) + np.arange(TEMPLATES, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        distinct, rows = np.unique(own, return_inverse=True)
-        rows = rows.reshape(-1, TEMPLATES)
-        weights, gathered = np.zeros((len(distinct), tree.fan), np.float32), np.ones(len(distinct), np.float32)
-        for lo in range(0, len(studied), SMALL_BATCH):
-            at = studied[lo : lo + SMALL_BATCH]
-            _descend(weights, gathered, rows[at], tree.bias[node[at]], child[at], SMALL_RATE)
-        for lo in range(0, len(leaf), BATCH):
-            at = slice(lo, lo + BATCH)
-            z = _log_softmax(_logits(weights, rows[at], tree.bias[node[at]]))
-            out[at] += z[np.arange(len(z)), child[at]]
-    return out
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen, ends = Counter(), 0
 
@@ -288,7 +221,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = np.fromiter(map(xxhash.xxh3_64_intdigest, seen), np.uint64, len(seen))
         return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(list(seen.values()), pa.int64())], ["h", "c"])
 
-    for x in batches:
+    for x in slices(batches):
         for t in x.column("text").to_pylist():
             seen.update(words(t))
             ends += 1
@@ -306,91 +239,95 @@ def counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(_count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-@dataclass
-class Shared:
-    """What goes to the executors: the head's words and counts, the parameter tables and the tree of groups."""
+REPORTED = "block int, rows binary, n binary, o binary, e binary"
 
-    hashes: np.ndarray
-    counts: np.ndarray
-    params: Params
-    groups: Tree
-    leaves: int
-    table: Table | None = None
 
-    def ranks(self, h: np.ndarray) -> np.ndarray:
-        if self.table is None:
-            self.table = Table(self.hashes)
-        return self.table.find(h)
+def _sums(shared, expect: bool):
+    """Observed and, with ``expect``, expected children of each row over a partition's tokens, in blocks of rows."""
 
+    def report(o: np.ndarray, e: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        n = o.sum(axis=1)
+        for lo in range(0, len(o), BLOCK):
+            rows = np.flatnonzero(n[lo : lo + BLOCK])
+            if len(rows):
+                at = lo + rows
+                share = lambda x: (x[at] / n[at, None]).astype(np.float16).tobytes()  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([pa.array([lo // BLOCK], pa.int32()), *(pa.array([v], pa.binary()) for v in (rows.astype(np.uint16).tobytes(), n[at].tobytes(), share(o), None if e is None else share(e)))], ["block", "rows", "n", "o", "e"])
 
-def _train(docs: DataFrame, shared, scratch: Scratch) -> Params:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
-        p = Params(*(t.copy() for t in s.params.tables()), s.params.shape)
-        trainer = Trainer(p, s.groups, s.leaves)
-        for x in batches:
+        o = e = None
+        seen = 0
+        for x in slices(batches):
             for _, part in _chunks(x.column("text").to_pylist()):
-                h, at, _ = _stream(part)
-                rank = s.ranks(h[at])
-                rank = np.where(rank < 0, VOCAB, rank)
-                for lo in range(0, len(at), BATCH):
-                    trainer.step(h, at[lo : lo + BATCH], rank[lo : lo + BATCH])
-        for k, (new, old, gathered) in enumerate(zip(p.tables(), s.params.tables(), trainer.gathered, strict=True)):
-            for lo in range(0, len(new), BLOCK):
-                rows = np.flatnonzero(gathered[lo : lo + BLOCK] > 1)
-                if len(rows):
-                    delta = new[lo + rows] - old[lo + rows]
-                    n = np.full(len(rows), trainer.seen, np.float64)
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([lo // BLOCK], pa.int32()), pa.array([rows.astype(np.uint16).tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary()), pa.array([delta.astype(np.float16).tobytes()], pa.binary())], ["tab", "block", "rows", "n", "w"])
-
-    def average(t: pa.Table) -> pa.Table:
-        n, w = np.zeros(BLOCK), None
-        for r, k, b in zip(t.column("rows"), t.column("n"), t.column("w"), strict=True):
-            rows, k = np.frombuffer(r.as_py(), np.uint16), np.frombuffer(k.as_py(), np.float64)
-            b = np.frombuffer(b.as_py(), np.float16).reshape(len(rows), -1)
-            w = np.zeros((BLOCK, b.shape[1])) if w is None else w
-            w[rows] += b * k[:, None]
-            n[rows] += k
-        rows = np.flatnonzero(n)
-        w = (w[rows] / n[rows, None]).astype(np.float16)
-        return pa.table({"tab": t.column("tab")[:1], "block": t.column("block")[:1], "rows": pa.array([rows.astype(np.uint16).tobytes()], pa.binary()), "n": pa.array([n[rows].tobytes()], pa.binary()), "w": pa.array([w.tobytes()], pa.binary())})
-
-    schema = "tab int, block int, rows binary, n binary, w binary"
-    parts = docs.select("text").mapInArrow(run, schema).withColumn("at", F.spark_partition_id())
-    # groups of about the square root of the partitions' number: neither level gathers them all
-    groups = max(1, math.isqrt(docs.rdd.getNumPartitions()))
-    level = parts.withColumn("g", F.pmod("at", F.lit(groups))).select("g", "tab", "block", "rows", "n", "w").groupBy("g", "tab", "block").applyInArrow(average, schema)
-    done = scratch.keep(level.groupBy("tab", "block").applyInArrow(average, schema)).collect()
-    p = shared.value.params
-    for r in done:
-        rows = np.frombuffer(r.rows, np.uint16)
-        p.tables()[r.tab][r.block * BLOCK + rows.astype(np.int64)] += np.frombuffer(r.w, np.float16).reshape(len(rows), -1)
-    return p
-
-
-def _tail(t: pa.Table) -> pa.Table:
-    """The tokens of one group of tail words: (rid, k, s, m), the known ones, their base score and all log10 P(word | group).
-
-    ``e``: -1 for a word of the table, whose count is ``x``; else twice the row's number, and one more if it is held out; ``x`` then packs the context.
-    """
-    h, x, e = (t.column(c).to_numpy() for c in ("h", "x", "e"))
-    word = e < 0
-    order = np.lexsort((h[word], -x[word]))
-    known, c = h[word][order], x[word][order]
-    tree = Tree(np.append(c + 1.0, 1.0))
-    h, x, e = h[~word], x[~word].view(np.uint64), e[~word]
-    by = np.argsort(known)
-    leaf = np.full(len(h), len(known))
-    if len(known):
-        found = by[np.minimum(np.searchsorted(known, h, sorter=by), len(known) - 1)]
-        leaf = np.where(known[found] == h, found, leaf)
-    # the same order whatever the shuffle's
-    order = np.lexsort((x, h, e))
-    leaf, x, e = leaf[order], x[order], e[order]
-    m = within(tree, leaf, x >> np.uint64(32), x & np.uint64(0xFFFFFFFF), e % 2 == 0) / LOG10
-    rid, first = np.unique(e // 2, return_index=True)
-    sums = lambda v: np.add.reduceat(v, first) if len(first) else v
-    return pa.table({"rid": rid, "k": sums((leaf < len(known)).astype(np.int64)), "s": sums(np.log10(np.append(c, 0) + 1.0)[leaf]), "m": sums(m)})
+                if o is None:
+                    o, e = np.zeros(s.weights.shape, np.float32), np.zeros(s.weights.shape, np.float32) if expect else None
+                h, every, _ = _stream(part)
+                leaf, _ = s.leaves(h[every])
+                for lo in range(0, len(every), BATCH):
+                    for _, rows, node, child in s.levels(h, every[lo : lo + BATCH], leaf[lo : lo + BATCH]):
+                        if expect:
+                            p = s.logits(rows, node)
+                            np.exp(p, out=p)
+                            p /= p.sum(axis=1, keepdims=True)
+                            for j in range(TEMPLATES):
+                                own = rows[:, j] - j * s.tree.rows
+                                by = np.argsort(own.astype(np.uint16) if s.tree.rows <= 1 << 16 else own, kind="stable")  # 16 bits sort fastest
+                                own = rows[by, j]
+                                first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                                e[own[first]] += np.add.reduceat(p[by], first, axis=0)
+                        np.add.at(o.reshape(-1), (rows * WIDE + child[:, None]).ravel(), np.float32(1))
+                seen += len(every)
+                if seen >= REPORT:
+                    yield from report(o, e)
+                    o, seen = None, 0
+        if o is not None:
+            yield from report(o, e)
+
+    return run
+
+
+def _added(t: pa.Table) -> pa.Table:
+    n, o, e = np.zeros(BLOCK), np.zeros((BLOCK, WIDE)), np.zeros((BLOCK, WIDE))
+    both = t.column("e").null_count == 0
+    for r in t.to_pylist():
+        rows, k = np.frombuffer(r["rows"], np.uint16), np.frombuffer(r["n"], np.float32).astype(np.float64)
+        n[rows] += k
+        o[rows] += np.frombuffer(r["o"], np.float16).reshape(-1, WIDE) * k[:, None]
+        if both:
+            e[rows] += np.frombuffer(r["e"], np.float16).reshape(-1, WIDE) * k[:, None]
+    rows = np.flatnonzero(n)
+    share = lambda x: (x[rows] / n[rows, None]).astype(np.float16).tobytes()
+    return pa.table({"block": t.column("block")[:1], "rows": pa.array([rows.astype(np.uint16).tobytes()], pa.binary()), "n": pa.array([n[rows].astype(np.float32).tobytes()], pa.binary()), "o": pa.array([share(o)], pa.binary()), "e": pa.array([share(e) if both else None], pa.binary())})
+
+
+def train(docs: DataFrame, fold: str, shared: Shared, tokens: int, scratch: Scratch) -> Shared:
+    """``shared`` with trained weights. ``docs``: (text, and the place of the document's fold)."""
+    context = docs.sparkSession.sparkContext
+    node = shared.tree.node_of_rows()
+    # so many tasks that what they report is less than the input, whose tokens take some two bytes each
+    most = max(4, 2 * tokens // (len(ROUNDS) * shared.weights.size * 3))
+    for k, (places, rate) in enumerate(zip(ROUNDS, RATES, strict=True)):
+        own = docs.where(F.col(fold).isin(*places)).select("text")
+        parts = own.coalesce(most).mapInArrow(_sums(context.broadcast(shared), k > 0), REPORTED)
+        parts = parts.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(max(1, math.isqrt(most)))))
+        # two levels: neither task gathers all reports of a block
+        level = parts.groupBy("g", "block").applyInArrow(_added, REPORTED)
+        done = scratch.keep(level.groupBy("block").applyInArrow(_added, REPORTED))
+        weights = shared.weights.copy()
+        for r in done.toLocalIterator():  # the table of weights, a block at a time
+            at = r.block * BLOCK + np.frombuffer(r.rows, np.uint16).astype(np.int64)
+            n = np.frombuffer(r.n, np.float32).astype(np.float64)[:, None]
+            o = np.frombuffer(r.o, np.float16).reshape(-1, WIDE).astype(np.float64)
+            e = np.exp(shared.tree.bias[node[at]].astype(np.float64)) if r.e is None else np.frombuffer(r.e, np.float16).reshape(-1, WIDE).astype(np.float64)
+            o, e = o * n, e * n
+            # the part of what was observed that chance does not explain (James and Stein's shrinkage, cells of one count at least)
+            chance, seen = (e / (e + 1)).sum(axis=1, keepdims=True), ((o - e) ** 2 / (e + 1)).sum(axis=1, keepdims=True)
+            o = e + np.maximum(0, 1 - chance / np.maximum(seen, 1e-9)) * (o - e)
+            ratio = (o + PRIOR * e / n + 1e-9) / (e + PRIOR * e / n + 1e-9)
+            weights[at] += (rate * np.clip(np.log(ratio), -CLIP, CLIP)).astype(np.float32)
+        shared = Shared(shared.hashes, shared.counts, shared.mass, shared.tree, weights)
+    return shared
 
 
 def score(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
@@ -398,64 +335,73 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
     rest_of = remainder("doc_id", modulus)
-    learning = docs.where(rest_of != held).select(text_or_empty().alias("text"))
+    # the learning folds in order, dealt to the places of the rounds
+    folds = [r for r in range(modulus) if r != held]
+    place = F.element_at(F.array(*(F.lit(folds.index(r) * sum(map(len, ROUNDS)) // len(folds) if r in folds else -1) for r in range(modulus))), (rest_of + 1).cast("int"))
+    learning = docs.where(rest_of != held).select(text_or_empty().alias("text"), place.alias("place"))
     table = scratch.keep(counts(learning))
     total, distinct = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = table.orderBy(F.desc("c"), "h").limit(VOCAB).collect()
-    hashes, c = np.array([r.h for r in top], np.int64).view(np.uint64), np.array([r.c for r in top], np.int64)
-    leaves = max(1, -(-(distinct - len(c)) // GROUP_WORDS), -(-int(total - c.sum()) // GROUP_TOKENS))
-    tail_words = table.join(F.broadcast(spark.createDataFrame([(r.h,) for r in top], "h long")), "h", "left_anti").select(F.pmod("h", F.lit(leaves).cast("long")).alias("g"), "h", "c")
+    root = max(total, 1) ** (1 / 3)
+    top = table.orderBy(F.desc("c"), "h").limit(math.ceil(HEAD * root)).toArrow()
+    hashes, c = (top.column(k).to_numpy() for k in ("h", "c"))
+    hashes = hashes.view(np.uint64)
+    groups = math.ceil(GROUPS * root)
+    least = (int(c[-1]), int(hashes[-1].view(np.int64))) if len(top) else (0, 0)
+    rest = table.where((F.col("c") < least[0]) | (F.col("c") == least[0]) & (F.col("h") > least[1]))
     # a count of one more for each word, and one unknown word in each group
-    mass = np.ones(leaves)
-    for r in tail_words.groupBy("g").agg(F.sum(F.col("c") + 1).alias("n")).collect():
+    mass = np.ones(groups)
+    for r in rest.groupBy(F.pmod("h", F.lit(groups).cast("long")).alias("g")).agg(F.sum(F.col("c") + 1).alias("n")).collect():
         mass[r.g] += r.n
-    groups = Tree(mass)
-    params = start(c, total, Shape.of(total, groups.fan))
-    shared = spark.sparkContext.broadcast(Shared(hashes, c, params, groups, leaves))
+    tree = Tree(np.concatenate([c + 1.0, mass]), math.ceil(BUCKETS * max(total, 1) ** 0.25))
+    model = Shared(hashes, c, mass, tree, np.zeros((TEMPLATES * tree.rows, WIDE), np.float32))
     if total:
-        shared = spark.sparkContext.broadcast(Shared(hashes, c, _train(learning, shared, scratch), groups, leaves))
+        model = train(learning, "place", model, total, scratch)
+    shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
-        log_c = np.log10(s.counts + 1.0)
-        for x in batches:
-            n, known, base, model, ws, xs = [], [], [], [], [], []
+        log_c, log_mass = np.log10(s.counts + 1.0), np.log10(s.mass)
+        for x in slices(batches):
+            n, known, base, model, rare, tf = [], [], [], [], [], []
             for _, part in _chunks(x.column("text").to_pylist()):
                 h, at, text = _stream(part)
-                rank = s.ranks(h[at])
-                inside, outside = rank >= 0, rank < 0
-                tail = np.where(outside, VOCAB, rank)
-                lp = np.concatenate([log_probs(s.params, h, at[i : i + BATCH], tail[i : i + BATCH], s.groups, s.leaves) for i in range(0, len(at), BATCH)]) / LOG10
+                leaf, tail = s.leaves(h[at])
+                lp = np.concatenate([log_probs(s, h, at[i : i + BATCH], leaf[i : i + BATCH]) for i in range(0, len(at), BATCH)]) / LOG10
+                lp[tail] -= log_mass[leaf[tail] - len(s.hashes)]
+                head = ~tail
                 add = lambda v, on: np.bincount(text[on], v, len(part)).tolist()  # noqa: E731, B023
                 n += np.bincount(text, minlength=len(part)).tolist()
-                known += np.bincount(text[inside], minlength=len(part)).tolist()
-                base += add(log_c[rank[inside]], inside)
+                known += np.bincount(text[head], minlength=len(part)).tolist()
+                base += add(log_c[leaf[head]], head)
                 model += add(lp, slice(None))
-                cut = pa.array(np.searchsorted(text[outside], np.arange(len(part) + 1)).astype(np.int32))
-                a, b = h[at[outside] - 1], h[at[outside] - 2]
-                ws.append(pa.ListArray.from_arrays(cut, pa.array(signed(h[at[outside]]))))
-                xs.append(pa.ListArray.from_arrays(cut, pa.array(signed((a << np.uint64(32)) | (b & np.uint64(0xFFFFFFFF))))))
-            lists = lambda v: pa.concat_arrays(v) if v else pa.array([], pa.list_(pa.int64()))
+                # each tail word of a text once, with its count
+                of, w = text[tail], h[at[tail]]
+                by = np.lexsort((w, of))
+                of, w = of[by], w[by]
+                first = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (w[1:] != w[:-1]))[: len(w)])
+                cut = pa.array(np.searchsorted(of[first], np.arange(len(part) + 1)).astype(np.int32))
+                rare.append(pa.ListArray.from_arrays(cut, pa.array(signed(w[first]))))
+                tf.append(pa.ListArray.from_arrays(cut, pa.array(np.diff(np.append(first, len(w))).astype(np.int32))))
+            lists = lambda v, k: pa.concat_arrays(v) if v else pa.array([], pa.list_(k))
             yield pa.RecordBatch.from_arrays(
-                [x.column("doc_id"), x.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(model, pa.float64()), lists(ws), lists(xs)],
-                ["doc_id", "held_out", "n_tokens", "known", "base", "model", "h", "x"],
+                [x.column("doc_id"), x.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(model, pa.float64()), lists(rare, pa.int64()), lists(tf, pa.int32())],
+                ["doc_id", "held_out", "n_tokens", "known", "base", "model", "rare", "tf"],
             )
 
-    schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, model double, h array<long>, x array<long>"
+    schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, model double, rare array<long>, tf array<int>"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (rest_of == held).alias("held_out"), text_or_empty().alias("text")).mapInArrow(run, schema)
     rows = scratch.keep(rows.withColumn("rid", F.monotonically_increasing_id()))
-    each = rows.select((F.col("rid") * 2 + F.col("held_out").cast("long")).alias("e"), F.inline(F.arrays_zip("h", "x")))
-    each = each.select(F.pmod("h", F.lit(leaves).cast("long")).alias("g"), "h", "x", "e").unionByName(tail_words.select("g", "h", F.col("c").alias("x"), F.lit(-1).cast("long").alias("e")))
-    parts = each.groupBy("g").applyInArrow(_tail, "rid long, k long, s double, m double")
-    more = parts.groupBy("rid").agg(F.sum("k").alias("k"), F.sum("s").alias("s"), F.sum("m").alias("m"))
+    each = rows.select("rid", F.inline(F.arrays_zip("rare", "tf"))).withColumnRenamed("rare", "h")
+    found = each.join(table, "h")  # words without a count add log10(1) = 0
+    more = found.groupBy("rid").agg(F.sum("tf").alias("k"), F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("s"))
     out = rows.select("rid", "doc_id", "held_out", "n_tokens", "known", "base", "model").join(more, "rid", "left")
-    or_0 = lambda c: F.coalesce(c, F.lit(0))
+    s = F.coalesce("s", F.lit(0.0))
     return out.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("known") + or_0("k")).alias("n_known"),
+        (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + or_0("s") - F.col("n_tokens") * math.log10(total + distinct + 1)).alias("base_score"),
-        (F.col("model") + or_0("m")).alias("score"),
+        (F.col("base") + s - F.col("n_tokens") * math.log10(total + distinct + 1)).alias("base_score"),
+        (F.col("model") + s).alias("score"),
     )
