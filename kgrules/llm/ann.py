@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by largest inner product: an inverted file with product-quantised residuals.
 
 Coarse centroids and the codebooks of the residuals are fitted on a bounded sample (``SAMPLE`` distinct vectors, those of
-the smallest hash); every vector is indexed. A query visits the lists of its ``probes`` nearest centroids. Within a list,
-asymmetric tables score the codes, the best ``SHORT`` are scored exactly in double precision on the original vectors, and
-the best k of all lists are the result. Equal vectors are one entry of the index that carries its k + 1 smallest ids, so a
-vector that a third of the rows share costs as much as one. Lists and the queries that visit them are dealt out in blocks.
+the smallest hash); every vector is indexed. A query visits the lists whose centroids have the largest inner product with it.
+Lists are packed into blocks of about ``BLOCK`` entries, a list beyond that into several; a query goes to each block that has
+one of its lists, once. There the centroid's inner product and the asymmetric tables of the residual codes score the entries of
+its lists; the ``SHORT`` best of a block are scored exactly in double precision on the original vectors, and the best k of
+all blocks are the result. Equal vectors are one entry of the index that carries its k + 1 smallest ids, so a vector that a
+third of the rows share costs as much as one.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, rows with a null vec_id, and vectors not of
 the commonest dimension take no part. Ties go to the smaller vec_id. Rows that repeat a vec_id and vector count once.
@@ -23,9 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-SAMPLE, MAX_LISTS, SUBSPACES, SHORT, BLOCK = 16_384, 1024, 16, 64, 8192
-#: Share of the lists that a query visits, in percent: vectors without clusters spread their neighbours over many lists.
-PROBED = 60
+SAMPLE, MAX_LISTS, SUBSPACES, SHORT, BLOCK = 16_384, 1024, 16, 128, 8192
+#: Share of the lists that a query visits, in percent, and the fewest: vectors without clusters spread their neighbours over
+#: many lists, the more so the fewer there are.
+PROBED, LEAST = 60, 22
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> np.ndarray:
@@ -60,6 +63,13 @@ class Index:
         rest = x - self.coarse[at]
         return at, np.stack([nearest(np.ascontiguousarray(rest[:, s]), b).astype(np.uint8) for s, b in zip(self.cuts, self.books, strict=True)], axis=1)
 
+    def probed(self, q: np.ndarray, probes: int) -> np.ndarray:
+        """For each query and list whether it is among the nearest so many."""
+        near = q @ self.coarse.T
+        out = np.zeros(near.shape, bool)
+        np.put_along_axis(out, np.argpartition(-near, min(probes, near.shape[1]) - 1, axis=1)[:, :probes], True, axis=1)
+        return out
+
     def tables(self, q: np.ndarray) -> list[np.ndarray]:
         return [q[:, s] @ b.T for s, b in zip(self.cuts, self.books, strict=True)]
 
@@ -79,6 +89,20 @@ def usable(vectors: DataFrame) -> DataFrame:
     return ok.where(F.size("v") == found[0].d) if found else ok
 
 
+def packed(sizes: dict[int, int]) -> tuple[dict[int, int], dict[int, int], int]:
+    """The first block of each list, its blocks, and the number of blocks: small lists share one, large lists have several."""
+    first, parts, at, room = {}, {}, -1, 0
+    for i, n in sorted(sizes.items()):
+        parts[i] = -(-n // BLOCK)
+        if parts[i] > 1 or n > room:
+            at += 1
+            first[i], room = at, BLOCK - n if parts[i] == 1 else 0
+            at += parts[i] - 1
+        else:
+            first[i], room = at, room - n
+    return first, parts, at + 1
+
+
 def search(vectors: DataFrame, every: int = 20, k: int = 20, probes: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose vec_id is divisible by ``every``."""
     spark = vectors.sparkSession
@@ -93,8 +117,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, probes: int | None
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = np.array([r.v for r in reps.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect()])
-    lists = 1 if total <= 1000 else int(min(MAX_LISTS, len(sample) // 16, 2 * total**0.5))
-    probes = min(lists, probes or max(16, -(-lists * PROBED // 100)))
+    lists = max(1, int(min(MAX_LISTS, len(sample) // 16, 2 * total**0.5)))
+    probes = min(lists, probes or max(LEAST, -(-lists * PROBED // 100)))
     shared = spark.sparkContext.broadcast(Index(sample, lists))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,45 +128,51 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, probes: int | None
                 at, codes = shared.value.encode(v)
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), x.column("rep"), pa.array([c.tobytes() for c in codes], pa.binary()), x.column("v")], ["list", "rep", "codes", "v"])
 
+    entries = scratch.keep(reps.mapInArrow(index, "list int, rep long, codes binary, v array<double>"))
+    # a row for each list, MAX_LISTS at most
+    first, parts, blocks = packed({r.list: r["count"] for r in entries.groupBy("list").count().collect()})
+    where = F.broadcast(spark.createDataFrame([(i, first[i], parts[i]) for i in first], "list int, first int, parts int"))
+
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spread = np.zeros((len(shared.value.coarse), blocks), np.uint8)
+        for i in first:
+            spread[i, first[i] : first[i] + parts[i]] = 1
         for x in batches:
-            if x.num_rows:
-                v = _matrix(x.column("v"))
-                near = np.argpartition(-(v @ shared.value.coarse.T), probes - 1, axis=1)[:, :probes]
-                take = pa.array(np.repeat(np.arange(len(v)), probes))
-                yield pa.RecordBatch.from_arrays([pa.array(near.ravel(), pa.int32()), x.column("rep").take(take), x.column("v").take(take)], ["list", "rep", "v"])
-
-    entries = scratch.keep(reps.mapInArrow(index, "list int, rep long, codes binary, v array<double>"))
-    visits = scratch.keep(asked.select("rep", "v").dropDuplicates(["rep"]).mapInArrow(visit, "list int, rep long, v array<double>"))
-    # blocks of at most about BLOCK rows: so many parts of each side of a list (a row for each list, MAX_LISTS at most)
-    parts = lambda df: df.groupBy("list").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("p"))
-    sizes = F.broadcast(parts(entries).join(parts(visits).withColumnRenamed("p", "q"), "list"))
-    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    every_part = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = entries.join(sizes, "list").select("list", own("p").alias("x"), every_part("q").alias("y"), "rep", "codes", "v")
-    right = visits.join(sizes, "list").select("list", every_part("p").alias("x"), own("q").alias("y"), "rep", "v")
+            for lo in range(0, x.num_rows, 1024):
+                y = x.slice(lo, 1024)
+                row, block = np.nonzero(shared.value.probed(_matrix(y.column("v")), probes).astype(np.float32) @ spread)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), y.column("rep").take(take), y.column("v").take(take)], ["block", "rep", "v"])
+
+    visits = asked.select("rep", "v").dropDuplicates(["rep"]).mapInArrow(visit, "block int, rep long, v array<double>")
+    # a block meets the queries in parts of about BLOCK
+    queries = max(1, -(-asked.count() // BLOCK))
+    left = entries.join(where, "list").withColumn("block", F.col("first") + F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    left = left.select("block", F.explode(F.sequence(F.lit(0), F.lit(queries - 1))).alias("part"), "list", "rep", "codes", "v")
+    right = visits.select("block", F.pmod(F.xxhash64("rep"), F.lit(queries)).cast("int").alias("part"), "rep", "v")
 
     def rank(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"q": pd.Series(dtype="int64"), "c": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         codes, v = np.stack([np.frombuffer(c, np.uint8) for c in a["codes"]]), np.stack(a["v"].to_numpy())
-        ids, out = a["rep"].to_numpy(), []
+        ids, own, out = a["rep"].to_numpy(), a["list"].to_numpy(), []
+        short = min(SHORT, len(v))
         for lo in range(0, len(b), 256):
             q = np.stack(b["v"].to_numpy()[lo : lo + 256])
-            if len(v) > SHORT:
-                near = np.zeros((len(q), len(v)))  # the list's centroid adds the same to all of a row
-                for j, t in enumerate(shared.value.tables(q)):
-                    near += t[:, codes[:, j]]
-                best = np.argpartition(-near, SHORT - 1, axis=1)[:, :SHORT]
-            else:
-                best = np.broadcast_to(np.arange(len(v)), (len(q), len(v)))
+            near = (q @ shared.value.coarse.T)[:, own]
+            for j, t in enumerate(shared.value.tables(q)):
+                near += t[:, codes[:, j]]
+            near[~shared.value.probed(q, probes)[:, own]] = -np.inf
+            best = np.argpartition(-near, short - 1, axis=1)[:, :short]
             exact = np.einsum("qd,qcd->qc", q, v[best])
+            exact[np.isneginf(np.take_along_axis(near, best, 1))] = -np.inf
             order = np.lexsort((ids[best], -exact))[:, : k + 1]
             r = np.arange(len(q))[:, None]
-            out.append(pd.DataFrame({"q": np.repeat(b["rep"].to_numpy()[lo : lo + 256], order.shape[1]), "c": ids[best[r, order]].ravel(), "score": exact[r, order].ravel()}))
+            found = pd.DataFrame({"q": np.repeat(b["rep"].to_numpy()[lo : lo + 256], order.shape[1]), "c": ids[best[r, order]].ravel(), "score": exact[r, order].ravel()})
+            out.append(found[~np.isneginf(found["score"])])
         return pd.concat(out)
 
-    hits = left.groupBy("list", "x", "y").cogroup(right.groupBy("list", "x", "y")).applyInPandas(rank, "q long, c long, score double")
+    hits = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(rank, "q long, c long, score double")
     top = Window.partitionBy("q").orderBy(F.desc("score"), "c")
     hits = hits.withColumn("rn", F.row_number().over(top)).where(F.col("rn") <= k + 1).drop("rn")
     named = hits.join(members.select(F.col("rep").alias("c"), "vec_id"), "c")
