@@ -38,7 +38,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("lines", drop_lines), ("near_copies", drop_copies), ("mixing", mix), ("bpe", tokenize)]
 
-#: Label models, hashed signatures and merges are not for SQL; tests hold the pipeline against brute force.
+#: Label models, hashed signatures and merges are not for SQL; tests/llm/test_pipeline.py holds each stage's rows against plain Python.
 ORACLE_SQL = None
 
 
