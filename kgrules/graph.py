@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import warnings
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
@@ -30,12 +31,12 @@ class KnowledgeGraph:
         self._stats: dict[str, planner.Stats] = {}
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, persist: bool = True) -> KnowledgeGraph:
-        """A Turtle file or folder of files; names that end in .tsv are edge lists."""
+    def load(cls, spark: SparkSession, path: str, persist: bool = True, **options) -> KnowledgeGraph:
+        """A Turtle file or folder of files; names that end in .tsv are edge lists, read with the ``options`` of ``tsv.read``."""
         from .sources import tsv, turtle
 
         if path.endswith(".tsv"):
-            return cls(spark, tsv.read(spark, path), persist=persist)
+            return cls(spark, tsv.read(spark, path, **options), persist=persist)
         return cls(spark, turtle.read(spark, path), turtle.prefixes(spark, path), persist)
 
     def stored(self) -> KnowledgeGraph:
@@ -63,6 +64,16 @@ class KnowledgeGraph:
         """Bytes of the triples by the optimizer's estimate."""
         return int(str(self.triples._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
+    def admit(self, most: int) -> KnowledgeGraph:
+        """The graph itself, kept in memory if the estimate is within so many bytes; else as it is, with a warning, read from its
+        source (or its stored files) by every atom."""
+        need = self.memory()
+        if need > most:
+            warnings.warn(f"about {need} bytes of triples are beyond the {most} allowed; they stay on disk", stacklevel=2)
+        elif not self.persisted:
+            self.triples, self.persisted = self.triples.persist(StorageLevel.MEMORY_AND_DISK), True
+        return self
+
     def sizes(self, predicates: Iterable[str]) -> dict[str, int]:
         """Distinct triples of each given predicate; one job for all that aren't known yet."""
         new = sorted(set(predicates) - self._sizes.keys())
@@ -86,11 +97,14 @@ class KnowledgeGraph:
     def rule(self, text: str | Rule) -> Rule:
         return text if isinstance(text, Rule) else parse_line(text, self.prefixes)
 
-    def evaluate(self, rule: str | Rule, **options) -> dict:
-        """The measures of one rule, with the milliseconds taken."""
-        began = time.perf_counter()
-        row = self.measures([rule], **options).collect()[0].asDict()
-        return row | {"ms": (time.perf_counter() - began) * 1000}
+    def evaluate(self, rule: str | Rule, repeat: int = 1, **options) -> dict:
+        """The measures of one rule, with the milliseconds taken: the least and the mean of so many runs."""
+        took = []
+        for _ in range(max(1, repeat)):
+            began = time.perf_counter()
+            row = self.measures([rule], **options).collect()[0].asDict()
+            took.append((time.perf_counter() - began) * 1000)
+        return row | {"ms": min(took), "ms_mean": sum(took) / len(took), "runs": len(took)}
 
     def evaluate_json(self, text: str, **options) -> dict:
         return self.evaluate(parse_json_rule(text, self.prefixes), **options)
@@ -104,7 +118,7 @@ class KnowledgeGraph:
         """
         listed = dict(enumerate(self.rule(r) for r in rules))
         named = {a.p for r in listed.values() for a in (*r.body, r.head)}
-        stats = self.stats(named) if batch and len(listed) > 1 else {}
+        stats = self.stats(named) if batch and (len(listed) > planner.FEW or budget < planner.GROUNDINGS) else {}
         sizes = self.sizes(named)
         together = {i: r for i, r in listed.items() if batch and planner.batchable(r)}
         counts = [planner.batched(self.triples, together, sizes, stats, budget)] if together else []

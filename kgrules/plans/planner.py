@@ -25,6 +25,8 @@ from ..rules import Atom, Rule, Term
 CROSS = 1_000_000_000
 #: Estimated groundings of the rules that are evaluated together; rules of a batch at most, as their parameters are broadcast.
 GROUNDINGS, BATCH = 1e10, 20_000
+#: Rules up to this number are evaluated together without statistics of their groundings.
+FEW = 64
 
 
 class CrossProductError(ValueError):
@@ -139,9 +141,12 @@ def clash(a: Atom, b: Atom) -> bool | Column:
     return s if o is True else s & o
 
 
-def body_rows(triples: DataFrame, rule: Rule, sizes: Mapping[str, int], limit: int | None = None) -> DataFrame | None:
-    """All groundings of the body, a column for each variable; None if none can exist."""
-    atoms = [rule.body[i] for i in order(rule.body, sizes)]
+def body_rows(triples: DataFrame, rule: Rule, sizes: Mapping[str, int], limit: int | None = None, seed: DataFrame | None = None, given: Sequence[str] = ()) -> DataFrame | None:
+    """All groundings of the body, a column for each variable; None if none can exist.
+
+    ``seed``: rows that bind the ``given`` variables, which all groundings extend; its other columns are carried along.
+    """
+    atoms = [rule.body[i] for i in order(rule.body, sizes, given)]
     clashes = [clash(a, b) for i, a in enumerate(atoms) for b in atoms[:i]]
     if any(c is True for c in clashes) or any(sizes.get(a.p, 0) == 0 for a in atoms):
         return None
@@ -149,7 +154,7 @@ def body_rows(triples: DataFrame, rule: Rule, sizes: Mapping[str, int], limit: i
         product = reduce(lambda x, g: x * max(1, min(sizes[a.p] for a in atoms if set(a.variables) & g)), components(atoms), 1)
         if product > limit:
             raise CrossProductError(f"about {product} rows; the limit is {limit}")
-    rows, bound = None, []
+    rows, bound = seed, list(given)
     for a in atoms:
         own = scan(triples, a)
         if rows is None:
@@ -181,27 +186,24 @@ def head_rows(triples: DataFrame, head: Atom, consistent: bool = True) -> DataFr
 
 
 def supported(triples: DataFrame, rule: Rule, sizes: Mapping[str, int], limit: int | None = None) -> DataFrame | None:
-    """(hs, ho) of the head triples for which the body holds; None if there are none."""
+    """(hs, ho) of the head triples for which the body holds; None if there are none.
+
+    The enumeration is seeded: it begins with the head triples, whose ends bind the head's variables, so atoms are joined in
+    the order for these bindings and only groundings that agree with a head triple come about.
+    """
     if sizes.get(rule.head.p, 0) == 0:
         return None
     heads = head_rows(triples, rule.head)
     if not rule.body:
         return heads
-    body = body_rows(triples, rule, sizes, limit)
+    at = {t.value: F.col(side).alias(v(t.value)) for side, t in (("hs", rule.head.s), ("ho", rule.head.o)) if t.is_var}
+    body = body_rows(triples, rule, sizes, limit, heads.select("hs", "ho", *at.values()), list(at))
     if body is None:
         return None
-    at = {}
-    for side, t in (("hs", rule.head.s), ("ho", rule.head.o)):
-        if t.is_var:
-            at[t.value] = F.col(side)
-    on = []
-    for name, h in at.items():
-        for other in rule.body_variables:
-            on.append(h == F.col(v(other)) if other == name else h != F.col(v(other)))
     for a in rule.body:
         if a.p == rule.head.p:
-            on.append(~((_ground(a.s) == F.col("hs")) & (_ground(a.o) == F.col("ho"))))
-    return heads.join(body, _all(on), "left_semi")
+            body = body.where(~((_ground(a.s) == F.col("hs")) & (_ground(a.o) == F.col("ho"))))
+    return body.select("hs", "ho").distinct()
 
 
 def body_pairs(triples: DataFrame, rule: Rule, sizes: Mapping[str, int], limit: int | None = None) -> DataFrame | None:

@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from .functions.text import number_after
 
 
-def as_text(rows: Iterable) -> str:
-    """A block of lines for each rule, in order."""
-    out = []
+def as_text(rows: Iterable, seconds: float | None = None) -> str:
+    """A block of lines for each rule, in order; with ``seconds`` also the total time and the mean of a rule."""
+    out, n = [], 0
     for r in rows:
+        n += 1
         out.append(f"Rule {r['rule_id']}: {r['rule']}")
         out.append(f"  support {r['support']}, head size {r['head_size']}, head support {r['head_support']}, head coverage {r['head_coverage']:.6g}")
         out.append(f"  body size {r['body_size']}, confidence {r['confidence']:.6g}")
+    if seconds is not None:
+        out.append(f"Total {seconds:.3f} s, {seconds / max(n, 1):.3f} s a rule")
     return "\n".join(out)
 
 
@@ -51,6 +54,12 @@ def runs(lines: DataFrame) -> DataFrame:
     return found.where("rule_id is not null")
 
 
+def repeated(times: DataFrame) -> DataFrame:
+    """(impl, rule_id, n, least_ms, mean_ms, total_ms) over the runs of a rule that the logs hold."""
+    ms = F.col("support_ms") + F.col("confidence_ms")
+    return times.groupBy("impl", "rule_id").agg(F.count(ms).alias("n"), F.min(ms).alias("least_ms"), F.avg(ms).alias("mean_ms"), F.sum(ms).alias("total_ms"))
+
+
 def speedup(times: DataFrame, base: str, other: str) -> DataFrame:
     """(rule_id, base_ms, other_ms, ratio): the two implementations' total times side by side."""
     total = times.select("rule_id", "impl", (F.col("support_ms") + F.col("confidence_ms")).alias("ms"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -20,45 +20,38 @@ def parse(lines: DataFrame, skip_malformed: bool = False) -> DataFrame:
     return rows.select(*(F.get("c", F.lit(i)).alias(n) for i, n in enumerate(("subject", "predicate", "object"))))
 
 
-def turtle_lines(edges: DataFrame) -> DataFrame:
+def turtle_lines(edges: DataFrame, naming: text.Naming = text.NAMING) -> DataFrame:
     """(value): a Turtle statement for each edge."""
-    return edges.select(F.concat_ws(" ", text.entity(F.col("subject")), text.predicate(F.col("predicate")), text.entity(F.col("object")), F.lit(".")).alias("value"))
+    return edges.select(F.concat_ws(" ", text.entity(F.col("subject"), naming), text.predicate(F.col("predicate"), naming), text.entity(F.col("object"), naming), F.lit(".")).alias("value"))
 
 
-def prefix_lines() -> list[str]:
-    return [f"@prefix {k}: <{v}> ." for k, v in text.BASES.items()]
+def prefix_lines(naming: text.Naming = text.NAMING) -> list[str]:
+    return [f"@prefix {k.prefix}: <{k.base}> ." for k in naming.kinds]
 
 
-def write_turtle(edges: DataFrame, path: str) -> None:
+def write_turtle(edges: DataFrame, path: str, naming: text.Naming = text.NAMING) -> None:
     """Text files, each with the prefixes at its beginning so that it can be read alone."""
     from collections.abc import Iterator
 
     import pandas as pd
 
-    head = prefix_lines()
+    head = prefix_lines(naming)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"value": head})
         yield from batches
 
-    turtle_lines(edges).mapInPandas(run, "value string").write.mode("error").text(path)
+    turtle_lines(edges, naming).mapInPandas(run, "value string").write.mode("error").text(path)
 
 
-def _full(short: Column) -> Column:
-    """A term's full form, from its Turtle form."""
-    out = F.regexp_replace(short, "^<|>$", "")
-    for k, base in text.BASES.items():
-        out = F.when(short.startswith(f"{k}:"), F.concat(F.lit(base), F.substring(short, F.lit(len(k) + 2), F.length(short)))).otherwise(out)
-    return out
-
-
-def triples(edges: DataFrame) -> DataFrame:
+def triples(edges: DataFrame, naming: text.Naming = text.NAMING) -> DataFrame:
     """(s, p, o) in full terms."""
-    return edges.select(_full(text.entity(F.col("subject"))).alias("s"), _full(text.predicate(F.col("predicate"))).alias("p"), _full(text.entity(F.col("object"))).alias("o"))
+    s, p, o = text.entity(F.col("subject"), naming), text.predicate(F.col("predicate"), naming), text.entity(F.col("object"), naming)
+    return edges.select(*(text.full(c, naming).alias(n) for c, n in ((s, "s"), (p, "p"), (o, "o"))))
 
 
-def read(spark: SparkSession, path: str, skip_malformed: bool = False) -> DataFrame:
-    return triples(parse(spark.read.text(path), skip_malformed))
+def read(spark: SparkSession, path: str, skip_malformed: bool = False, naming: text.Naming = text.NAMING) -> DataFrame:
+    return triples(parse(spark.read.text(path), skip_malformed), naming)
 
 
 def first(spark: SparkSession, path: str, n: int = 100_000) -> DataFrame:
