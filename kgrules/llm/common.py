@@ -59,7 +59,8 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        # hashes, keys and texts: dictionaries of their values would be built in vain
+        df.write.option("parquet.enable.dictionary", "false").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         # the shuffle files of a finished step are only freed once the driver collects its garbage
