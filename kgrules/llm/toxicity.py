@@ -8,7 +8,7 @@ Fitting uses a bounded sample of labelled rows of the learning folds (``MOST`` o
    of its terms occurs. Patterns vote too: several hits, dense hits, look-alike signs, no hit at all (clean).
    The annotator's label is one more voter.
 3. The label model has a latent label and, given it, each voter's rate of each vote, the annotator's too. Expectation
-   maximisation estimates the rates, starting from the annotator's labels at a trust of 0.9; from the posterior the
+   maximisation estimates the rates, starting from the annotator's labels at a trust of 0.98; from the posterior the
    correlations that remain between voters given the label are estimated, and each voter's evidence is divided by the
    sum of its correlations, so voters that repeat each other count once.
 4. A logistic regression on the terms and votes of the lexicons of the whole sample is fitted to the posterior labels.
@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, remainder, text_or_empty
+from .common import Scratch, remainder, slices, text_or_empty
 
 MOST, TERMS, LEXICONS, PREFIXES = 6000, 2000, 8, (4, 5)
 COUNTS = ("a0", "b0", "a1", "b1")
-#: Runs whose terms a scorer remembers.
-KNOWN = 1 << 17
+#: Runs whose terms a scorer remembers, and terms that a partition counts before it passes them on.
+KNOWN = 1 << 16
 WORD = re.compile(r"\w+")
 # Words with the look-alike signs in and beside them; no match of WORD or SIGNS goes beyond one.
 RUN, SIGN = re.compile(r"[\w@$!|]+"), re.compile(r"[@$!|\d]")
@@ -111,10 +111,11 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def label_model(votes: np.ndarray, gold: np.ndarray, trust: float = 0.9, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, gold: np.ndarray, trust: float = 0.98, weight: float = 0.1, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(posterior of the label 1 for each row, accuracy of each voter where it votes, correlations given the label).
 
-    The annotator, whose labels are ``gold``, is the last voter; ``trust`` is what its accuracy starts from.
+    The annotator, whose labels are ``gold``, is the last voter. ``trust`` is what its accuracy starts from, and counts in the
+    estimate like ``weight`` times the rows. It reads texts by itself, so its evidence isn't divided.
     """
     votes = np.column_stack([votes, np.where(gold == 1, 1, -1)])
     n, m = votes.shape
@@ -124,6 +125,8 @@ def label_model(votes: np.ndarray, gold: np.ndarray, trust: float = 0.9, rounds:
     for _ in range(rounds):
         for y, w in enumerate((1 - post, post)):
             rates[y] = (np.einsum("n,knm->km", w, kinds) + 0.5) / (w.sum() + 1.5)
+            more = weight * w.sum() * np.array([1 - trust, 0, trust] if y else [trust, 0, 1 - trust])
+            rates[y, :, -1] = (w @ kinds[:, :, -1].T + 0.5 + more) / (w.sum() + 1.5 + more.sum())
         prior = np.clip(post.mean(), 1e-4, 1 - 1e-4)
         evidence = np.einsum("knm,km->nm", kinds, np.log(rates[1]) - np.log(rates[0]))
         # correlations that remain given the label
@@ -132,7 +135,8 @@ def label_model(votes: np.ndarray, gold: np.ndarray, trust: float = 0.9, rounds:
         cov = rest.T @ rest / n + 1e-9 * np.eye(m)
         d = np.sqrt(np.diag(cov))
         corr = cov / np.outer(d, d)
-        z = np.log(prior / (1 - prior)) + evidence @ (1 / np.clip(np.abs(corr), 0, 1).sum(axis=1))
+        share = np.append(1 / np.clip(np.abs(corr[:-1, :-1]), 0, 1).sum(axis=1), 1)
+        z = np.log(prior / (1 - prior)) + evidence @ share
         post = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     right = (kinds[2] * post[:, None] + kinds[0] * (1 - post[:, None])).sum(0) / np.maximum(kinds[2].sum(0) + kinds[0].sum(0), 1)
     return post, right, corr
@@ -156,12 +160,21 @@ def logistic(rows: list[np.ndarray], width: int, y: np.ndarray, l2: float = 1e-4
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, toxic and clean documents of each half)."""
-    for x in batches:
-        seen = [Counter() for _ in range(4)]
+    seen = [Counter() for _ in range(4)]
+
+    def flush() -> pa.RecordBatch:
+        names = list(dict.fromkeys(w for c in seen for w in c))
+        out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[w] for w in names], pa.int64()) for c in seen)], ["term", *COUNTS])
+        for c in seen:
+            c.clear()
+        return out
+
+    for x in slices(batches):
         for t, y, half in zip(x.column("text").to_pylist(), x.column("toxic").to_pylist(), x.column("half").to_pylist(), strict=True):
             seen[2 * half + (not y)].update(terms(t))
-        names = list(dict.fromkeys(w for c in seen for w in c))
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[w] for w in names], pa.int64()) for c in seen)], ["term", *COUNTS])
+        if sum(map(len, seen)) > KNOWN:
+            yield flush()
+    yield flush()
 
 
 def lexicon(names: list[str]) -> Model:
@@ -205,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full, *halves = shared.value
-        for x in batches:
+        for x in slices(batches):
             rows: list[tuple] = []
             for t, half in zip(x.column("text").to_pylist(), x.column("half").to_pylist(), strict=True):
                 hits, signed = full.hits(t)
@@ -213,6 +226,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
             columns = list(zip(*rows, strict=True)) or [(), (), ()]
             kinds = (pa.list_(pa.int32()), pa.list_(pa.int8()), pa.list_(pa.int8()))
             yield pa.RecordBatch.from_arrays([x.column("doc_id"), x.column("toxic"), x.column("half"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "toxic", "half", "hits", "votes", "crossed"])
+        for m in shared.value:
+            m.known.clear()
 
     rows = sample.select("doc_id", "toxic", "half", "text").mapInArrow(voted, "doc_id long, toxic int, half int, hits array<int>, votes array<tinyint>, crossed array<tinyint>").collect()
     if not rows:
@@ -241,7 +256,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
+        for x in slices(batches):
             s = np.array([shared.value.score(t) for t in x.column("text").to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays([x.column("doc_id"), x.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -256,7 +271,7 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shared, k = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
+        for x in slices(batches):
             yield x.filter(pa.array([shared.value.score(t or "") < 0.5 for t in x.column(k).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
