@@ -233,6 +233,18 @@ def test_media_inverse_transform():
     assert np.abs(media.inverse(coef, np.ones(64, np.int32)) - want).max() <= 1
 
 
+def test_media_tensors_are_stored(spark, edge, tmp_path):
+    """The stored tensors are the files' pixels at full size, and stand a round trip through Parquet."""
+    media.store(edge.where("length(text) < 1000")).write.parquet(str(tmp_path / "m"))
+    rows = spark.read.parquet(str(tmp_path / "m")).collect()
+    assert len(rows) == sum(len(t) < 1000 for _, t, *_ in EDGE if t is not None)
+    for r in rows:
+        ((coef, tensor, comment),) = media.decode([bytes(r.media)])
+        assert (r.height, r.width, 3) == tensor.shape and bytes(r.rgb) == tensor.tobytes()
+        text = next(t for i, t, *_ in EDGE if i == r.doc_id).encode()
+        assert media.payload(coef, tensor, comment).startswith(text)
+
+
 def test_bpe(edge):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -447,6 +459,25 @@ def test_toxicity(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
 
 
+def test_toxicity_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    marks = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    one, many = (toxicity.fit(docs.repartition(n, "doc_id"), marks) for n in (1, 40))
+    assert one.slot == many.slot and (one.voter == many.voter).all()
+    assert np.allclose(one.weights, many.weights, atol=1e-9)
+
+
+def test_label_model_finds_a_careless_annotator():
+    """Ten voters right in nine of ten cases outvote labels of which a tenth is wrong; the estimate says how many."""
+    rng = np.random.default_rng(2)
+    truth = rng.random(4000) < 0.3
+    votes = np.where(rng.random((4000, 10)) < 0.9, truth[:, None], ~truth[:, None]) * 2 - 1
+    gold = np.where(rng.random(4000) < 0.9, truth, ~truth).astype(int)
+    post, right, _ = toxicity.label_model(votes.astype(np.int8), gold)
+    assert ((post >= 0.5) == truth).mean() > 0.99 > (gold == truth).mean() + 0.05
+    assert abs(right[-1] - 0.9) < 0.03 and np.abs(right[:-1] - 0.9).max() < 0.03
+
+
 def test_toxicity_edges(edge, labels):
     got = toxicity.score(edge, labels).collect()
     assert len(got) == len(EDGE) and all(0 <= r.score <= 1 for r in got)
@@ -470,3 +501,27 @@ def test_nearest_neighbours(spark, n):
         hit += len({r.vec_id for r in mine} & set(order))
         total += len(order)
     assert hit >= 0.9 * total
+
+
+def test_blocks_of_lists():
+    first, parts, blocks = ann.packed({0: 5, 1: ann.BLOCK, 2: 3 * ann.BLOCK + 1, 3: 7, 4: 8})
+    assert (first, parts, blocks) == ({0: 0, 1: 1, 2: 2, 3: 6, 4: 6}, {0: 1, 1: 1, 2: 4, 3: 1, 4: 1}, 7)
+    assert ann.packed({}) == ({}, {}, 0)
+
+
+def test_nearest_neighbours_of_clusters_by_few_lists(spark, monkeypatch):
+    """Clustered vectors in several blocks: a tenth of the lists finds nine of ten neighbours."""
+    monkeypatch.setattr(ann, "BLOCK", 1500)
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 16))
+    v = (centres[rng.integers(0, 40, 6000)] + 0.2 * rng.normal(size=(6000, 16))).astype(np.float32)
+    frame = spark.createDataFrame([(i, v[i].tolist(), 0) for i in range(6000)], "vec_id long, embedding array<float>, label int")
+    got = ann.search(frame, every=100, probes=15).collect()
+    x, hit = v.astype(np.float64), 0
+    for q in range(0, 6000, 100):
+        exact = x @ x[q]
+        order = [i for i in np.lexsort((np.arange(6000), -exact)) if i != q][:20]
+        mine = {r.vec_id for r in got if r.query_id == q}
+        assert len(mine) == 20
+        hit += len(mine & set(order))
+    assert hit >= 0.9 * 20 * 60
