@@ -30,9 +30,11 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK, WORDS, MOST_RANKS = 3_000_000, 400_000, 1_000_000
+from .common import slices
+
+CHUNK, WORDS, MOST_RANKS = 3_000_000, 300_000, 1_000_000
 #: Bytes of words that are contracted together, and rows that a query keeps at a time of words beyond the longest token.
-LETTERS, ROWS = 500_000, 4_000_000
+LETTERS, ROWS = 250_000, 1_000_000
 
 # Words longer than the longest token. They are cut into stretches of {span} bytes, no less than the longest token. A step takes
 # the least rank of each stretch; neighbours of equal rank are one run. Where the stretches beside a run have higher ranks
@@ -142,7 +144,7 @@ class Encoder:
 
         self.ranks, (merges, vocab, self.single) = ranks_of(data), merge_table(data)
         self.span = max(map(len, self.ranks))
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": folder})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": folder})
         for name, rows in (("merges", merges), ("vocab", vocab)):
             self.con.register("given", rows)
             self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
@@ -234,7 +236,7 @@ def code(docs: DataFrame, rank_file: str, pattern: str, digests: bool = False) -
         split, folder = regex.compile(pattern).findall, tempfile.mkdtemp()
         try:
             encoder = Encoder(shared.value, folder)
-            for x in batches:
+            for x in slices(batches):
                 texts = [t or "" for t in x.column("text").to_pylist()]
                 found, lo = {}, 0
                 while lo < len(texts):
