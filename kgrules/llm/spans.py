@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,12 +27,24 @@ def starts(gap: Column, match: Column) -> Column:
     Lengths are summed within runs of RUN matches and the runs' sums before them, so a text's cost grows with the square of a
     run's length, and of the runs' number, instead of with that of its matches.
     """
+    empty = F.array().cast("array<int>")
     own = F.zip_with(F.slice(gap, F.lit(1), F.size(match)), match, lambda g, m: F.struct(F.length(g).alias("g"), (F.length(g) + F.length(m)).alias("both")))
-    size = F.size(match)
-    runs = F.transform(F.sequence(F.lit(0), F.floor((size - 1) / RUN).cast("int")), lambda i: F.slice(own, i * RUN + 1, F.lit(RUN)))
-    summed = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x["both"])
-    grow = lambda acc, v: F.struct((acc["at"] + v).alias("at"), F.concat(acc["s"], F.array(acc["at"])).alias("s"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("s"))
-    before = F.aggregate(F.transform(runs, summed), zero, grow, lambda acc: acc["s"])
-    place = lambda base, xs: F.zip_with(F.aggregate(F.transform(xs, lambda x: x["both"]), F.struct(base.alias("at"), F.array().cast("array<int>").alias("s")), grow, lambda acc: acc["s"]), xs, lambda at, x: at + x["g"])
-    return F.when(size > 0, F.flatten(F.zip_with(before, runs, place))).otherwise(F.array().cast("array<int>"))
+
+    def cut(xs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / RUN).cast("int")), lambda i: F.slice(xs, i * RUN + 1, F.lit(RUN)))
+
+    def before(sizes: Column, start: Column) -> Column:
+        """The sum of all sizes before each."""
+        grow = lambda acc, v: F.struct((acc["at"] + v).alias("at"), F.concat(acc["s"], F.array(acc["at"])).alias("s"))
+        return F.aggregate(sizes, F.struct(start.alias("at"), empty.alias("s")), grow, lambda acc: acc["s"])
+
+    def placed(runs: Column) -> Column:
+        totals = F.transform(runs, lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x["both"]))
+        return F.flatten(F.zip_with(before(totals, F.lit(0)), runs, lambda base, xs: F.zip_with(before(F.transform(xs, lambda x: x["both"]), base), xs, lambda at, x: at + x["g"])))
+
+    return F.when(F.size(match) > 0, once(once(own, cut), placed)).otherwise(empty)
+
+
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of the value, which is computed once; an expression that stands in several places would be at each."""
+    return F.element_at(F.transform(F.array(value), then), 1)
