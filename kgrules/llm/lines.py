@@ -109,7 +109,7 @@ def cuts(docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(doc_id, cut array<struct<line_no, own>>): each document's lines whose component has others; ``own`` is the component where
     it begins in this document, whose first line of it stays."""
     occ = scratch.keep(occurrences(docs, Circulant(BANDS, ROWS, PLACES)))
-    firsts = occ.where("bands is not null")
+    firsts = occ.where("n > 0")  # those with bands, without reading these
 
     def texts(ids: DataFrame) -> DataFrame:
         at = firsts.join(ids.hint("shuffle_hash"), "id", "left_semi").select("id", "doc_id", "line_no").dropDuplicates(["id"])

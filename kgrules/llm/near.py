@@ -9,8 +9,9 @@ Links are found in rounds that never list all pairs of a bucket:
 1. every member is verified against the smallest leader of its buckets (a bucket's leader is its smallest id), and then
    against those other leaders of its buckets from which it is still apart;
 2. for the pairs left over - members of one bucket, no leader, different components so far - members that buckets
-   connect make a family, and families are compared in blocks, as matrices; only links come out. Buckets whose members
-   all fell into one component, as large groups of copies do, leave nobody.
+   connect make a family, and families are compared as matrices; only links come out. Buckets whose members all fell
+   into one component, as large groups of copies do, leave nobody. Chains of buckets join ever more members as the
+   corpus grows, so a family beyond one block is compared bucket by bucket, and a bucket beyond one in blocks.
 
 A pair of one bucket is thus compared on full sets or already connected.
 """
@@ -34,6 +35,8 @@ MIX, ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 CHUNK, HELD, RANGE = 1 << 19, 1 << 20, 1 << 18
 #: Members of a block in the comparison of what the stars leave.
 BLOCK = 512
+#: Members, of several small families, that are compared in one call.
+GROUP = 256
 #: Edges that one task joins.
 FEW = 1 << 17
 
@@ -371,58 +374,87 @@ def link(nodes: DataFrame, bands: int, texts: Callable[[DataFrame], DataFrame],
     # what the stars leave: members of one bucket, no leader, not connected yet
     member = star.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     mixed = member.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
-    member, n = scratch.counted(member.join(mixed, "key", "left_semi").select("id", "n", "comp", "lead").distinct())
+    member, n = scratch.counted(member.join(mixed, "key", "left_semi").select("key", "id", "comp", "lead").distinct())
     if not n:
         return comp
     family = components(member.select(F.col("lead").alias("a"), F.col("id").alias("b")), scratch)
-    member = member.select("id", "comp").distinct().join(family.select("id", F.col("comp").alias("family")), "id")
-    more, n = scratch.counted(blocked(member, got, shingler, percent, scratch))
+    more, n = scratch.counted(blocked(grouped(member, family, scratch), got, shingler, percent, scratch))
     return components(good(checked).unionAll(more), scratch) if n else comp
 
 
+def grouped(member: DataFrame, family: DataFrame, scratch: Scratch, most: int = BLOCK) -> DataFrame:
+    """(id, comp, family): who is to be compared. Families of at most ``most`` members stay as they are; in place of a larger
+    one come its buckets, of those with the same members one.
+
+    ``member``: (key, id, comp) of buckets, rows differ; ``family``: (id, comp: the family).
+    """
+    member = scratch.keep(member.join(family.select("id", F.col("comp").alias("family")), "id").select("key", "id", "comp", "family"))
+    wide = member.select("family", "id").distinct().groupBy("family").agg(F.count("*").alias("k")).where(F.col("k") > most).select("family")
+    wide = scratch.keep(wide)
+    whole = member.join(wide, "family", "left_anti").select("id", "comp", "family").distinct()
+    rest = member.join(wide, "family", "left_semi")
+    same = (F.count("*").alias("k"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    one = rest.groupBy("key").agg(*same).groupBy("k", "x", "y").agg(F.min("key").alias("key")).select("key")
+    return whole.unionAll(rest.join(one, "key", "left_semi").select("id", "comp", F.col("key").alias("family")))
+
+
 def blocked(members: DataFrame, texts: DataFrame, shingler: Shingler, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b): links between members (id, comp, family) of one family and different components.
 
     A family is dealt into blocks of about BLOCK members, large components into blocks of their own, and pairs of blocks are
     compared as matrices of members by shared shingles; only links come out. Blocks of one large component meet no
-    other of it. A family within one block, as nearly all are, is one group.
+    other of it. A family within one block, as nearly all are, is one pair; a group of Spark's holds several of these.
     """
     sizes = members.groupBy("family", "comp").agg(F.count("*").alias("k")).withColumn("big", F.when(F.col("k") >= BLOCK, F.col("comp")))
     parts = sizes.groupBy("family", "big").agg(F.ceil(F.sum("k") / BLOCK).cast("int").alias("parts"))
     dealt = members.join(sizes.select("family", "comp", "big"), ["family", "comp"]).join(parts.withColumnRenamed("big", "of"), "family").where(F.col("big").eqNullSafe(F.col("of")))
-    dealt = scratch.keep(dealt.select("id", "comp", "family", "big", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")))
+    dealt, n = scratch.counted(dealt.select("id", "comp", "family", "big", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")))
     blocks = dealt.select("family", "big", "part").distinct()
     x, y = (blocks.select("family", F.col("big").alias(f"big{i}"), F.col("part").alias(f"part{i}")) for i in (0, 1))
     order = lambda i: F.struct(F.coalesce(f"big{i}", F.lit(-(1 << 63))).alias("b"), F.col(f"part{i}").alias("p"))
     pairs = x.join(y, "family").where((order(0) <= order(1)) & (F.col("big0").isNull() | ~F.col("big0").eqNullSafe(F.col("big1"))))
-    pairs = scratch.keep(pairs.withColumn("pair", F.monotonically_increasing_id()))
+    two = ~(F.col("big0").eqNullSafe(F.col("big1")) & (F.col("part0") == F.col("part1")))
+    pairs, crossed = scratch.counted(pairs.withColumn("pair", F.monotonically_increasing_id()).withColumn("two", two), "two")
     sides = []
     for i in (0, 1):
-        p = pairs if i == 0 else pairs.where(~(F.col("big0").eqNullSafe(F.col("big1")) & (F.col("part0") == F.col("part1"))))
+        p = pairs if i == 0 else pairs.where("two")
         p = p.select("family", F.col(f"big{i}").alias("of"), F.col(f"part{i}").alias("part"), "pair")
         sides.append(dealt.join(p, ["family", "part"]).where(F.col("big").eqNullSafe(F.col("of"))).select("pair", F.lit(i).alias("side"), "id", "comp"))
     rows = sides[0].unionAll(sides[1]).join(texts.select("id", "text").hint("merge"), "id")
+    groups = max(1, (n + 2 * BLOCK * crossed) // GROUP)
 
     def links(t: pa.Table) -> pa.Table:
-        ids, comps, side = (t.column(c).to_numpy() for c in ("id", "comp", "side"))
-        sets = [shingler(x) for x in t.column("text").to_pylist()]
-        n = np.array([len(s) for s in sets])
-        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
-        token, column, seen = np.unique(flat, return_inverse=True, return_counts=True)
-        shared = seen[column] > 1
-        row, column = row[shared], (np.cumsum(seen > 1) - 1)[column[shared]]
-        left = np.flatnonzero(side == 0)
-        right = np.flatnonzero(side == 1) if side.any() else left
-        inter = np.zeros((len(left), len(right)), np.float32)
-        by = np.argsort(column, kind="stable")
-        row, column = row[by], column[by]
-        for lo in range(0, int((seen > 1).sum()), 8192):
-            at = slice(*np.searchsorted(column, (lo, lo + 8192)))
-            dense = np.zeros((len(sets), 8192), np.float32)
-            dense[row[at], column[at] - lo] = 1
-            inter += dense[left] @ dense[right].T
-        uni = n[left][:, None] + n[right][None, :] - inter
-        i, j = np.nonzero((100 * inter >= percent * uni) & (comps[left][:, None] != comps[right][None, :]))
-        return pa.table({"a": pa.array(ids[left[i]], pa.int64()), "b": pa.array(ids[right[j]], pa.int64())})
-
-    return rows.groupBy("pair").applyInArrow(links, "a long, b long")
+        t = t.sort_by("pair")
+        pair, ids, comps, side = (t.column(c).to_numpy() for c in ("pair", "id", "comp", "side"))
+        cut = [0, *(np.flatnonzero(pair[1:] != pair[:-1]) + 1).tolist(), len(pair)]
+        found = [np.empty((2, 0), np.int64)]
+        for lo, hi in zip(cut, cut[1:], strict=False):
+            sets = [shingler(x) for x in t.column("text").slice(lo, hi - lo).to_pylist()]
+            found.append(ids[lo:hi][_linked(sets, comps[lo:hi], side[lo:hi], percent)])
+        a, b = np.concatenate(found, axis=1)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy(F.pmod(F.xxhash64("pair"), F.lit(groups)).alias("of")).applyInArrow(links, "a long, b long")
+
+
+def _linked(sets: list[np.ndarray], comps: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
+    """Positions of the linked members of side 0 (first row) and of side 1, or of side 0 again where there is no side 1."""
+    n = np.array([len(s) for s in sets])
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    _, column, seen = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = seen[column] > 1
+    row, column = row[shared], (np.cumsum(seen > 1) - 1)[column[shared]]
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if side.any() else left
+    inter = np.zeros((len(left), len(right)), np.float32)
+    by = np.argsort(column, kind="stable")
+    row, column = row[by], column[by]
+    tokens = int((seen > 1).sum())
+    for lo in range(0, tokens, 8192):
+        at = slice(*np.searchsorted(column, (lo, lo + 8192)))
+        dense = np.zeros((len(sets), min(8192, tokens - lo)), np.float32)
+        dense[row[at], column[at] - lo] = 1
+        inter += dense[left] @ dense[right].T
+    uni = n[left][:, None] + n[right][None, :] - inter
+    i, j = np.nonzero((100 * inter >= percent * uni) & (comps[left][:, None] != comps[right][None, :]))
+    return np.stack([left[i], right[j]])

@@ -110,6 +110,30 @@ def test_minhash_family_without_a_hub(spark):
     assert got == brute_components(sets([(r[0], r[1]) for r in rows], 2))
 
 
+def test_chains_of_buckets_are_compared_bucket_by_bucket(spark, monkeypatch):
+    # bucket j holds 2j, 2j + 1 and 2j + 2, so all buckets hang together; no two texts but 101's and 102's are alike
+    from kgrules.llm.common import Scratch
+
+    def text(i):
+        return " ".join(f"w{101 if i == 102 else i}_{k}" for k in range(40)) + (" more" if i == 102 else "")
+
+    last = 600
+    keys = {i: (i // 2 if i % 2 else i // 2 - 1, -i - 10 if i % 2 or i == last else i // 2) for i in range(last + 1)}
+    nodes = spark.createDataFrame([(i, 39, np.array(k, np.int64).tobytes()) for i, k in keys.items()], "id long, n long, bands binary")
+    texts = spark.createDataFrame([(i, text(i)) for i in keys], "id long, text string")
+    seen, compared = [], near.blocked
+
+    def blocked(members, *rest):
+        seen.append((members.count(), members.groupBy("family").count().agg({"count": "max"}).first()[0]))
+        return compared(members, *rest)
+
+    monkeypatch.setattr(near, "blocked", blocked)
+    comp = near.link(nodes, 2, lambda ids: texts.join(ids, "id"), lambda t: near.word_shingles(t, 2), 80, Scratch(spark, "t"))
+    assert sorted((r.id, r.comp) for r in comp.collect()) == [(101, 101), (102, 101)]
+    assert seen == [(600, 2)]
+
+
+
 def test_components_of_a_path(spark):
     from kgrules.llm.common import Scratch
 
