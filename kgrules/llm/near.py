@@ -113,7 +113,7 @@ class Circulant:
         self.bands, self.rows, self.places, self.seed = bands, rows, places, seed
 
     @property
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def tables(self) -> tuple[np.ndarray | None, np.ndarray, np.ndarray]:
         return _tables(self.places, self.bands * self.rows, self.seed)
 
     def keys(self, sets: list[np.ndarray]) -> np.ndarray:
@@ -129,16 +129,18 @@ class Circulant:
         sigma, windows, odd = self.tables
         k = self.bands * self.rows
         sig = np.zeros((len(size), k), windows.dtype)
-        at = sigma.take(((flat >> np.uint64(7)) & np.uint64(self.places - 1)).view(np.int64))
+        at = ((flat >> np.uint64(7)) & np.uint64(self.places - 1)).view(np.int64)
+        if sigma is not None:
+            at = sigma.take(at)
         short, begin = size.astype(np.int32) - 1, start.astype(np.int32)
         order = np.argsort(size, kind="stable")
         order = order[np.searchsorted(size[order], 1) :]
-        most, lo = max(1, CHUNK // (k * windows.itemsize)), 0
+        most, lo, sizes = max(1, CHUNK // (k * windows.itemsize)), 0, size[order].tolist()
         while lo < len(order):
             hi = lo + 1
-            while hi < len(order) and (hi + 1 - lo) * size[order[hi]] <= most:
+            while hi < len(order) and (hi + 1 - lo) * sizes[hi] <= most:
                 hi += 1
-            own, longest = order[lo:hi], int(size[order[hi - 1]])
+            own, longest = order[lo:hi], sizes[hi - 1]
             low = None
             for first in range(0, longest, most):
                 place = np.minimum(np.arange(first, min(first + most, longest), dtype=np.int32)[:, None], short[own]) + begin[own]
@@ -153,13 +155,13 @@ class Circulant:
 
 
 @lru_cache(2)
-def _tables(places: int, k: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tables(places: int, k: int, seed: int) -> tuple[np.ndarray | None, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
     kind = np.uint16 if places <= 1 << 16 else np.uint32
     sigma, pi = rng.permutation(places), rng.permutation(places).astype(kind)
     windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([pi, pi[: k - 1]]), k)
-    if places <= 1 << 16:  # small enough to hold; rows of neighbours are gathered faster from a copy
-        windows = np.ascontiguousarray(windows)
+    if places <= 1 << 16:  # small enough to hold; rows are gathered faster from a copy, in the order of sigma's arguments
+        sigma, windows = None, windows[sigma]
     return sigma, windows, rng.integers(0, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 

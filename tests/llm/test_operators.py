@@ -110,6 +110,22 @@ def test_minhash_family_without_a_hub(spark):
     assert got == brute_components(sets([(r[0], r[1]) for r in rows], 2))
 
 
+def test_keys_of_few_places_against_the_definition():
+    bands, rows, places = 3, 4, 1 << 10
+    circulant = near.Circulant(bands, rows, places)
+    rng = np.random.default_rng(circulant.seed)
+    sigma, pi = rng.permutation(places), rng.permutation(places)
+    lookup, windows, odd = circulant.tables
+    assert lookup is None and windows.flags.c_contiguous  # one gather per shingle
+    sets = [near.char_shingles(t, 8) for t in ("a line of some length", "another one, longer than the first", "x")]
+    want = []
+    for s in sets:
+        at = sigma[((s >> np.uint64(7)) & np.uint64(places - 1)).astype(np.int64)]
+        low = np.array([min(pi[(at + k) % places]) for k in range(bands * rows)], np.uint64).reshape(bands, rows)
+        want.append(near.mix64((low * odd[:rows]).sum(axis=1, dtype=np.uint64) + np.arange(1, bands + 1, dtype=np.uint64) * near.MIX).view(np.int64))
+    assert (circulant.keys(sets) == np.array(want)).all()
+
+
 def test_chains_of_buckets_are_compared_bucket_by_bucket(spark, monkeypatch):
     # bucket j holds 2j, 2j + 1 and 2j + 2, so all buckets hang together; no two texts but 101's and 102's are alike
     from kgrules.llm.common import Scratch
