@@ -9,9 +9,10 @@ Links are found in rounds that never list all pairs of a bucket:
 1. every member is verified against the smallest leader of its buckets (a bucket's leader is its smallest id), and then
    against those other leaders of its buckets from which it is still apart;
 2. for the pairs left over - members of one bucket, no leader, different components so far - members that buckets
-   connect make a family, and families are compared as matrices; only links come out. Buckets whose members all fell
-   into one component, as large groups of copies do, leave nobody. Chains of buckets join ever more members as the
-   corpus grows, so a family beyond one block is compared bucket by bucket, and a bucket beyond one in blocks.
+   connect make a family, and families are compared as matrices; of the links a spanning forest comes out. Buckets
+   whose members all fell into one component, as large groups of copies do, leave nobody. Chains of buckets join ever
+   more members as the corpus grows, so a family beyond one block is compared bucket by bucket, and a bucket beyond one
+   in blocks.
 
 A pair of one bucket is thus compared on full sets or already connected.
 """
@@ -401,10 +402,11 @@ def grouped(member: DataFrame, family: DataFrame, scratch: Scratch, most: int =
 
 
 def blocked(members: DataFrame, texts: DataFrame, shingler: Shingler, percent: int, scratch: Scratch) -> DataFrame:
-    """(a, b): links between members (id, comp, family) of one family and different components.
+    """(a, b): links between members (id, comp, family) of one family and different components, that connect what all such
+    links connect; a comparison of n members gives fewer than n of them.
 
     A family is dealt into blocks of about BLOCK members, large components into blocks of their own, and pairs of blocks are
-    compared as matrices of members by shared shingles; only links come out. Blocks of one large component meet no
+    compared as matrices of members by shared shingles. Blocks of one large component meet no
     other of it. A family within one block, as nearly all are, is one pair; a group of Spark's holds several of these.
     """
     sizes = members.groupBy("family", "comp").agg(F.count("*").alias("k")).withColumn("big", F.when(F.col("k") >= BLOCK, F.col("comp")))
@@ -440,7 +442,8 @@ def blocked(members: DataFrame, texts: DataFrame, shingler: Shingler, percent: i
 
 
 def _linked(sets: list[np.ndarray], comps: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
-    """Positions of the linked members of side 0 (first row) and of side 1, or of side 0 again where there is no side 1."""
+    """Positions of the linked members of side 0 (first row) and of side 1, or of side 0 again where there is no side 1:
+    of all links as many as connect the components that they connect."""
     n = np.array([len(s) for s in sets])
     flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
     _, column, seen = np.unique(flat, return_inverse=True, return_counts=True)
@@ -459,4 +462,29 @@ def _linked(sets: list[np.ndarray], comps: np.ndarray, side: np.ndarray, percent
         inter += dense[left] @ dense[right].T
     uni = n[left][:, None] + n[right][None, :] - inter
     i, j = np.nonzero((100 * inter >= percent * uni) & (comps[left][:, None] != comps[right][None, :]))
-    return np.stack([left[i], right[j]])
+    i, j = left[i], right[j]
+    if len(i) > 1:
+        of = np.unique(comps, return_inverse=True)[1]
+        one = _forest(of[i], of[j])
+        i, j = i[one], j[one]
+    return np.stack([i, j])
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Positions of links, fewer than what they join, that reach all that the links a - b reach. ``a``, ``b``: small numbers that differ.
+
+    Each round hooks every root with a smaller neighbour to its smallest one.
+    """
+    root, at, out = np.arange(max(a.max(), b.max()) + 1), np.arange(len(a)), []
+    while True:
+        x, y = root[a[at]], root[b[at]]
+        apart = x != y
+        if not apart.any():
+            return np.sort(np.concatenate(out))
+        at, low, high = at[apart], np.minimum(x, y)[apart], np.maximum(x, y)[apart]
+        by = np.lexsort((low, high))
+        by = by[np.append(True, high[by][1:] != high[by][:-1])]
+        out.append(at[by])
+        root[high[by]] = low[by]
+        while (root != (up := root[root])).any():
+            root = up

@@ -150,6 +150,29 @@ def test_chains_of_buckets_are_compared_bucket_by_bucket(spark, monkeypatch):
 
 
 
+@pytest.mark.parametrize("sides", [1, 2])
+def test_links_of_a_comparison_are_a_forest(sides):
+    # sets that are windows of 0, 1, 2, ...: neighbours are alike, and so are all members of the dense half
+    rng = np.random.default_rng(5)
+    at = np.concatenate([rng.integers(0, 900, 150), rng.integers(2000, 2004, 150)])
+    found = [np.arange(i, i + 40).astype(np.uint64) for i in at]
+    comps, side = rng.integers(0, 250, len(at)), rng.integers(0, sides, len(at))
+    a, b = near._linked(found, comps, side, 80)
+    pairs = [(i, j) for i in range(len(at)) for j in range(len(at)) if (side[i], side[j]) == (0, sides - 1) and comps[i] != comps[j]]
+    alike = {(i, j) for i, j in pairs if 100 * len({*found[i]} & {*found[j]}) >= 80 * len({*found[i]} | {*found[j]})}
+
+    def reach(links):
+        root = {c: c for c in comps.tolist()}
+        for i, j in links:
+            x, y = root[comps[i]], root[comps[j]]
+            root = {c: min(x, y) if r in (x, y) else r for c, r in root.items()}
+        return root
+
+    assert {*zip(a.tolist(), b.tolist(), strict=True)} <= alike
+    assert reach(zip(a, b, strict=True)) == reach(alike)
+    assert len(a) == len({*comps.tolist()}) - len({*reach(alike).values()}) < len(alike) / 10
+
+
 def test_components_of_a_path(spark):
     from kgrules.llm.common import Scratch
 
