@@ -398,7 +398,8 @@ def grouped(member: DataFrame, family: DataFrame, scratch: Scratch, most: int =
     rest = member.join(wide, "family", "left_semi")
     same = (F.count("*").alias("k"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
     one = rest.groupBy("key").agg(*same).groupBy("k", "x", "y").agg(F.min("key").alias("key")).select("key")
-    return whole.unionAll(rest.join(one, "key", "left_semi").select("id", "comp", F.col("key").alias("family")))
+    # written once: the comparison reads it three times
+    return scratch.keep(whole.unionAll(rest.join(one, "key", "left_semi").select("id", "comp", F.col("key").alias("family"))))
 
 
 def blocked(members: DataFrame, texts: DataFrame, shingler: Shingler, percent: int, scratch: Scratch) -> DataFrame:

@@ -150,6 +150,20 @@ def test_chains_of_buckets_are_compared_bucket_by_bucket(spark, monkeypatch):
 
 
 
+def test_members_to_compare_are_found_once_and_in_proportion(spark):
+    # every member is in 3 of 7 buckets, with all others of these
+    from kgrules.llm.common import Scratch
+
+    rows = {}
+    for n in (600, 1200):
+        member = spark.createDataFrame([((i + k) % 7, i, i) for i in range(n) for k in range(3)], "key long, id long, comp long")
+        family = spark.createDataFrame([(i, 0) for i in range(n)], "id long, comp long")
+        out = near.grouped(member, family, Scratch(spark, "t"))
+        assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+        rows[n] = out.count()
+    assert rows == {600: 3 * 600, 1200: 3 * 1200}
+
+
 @pytest.mark.parametrize("sides", [1, 2])
 def test_links_of_a_comparison_are_a_forest(sides):
     # sets that are windows of 0, 1, 2, ...: neighbours are alike, and so are all members of the dense half
