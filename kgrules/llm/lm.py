@@ -186,7 +186,8 @@ def log_probs(s: Shared, h: np.ndarray, at: np.ndarray, leaf: np.ndarray) -> np.
     out = np.zeros(len(at))
     for on, rows, node, child in s.levels(h, at, leaf):
         z = s.logits(rows, node)
-        out[on] += z[np.arange(len(on)), child] - np.log(np.exp(z).sum(axis=1))
+        own = z[np.arange(len(on)), child]
+        out[on] += own - np.log(np.exp(z, out=z).sum(axis=1))
     return out
 
 
@@ -239,6 +240,25 @@ def counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(_count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+def _add(table: np.ndarray, rows: np.ndarray, values: np.ndarray, few: int = 16) -> None:
+    """Adds values[i] to table[rows[i]]; rows may repeat. The k-th values of all rows are added at a time, what a row has beyond
+    ``few`` as a block, as ``reduceat`` over rows of few columns is slow."""
+    by = np.argsort(rows.astype(np.uint16) if len(table) <= 1 << 16 else rows, kind="stable")  # 16 bits sort fastest
+    own = rows[by]
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1])[: len(own)])
+    size = np.diff(np.append(first, len(own)))
+    order = np.argsort(-size, kind="stable")  # those with a k-th value come first
+    first, size = first[order], size[order]
+    own, more = own[first], [int(np.searchsorted(-size, -k, side="left")) for k in range(few + 1)]
+    sums = values.take(by[first], axis=0)
+    for k in range(1, few):
+        sums[: more[k]] += values.take(by[first[: more[k]] + k], axis=0)
+    for i in range(more[few]):
+        sums[i] += values.take(by[first[i] + few : first[i] + size[i]], axis=0).sum(axis=0)
+    sums += table.take(own, axis=0)
+    table[own] = sums
+
+
 REPORTED = "block int, rows binary, n binary, o binary, e binary"
 
 
@@ -271,11 +291,7 @@ def _sums(shared, expect: bool):
                             np.exp(p, out=p)
                             p /= p.sum(axis=1, keepdims=True)
                             for j in range(TEMPLATES):
-                                own = rows[:, j] - j * s.tree.rows
-                                by = np.argsort(own.astype(np.uint16) if s.tree.rows <= 1 << 16 else own, kind="stable")  # 16 bits sort fastest
-                                own = rows[by, j]
-                                first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                                e[own[first]] += np.add.reduceat(p[by], first, axis=0)
+                                _add(e[j * s.tree.rows : (j + 1) * s.tree.rows], rows[:, j] - j * s.tree.rows, p)
                         np.add.at(o.reshape(-1), (rows * WIDE + child[:, None]).ravel(), np.float32(1))
                 seen += len(every)
                 if seen >= REPORT:

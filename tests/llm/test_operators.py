@@ -267,6 +267,18 @@ def test_lm_tree_is_shallow_for_the_common():
     assert len({tuple(zip(p[:d], t[:d], strict=True)) for p, t, d in zip(tree.path.tolist(), tree.turn.tolist(), depth, strict=True)}) == len(weights)
 
 
+@pytest.mark.parametrize("places", [300, 1 << 17])
+def test_lm_adds_rows_that_repeat(places):
+    rng = np.random.default_rng(4)
+    often = rng.choice(places, 200, replace=False)
+    for rows in (rng.permutation(np.repeat(often, rng.integers(0, 60, 200))), often[:1].repeat(5000), often, often[:0]):
+        values, got = rng.random((len(rows), lm.WIDE), np.float32), np.ones((places, lm.WIDE), np.float32)
+        want = got.astype(np.float64)
+        np.add.at(want, rows, values)
+        lm._add(got, rows, values)
+        assert np.allclose(got, want, rtol=1e-5, atol=0) and (got[want == 1] == 1).all()
+
+
 def test_lm_sums_do_not_depend_on_partitions(spark):
     """The same model by one partition and by many; on held-out texts it is better than unigrams."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
