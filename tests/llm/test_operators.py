@@ -614,3 +614,29 @@ def test_nearest_neighbours_of_clusters_by_few_lists(spark, monkeypatch):
         assert len(mine) == 20
         hit += len(mine & set(order))
     assert hit >= 0.9 * 20 * 60
+
+
+@pytest.mark.parametrize("kind", ["narrow clusters", "lengths", "one long", "one side"])
+def test_nearest_neighbours_of_any_rows(spark, monkeypatch, kind):
+    """Every nearest vector is found among near copies, lengths of many sizes, beside one very long vector and on one side."""
+    monkeypatch.setattr(ann, "BLOCK", 1500)
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(4000, 16))
+    if kind == "narrow clusters":
+        v = rng.normal(size=(6, 16))[rng.integers(0, 6, 4000)] + 1e-3 * v
+    elif kind == "lengths":
+        v *= rng.lognormal(0, 3, size=(4000, 1))
+    elif kind == "one long":
+        v[7] *= 1e6
+    else:
+        v = v * 0.01 + 1
+    v = v.astype(np.float32)
+    frame = spark.createDataFrame([(i, v[i].tolist(), 0) for i in range(4000)], "vec_id long, embedding array<float>, label int")
+    got = {}
+    for r in ann.search(frame, every=80).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    x, hit = v.astype(np.float64), 0
+    for q in range(0, 4000, 80):
+        order = [i for i in np.lexsort((np.arange(4000), -(x @ x[q]))) if i != q][:20]
+        hit += len(set(got[q].values()) & set(order))
+    assert hit >= 0.999 * 20 * 50
