@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .measures import SCHEMA
 from .operators import index
-from .operators.store import kept
+from .operators.store import kept, kept_parts
 from .plans import planner
 from .rules import Rule, display, parse_json_rule, parse_line
 
@@ -21,9 +21,13 @@ from .rules import Rule, display, parse_json_rule, parse_line
 class KnowledgeGraph:
     """A set of (s, p, o) triples. A context manager; ``close`` frees what is kept in memory."""
 
-    def __init__(self, spark: SparkSession, triples: DataFrame, prefixes: Mapping[str, str] | None = None, persist: bool = False):
+    def __init__(self, spark: SparkSession, triples: DataFrame, prefixes: Mapping[str, str] | None = None, persist: bool = False, distinct: bool = False):
+        """``distinct``: the triples are distinct and without nulls already."""
         self.spark, self.prefixes = spark, dict(prefixes or {})
-        self.triples = triples.select("s", "p", "o").where("s is not null and p is not null and o is not null").dropDuplicates(["s", "p", "o"])
+        self.triples = triples.select("s", "p", "o")
+        if not distinct:
+            self.triples = self.triples.where("s is not null and p is not null and o is not null").dropDuplicates(["s", "p", "o"])
+        self._parts: dict[str, DataFrame] | None = None
         if persist:
             self.triples = self.triples.persist(StorageLevel.MEMORY_AND_DISK)
         self.persisted = persist
@@ -39,13 +43,21 @@ class KnowledgeGraph:
             return cls(spark, tsv.read(spark, path, **options), persist=persist)
         return cls(spark, turtle.read(spark, path), turtle.prefixes(spark, path), persist)
 
+    @classmethod
+    def of_parts(cls, spark: SparkSession, parts: Mapping[str, DataFrame]) -> KnowledgeGraph:
+        """From the distinct (s, o) of each predicate, without nulls."""
+        out = cls(spark, reduce(DataFrame.unionAll, [df.select("s", F.lit(p).alias("p"), "o") for p, df in parts.items()]), distinct=True)
+        out._parts = dict(parts)
+        return out
+
     def stored(self) -> KnowledgeGraph:
         """The same graph with its distinct triples written once to the shared folder, a folder for each predicate.
 
-        Every atom then reads only its predicates' files, and nothing is made distinct again.
+        Every atom then reads only its predicates' files, and nothing is made distinct again. Predicates that are known apart are
+        written as they come; else all triples are brought together by predicate first.
         """
-        out = KnowledgeGraph(self.spark, self.triples, self.prefixes)
-        out.triples = kept(self.triples, "p")
+        out = KnowledgeGraph(self.spark, self.triples, self.prefixes, distinct=True)
+        out.triples = kept_parts(self.spark, self._parts, "p").select("s", "p", "o") if self._parts else kept(self.triples, "p")
         out._sizes, out._stats = dict(self._sizes), dict(self._stats)
         return out
 

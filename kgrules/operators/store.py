@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Mapping
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -33,3 +36,12 @@ def kept(df: DataFrame, by: str | None = None) -> DataFrame:
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     return out.select(*df.columns)
+
+
+def kept_parts(spark: SparkSession, parts: Mapping[str, DataFrame], by: str) -> DataFrame:
+    """Tables of one schema, each written to the folder of its value of the column ``by`` as it comes, and read as one."""
+    path = f"{shared_root(spark)}/kept-{uuid.uuid4().hex}"
+    for value, df in parts.items():
+        df.write.parquet(f"{path}/{by}={quote(value, safe='')}")
+    schema = next(iter(parts.values())).schema
+    return spark.read.schema(StructType([*schema, StructField(by, StringType())])).parquet(path)

@@ -24,7 +24,7 @@ MEASURED = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
 def graph(spark: SparkSession, sf_dir: str, *predicates: str) -> KnowledgeGraph:
-    return KnowledgeGraph(spark, tables.edges(spark, sf_dir, predicates or None))
+    return KnowledgeGraph.of_parts(spark, tables.parts(spark, sf_dir, predicates or None))
 
 
 KG = """kg AS (
@@ -228,7 +228,7 @@ def _golden_sql() -> str:
 # ---- index, scans, sources, text -------------------------------------------------------------------------------------
 
 def joined_adjacency(spark: SparkSession, sf_dir: str, by: str) -> DataFrame:
-    rows = index.adjacency(graph(spark, sf_dir).stored().triples, by)
+    rows = index.adjacency(graph(spark, sf_dir).triples, by)
     return rows.select("p", "key", F.array_join("neighbours", ",").alias("neighbours"))
 
 
@@ -459,9 +459,9 @@ def measures_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "kg_triples": lambda spark, d: graph(spark, d).triples,
-        "kg_stats": lambda spark, d: index.graph_stats(graph(spark, d).stored().triples),
-        "pair_counts": lambda spark, d: index.pair_counts(graph(spark, d).stored().triples),
-        "predicate_stats": lambda spark, d: index.predicate_stats(graph(spark, d).stored().triples),
+        "kg_stats": lambda spark, d: index.graph_stats(graph(spark, d).triples),
+        "pair_counts": lambda spark, d: index.pair_counts(graph(spark, d).triples),
+        "predicate_stats": lambda spark, d: index.predicate_stats(graph(spark, d).triples),
         "dictionary_roundtrip": roundtrip,
         "adjacency_spo": partial(joined_adjacency, by="s"),
         "adjacency_pos": partial(joined_adjacency, by="o"),

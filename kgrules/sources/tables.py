@@ -2,26 +2,38 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Types whose values have one text each, so keys can be made distinct before they are terms.
+PLAIN = ("tinyint", "smallint", "int", "bigint", "string")
+
+
+def _pair(df: DataFrame, s: str, so: str, o: str, oo: str) -> DataFrame:
+    """Distinct (s, o) of two key columns, the rows of a subject together and in order. Keys are dealt before they are made terms,
+    as two numbers take less room in a shuffle than two texts; a table's own pairs can't equal those of other types."""
+    types = dict(df.dtypes)
+    key = lambda c: F.col(c) if types[c] in PLAIN else F.col(c).cast("string")
+    term = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
+    keys = df.select(key(so).alias("a"), key(oo).alias("b")).where("a is not null and b is not null")
+    found = keys.repartition("a").dropDuplicates(["a", "b"]).sortWithinPartitions("a", "b")
+    return found.select(term(s, "a").alias("s"), term(o, "b").alias("o"))
 
-def edges(spark: SparkSession, sf_dir: str, predicates: tuple[str, ...] | None = None) -> DataFrame:
-    """(s, p, o) of the chosen predicates (all if None), not yet distinct."""
+
+def parts(spark: SparkSession, sf_dir: str, predicates: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
+    """Of each chosen predicate (all if None) the distinct (s, o)."""
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    pair = lambda df, p, s, so, o, oo: df.select(F.concat(F.lit(f"{s}:"), F.col(so).cast("string")).alias("s"), F.lit(p).alias("p"), F.concat(F.lit(f"{o}:"), F.col(oo).cast("string")).alias("o"))
     lines = lambda where=None: read("lineitem").where(where) if where else read("lineitem")
     makers = {
-        "placedBy": lambda: pair(read("orders"), "placedBy", "o", "o_orderkey", "c", "o_custkey"),
-        "inNation": lambda: pair(read("customer"), "inNation", "c", "c_custkey", "n", "c_nationkey").unionAll(pair(read("supplier"), "inNation", "s", "s_suppkey", "n", "s_nationkey")),
-        "inRegion": lambda: pair(read("nation"), "inRegion", "n", "n_nationkey", "r", "n_regionkey"),
-        "hasPart": lambda: pair(lines(), "hasPart", "o", "l_orderkey", "p", "l_partkey"),
-        "fromSupplier": lambda: pair(lines(), "fromSupplier", "o", "l_orderkey", "s", "l_suppkey"),
-        "suppliedBy": lambda: pair(lines(), "suppliedBy", "p", "l_partkey", "s", "l_suppkey"),
-        "returnedTo": lambda: pair(lines("l_returnflag = 'R'"), "returnedTo", "p", "l_partkey", "s", "l_suppkey"),
-        "bulkFrom": lambda: pair(lines("l_quantity >= 49"), "bulkFrom", "p", "l_partkey", "s", "l_suppkey"),
-        "buysFrom": lambda: pair(lines("l_quantity >= 49").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey")), "buysFrom", "c", "o_custkey", "s", "l_suppkey"),
+        "placedBy": lambda: _pair(read("orders"), "o", "o_orderkey", "c", "o_custkey"),
+        "inNation": lambda: _pair(read("customer"), "c", "c_custkey", "n", "c_nationkey").unionAll(_pair(read("supplier"), "s", "s_suppkey", "n", "s_nationkey")),
+        "inRegion": lambda: _pair(read("nation"), "n", "n_nationkey", "r", "n_regionkey"),
+        "hasPart": lambda: _pair(lines(), "o", "l_orderkey", "p", "l_partkey"),
+        "fromSupplier": lambda: _pair(lines(), "o", "l_orderkey", "s", "l_suppkey"),
+        "suppliedBy": lambda: _pair(lines(), "p", "l_partkey", "s", "l_suppkey"),
+        "returnedTo": lambda: _pair(lines("l_returnflag = 'R'"), "p", "l_partkey", "s", "l_suppkey"),
+        "bulkFrom": lambda: _pair(lines("l_quantity >= 49"), "p", "l_partkey", "s", "l_suppkey"),
+        "buysFrom": lambda: _pair(lines("l_quantity >= 49").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey")), "c", "o_custkey", "s", "l_suppkey"),
     }
-    return reduce(DataFrame.unionAll, [makers[p]() for p in predicates or makers])
+    return {p: makers[p]() for p in predicates or makers}
+
