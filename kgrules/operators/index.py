@@ -41,16 +41,28 @@ def dictionary(triples: DataFrame) -> DataFrame:
     return kept(terms(triples).select(F.monotonically_increasing_id().alias("id"), "term"))
 
 
-def encode(triples: DataFrame, names: DataFrame) -> DataFrame:
-    """Ids in place of terms."""
-    for c in ("s", "p", "o"):
-        triples = triples.join(names.select(F.col("id").alias(f"{c}_id"), F.col("term").alias(c)), c)
+#: Predicates whose names every task may hold.
+FEW = 100_000
+
+
+def predicate_names(triples: DataFrame, names: DataFrame) -> DataFrame | None:
+    """The names of the predicates alone, for every task to hold, or None if there are too many."""
+    found = triples.select(F.col("p").alias("term")).distinct()
+    return F.broadcast(names.join(found, "term", "left_semi")) if found.count() <= FEW else None
+
+
+def encode(triples: DataFrame, names: DataFrame, predicates: DataFrame | None = None) -> DataFrame:
+    """Ids in place of terms. With the ``predicates``' own names no triple is dealt by its predicate, of which there are few."""
+    for c in ("p", "s", "o"):
+        known = predicates if c == "p" and predicates is not None else names
+        triples = triples.join(known.select(F.col("id").alias(f"{c}_id"), F.col("term").alias(c)), c).drop(c)
     return triples.select(*(F.col(f"{c}_id").alias(c) for c in ("s", "p", "o")))
 
 
-def decode(ids: DataFrame, names: DataFrame) -> DataFrame:
-    for c in ("s", "p", "o"):
-        ids = ids.join(names.select(F.col("id").alias(c), F.col("term").alias(f"{c}_term")), c)
+def decode(ids: DataFrame, names: DataFrame, predicates: DataFrame | None = None) -> DataFrame:
+    for c in ("s", "o", "p"):
+        known = predicates if c == "p" and predicates is not None else names
+        ids = ids.join(known.select(F.col("id").alias(c), F.col("term").alias(f"{c}_term")), c).drop(c)
     return ids.select(*(F.col(f"{c}_term").alias(c) for c in ("s", "p", "o")))
 
 

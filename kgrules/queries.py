@@ -235,7 +235,8 @@ def joined_adjacency(spark: SparkSession, sf_dir: str, by: str) -> DataFrame:
 def roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     triples = graph(spark, sf_dir).stored().triples
     names = index.dictionary(triples)
-    return index.decode(index.encode(triples, names), names)
+    predicates = index.predicate_names(triples, names)
+    return index.decode(index.encode(triples, names, predicates), names, predicates)
 
 
 def atom_scan(spark: SparkSession, sf_dir: str, s: str | None = None, o: str | None = None) -> DataFrame:

@@ -66,3 +66,8 @@ def test_pairs_are_not_dealt_for_each_head(spark, large):
     nine = [f"( ?a hasPart ?c ) ^ ( ?c suppliedBy ?b ) => ( ?a {p} ?b )" for p in queries.PREDICATES]
     one = moved(spark, lambda: empty(kg.measures(nine[:1])))
     assert (n := moved(spark, lambda: empty(kg.measures(nine)))) < 2 * one, (n, one)
+
+
+def test_roundtrip_deals_no_triple_by_predicate(spark, large):
+    """Two joins each way deal the triples, by subject and by object."""
+    assert (n := moved(spark, lambda: empty(__spark_entry__.queries()["dictionary_roundtrip"](spark, TEN)))) < 75 * 210_890, n
