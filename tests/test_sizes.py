@@ -68,6 +68,34 @@ def test_pairs_are_not_dealt_for_each_head(spark, large):
     assert (n := moved(spark, lambda: empty(kg.measures(nine)))) < 2 * one, (n, one)
 
 
+def test_turtle_is_read_as_it_comes():
+    """A text without end yields triples; long strings and statements go on from one chunk to the next."""
+    endless = (f"{'' if i else '@prefix e: <http://e/> .'}\ne:a{i} e:p" if i % 2 == 0 else f'\n"""x{i}\n"" y""" .' for i in itertools.count())
+    parts = turtle.Reader(endless).read(100)
+    first = [t for part in itertools.islice(parts, 3) for t in part]
+    assert first[:2] == [("http://e/a0", "http://e/p", '"x1\n"" y"'), ("http://e/a2", "http://e/p", '"x3\n"" y"')] and len(first) == 300
+
+
+def test_turtle_files_in_blocks(spark, tmp_path):
+    """Files that are read in several blocks give what they give as a whole, prefixes and strings of several lines included."""
+    want = set()
+    for k in range(3):
+        lines = [f"@prefix e: <http://{k}/> ."]
+        for i in range(3000):
+            lines += [f"e:a{i} e:p e:b{i} ,", f'  """one', f'two {i}""" .'] if i % 3 else [f"e:a{i} e:q [ e:r {i} ] ."]
+        (tmp_path / f"{k}.ttl").write_text("\n".join(lines))
+        want |= {t for t in turtle.parse("\n".join(lines)) if "_:" not in t[0] + t[2]}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000b")
+    try:
+        got = [tuple(r) for r in turtle.read(spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {t for t in got if "_:" not in t[0] + t[2]} == want
+    nodes = [t for t in got if t[1].endswith("/q")]
+    assert len(nodes) == len({t[2] for t in nodes}) == 3000 and len(got) == len(want) + 6000
+
+
 def test_roundtrip_deals_no_triple_by_predicate(spark, large):
     """Two joins each way deal the triples, by subject and by object."""
     assert (n := moved(spark, lambda: empty(__spark_entry__.queries()["dictionary_roundtrip"](spark, TEN)))) < 75 * 210_890, n
