@@ -357,9 +357,7 @@ def rule_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     kg = graph(spark, sf_dir, "inNation", "inRegion", "buysFrom").triples
     short = lambda c: F.concat(F.lit("k:"), F.regexp_replace(c, ":", "."))
     statement = kg.select(F.concat_ws(" ", short(F.col("s")), F.concat(F.lit("k:"), "p"), short(F.col("o")), F.lit(".")).alias("value"))
-    prefix = spark.range(1).select(F.lit("@prefix k: <http://k/> .").alias("value"))
-    lines = prefix.select(F.lit(0).alias("at"), "value").unionByName(statement.select(F.lit(1).alias("at"), "value"))
-    lines.coalesce(1).sortWithinPartitions("at").select("value").write.text(f"{path}/graph")
+    tsv.write_statements(statement, f"{path}/graph", ["@prefix k: <http://k/> ."])
     text = ["( ?a k:buysFrom ?b ) ^ ( ?b k:inNation ?c ) => ( ?a k:inNation ?c ) | a comment", "", "( ?a <http://k/inNation> ?n ) ^ ( ?n k:inRegion k:r.1 ) => ( ?a k:inNation ?n )"]
     for name, content in (("rules", "\n".join(text)), ("rules.json", rules.text_to_json(text)[0])):
         spark.range(1).select(F.lit(content).alias("value")).write.text(f"{path}/{name}")

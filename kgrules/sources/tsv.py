@@ -31,17 +31,20 @@ def prefix_lines(naming: text.Naming = text.NAMING) -> list[str]:
 
 def write_turtle(edges: DataFrame, path: str, naming: text.Naming = text.NAMING) -> None:
     """Text files, each with the prefixes at its beginning so that it can be read alone."""
+    write_statements(turtle_lines(edges, naming), path, prefix_lines(naming))
+
+
+def write_statements(lines: DataFrame, path: str, head: list[str]) -> None:
+    """Text files of lines (value), each with the lines of ``head`` at its beginning."""
     from collections.abc import Iterator
 
     import pandas as pd
 
-    head = prefix_lines(naming)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"value": head})
         yield from batches
 
-    turtle_lines(edges, naming).mapInPandas(run, "value string").write.mode("error").text(path)
+    lines.mapInPandas(run, "value string").write.mode("error").text(path)
 
 
 def triples(edges: DataFrame, naming: text.Naming = text.NAMING) -> DataFrame:

@@ -96,6 +96,12 @@ def test_turtle_files_in_blocks(spark, tmp_path):
     assert len(nodes) == len({t[2] for t in nodes}) == 3000 and len(got) == len(want) + 6000
 
 
+def test_rules_graph_is_written_by_all_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "_place", lambda spark, name: str(tmp_path / name))
+    queries.rule_files(spark, SMALL)
+    assert len(list((tmp_path / "rules" / "graph").glob("part-*"))) > 1
+
+
 def test_roundtrip_deals_no_triple_by_predicate(spark, large):
     """Two joins each way deal the triples, by subject and by object."""
     assert (n := moved(spark, lambda: empty(__spark_entry__.queries()["dictionary_roundtrip"](spark, TEN)))) < 75 * 210_890, n
