@@ -389,9 +389,9 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 1,000 edges of one file, which is written in the order of its keys. The limit is the operator."""
+    """The first 1,000 edges of a folder whose files are written in the order of their keys. The limit is the operator."""
     path = _place(spark, "edges")
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").coalesce(1).sortWithinPartitions("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     li.select(F.concat_ws("\t", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey")))).write.text(path)
     return tsv.first(spark, path, 1000)
 

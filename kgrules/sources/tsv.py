@@ -58,8 +58,9 @@ def read(spark: SparkSession, path: str, skip_malformed: bool = False, naming: t
 
 
 def first(spark: SparkSession, path: str, n: int = 100_000) -> DataFrame:
-    """The first n well-formed edges of one file, in file order. A limit is the point of this operator."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at"))
+    """The first n well-formed edges of a file, in its order, or of a folder's files in the order of their names. A limit is the
+    point of this operator."""
+    lines = spark.read.text(path).select("value", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line")).alias("at"))
     cells = F.split("value", "\t")
     ok = lines.where(F.size(cells) == 3).orderBy("at").limit(n)
     return ok.select(*(F.get(cells, F.lit(i)).alias(c) for i, c in enumerate(("subject", "predicate", "object"))))

@@ -102,6 +102,15 @@ def test_rules_graph_is_written_by_all_tasks(spark, tmp_path, monkeypatch):
     assert len(list((tmp_path / "rules" / "graph").glob("part-*"))) > 1
 
 
+def test_first_edges_of_files_by_name(spark, tmp_path):
+    """The order is that of the names, not of the sizes by which Spark deals files; no task sorts all rows."""
+    for name, n in (("a", 3), ("b", 3000), ("c", 30)):
+        (tmp_path / name).write_text("".join(f"{name}\t{i}\tx\n" for i in range(n)))
+    got = tsv.first(spark, str(tmp_path), 5).collect()
+    assert [(r.subject, r.predicate) for r in got] == [("a", "0"), ("a", "1"), ("a", "2"), ("b", "0"), ("b", "1")]
+    assert moved(spark, lambda: empty(queries.first_edges(spark, SMALL))) > 0
+
+
 def test_roundtrip_deals_no_triple_by_predicate(spark, large):
     """Two joins each way deal the triples, by subject and by object."""
     assert (n := moved(spark, lambda: empty(__spark_entry__.queries()["dictionary_roundtrip"](spark, TEN)))) < 75 * 210_890, n
