@@ -60,7 +60,7 @@ def encode(triples: DataFrame, names: DataFrame, predicates: DataFrame | None =
 
 
 def decode(ids: DataFrame, names: DataFrame, predicates: DataFrame | None = None) -> DataFrame:
-    for c in ("s", "o", "p"):
+    for c in ("o", "s", "p"):
         known = predicates if c == "p" and predicates is not None else names
         ids = ids.join(known.select(F.col("id").alias(c), F.col("term").alias(f"{c}_term")), c).drop(c)
     return ids.select(*(F.col(f"{c}_term").alias(c) for c in ("s", "p", "o")))
